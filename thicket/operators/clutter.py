@@ -14,6 +14,7 @@ from thicket.functions.paths import normalize_path_text
 from thicket.functions.patterns import compile_patterns
 from thicket.operators.links import connected_paths
 from thicket.operators.metadata import note_tags, with_metadata
+from thicket.operators.ranking import shuffled_once
 
 
 def in_trash(path: Column, cfg: Config) -> Column:
@@ -91,7 +92,7 @@ def flag_clutter(notes: DataFrame, cfg: Config, links: DataFrame | None = None)
 
 
 def in_report_order(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(*report_order())
+    return shuffled_once(rows, F.col("path")).orderBy(*report_order())
 
 
 def report_order() -> list[Column]:

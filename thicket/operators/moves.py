@@ -104,15 +104,14 @@ def stale_links(notes: DataFrame, moves: DataFrame, files: DataFrame) -> DataFra
             F.array(paths.file_name(F.col("path")), paths.base_name(F.col("path")))
         ).alias("name")
     )
-    by_name = (
+    sources = done.select(F.col("path").alias("src"), F.lit(True).alias("source_moved"))
+    touched = (
         mentions.withColumn("name", paths.file_name(F.col("target")))
-        .join(names.distinct(), "name", "left_semi")
-        .drop("name")
+        .join(names.distinct().withColumn("name_moved", F.lit(True)), "name", "left")
+        .join(sources, "src", "left")
+        .filter(F.col("name_moved").isNotNull() | F.col("source_moved").isNotNull())
+        .select("src", "target")
     )
-    by_source = mentions.join(
-        done.select(F.col("path").alias("src")), "src", "left_semi"
-    )
-    touched = by_name.unionByName(by_source).distinct()
 
     before = resolve(touched, files).filter(F.col("dst").isNotNull())
     expected = _renamed(_renamed(before, done, "dst", "new_dst"), done, "src", "new_src")

@@ -6,6 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.durable import durable
+from thicket.functions.once import computed
+
+
+def shuffled_once(df: DataFrame, *keys: Column) -> DataFrame:
+    """Put rows behind a shuffle before they are range-partitioned or sorted.
+
+    Range partitioning reads its input twice, the first time to sample it. Behind
+    a shuffle the second reading takes the stored rows; without one, the whole
+    scan that made them would run again. The generator keeps the optimizer from
+    dropping a shuffle that another one follows.
+    """
+    return df.repartition(*keys).select(computed(**{c: F.col(c) for c in df.columns}))
 
 
 def rank_in_group(df: DataFrame, group: str, order: list[Column], rank: str) -> DataFrame:
@@ -20,7 +32,7 @@ def rank_in_group(df: DataFrame, group: str, order: list[Column], rank: str) ->
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = durable(
-        df.repartitionByRange(parts, F.col(group), *order).withColumn(
+        shuffled_once(df, *order).repartitionByRange(parts, F.col(group), *order).withColumn(
             "_part", F.spark_partition_id()
         )
     )

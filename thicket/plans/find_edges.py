@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from thicket.config import Config
 from thicket.operators.edges import apply_links, suggest_links
+from thicket.operators.ranking import shuffled_once
 from thicket.sources.tables import merge_changes
 
 
@@ -19,7 +21,9 @@ class LinkResult:
 
 def scan(notes: DataFrame, cfg: Config) -> DataFrame:
     """Suggested links by note and place."""
-    return suggest_links(notes, cfg).orderBy("path", "start")
+    # By path alone they lie together already, and no shuffle would be made.
+    found = shuffled_once(suggest_links(notes, cfg), F.col("path"), F.col("start"))
+    return found.orderBy("path", "start")
 
 
 def insert(notes: DataFrame, cfg: Config, accepted: DataFrame | None = None) -> LinkResult:

@@ -14,6 +14,14 @@ def read_notes(spark: SparkSession, location: str) -> DataFrame:
     return table.filter(paths.is_markdown(F.col("path")))
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Use every core on a table stored in few splits, such as one row group (of
+    whose splits all but one are empty). A table of many splits is left as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    few = table.rdd.getNumPartitions() < 2 * cores
+    return table.repartition(cores, key) if few else table
+
+
 def with_path_parts(notes: DataFrame) -> DataFrame:
     path = F.col("path")
     return notes.withColumns(
