@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from thicket import Config
 from thicket.functions.paths import base_name
 from thicket.operators import mentions as mentions_module
+from thicket.operators import targets as targets_module
 from thicket.operators.edges import apply_links, suggest_links
 from thicket.operators.mentions import find_mentions
 from thicket.operators.targets import build_dictionary, link_targets
@@ -247,5 +248,30 @@ def test_plan_has_no_pairwise_join_and_one_text_shuffle(spark, tmp_path, notes):
     assert len(text_shuffles) == 1
 
 
+@pytest.mark.parametrize("salted", [False, True])
+def test_one_alias_of_many_notes(spark, notes, monkeypatch, salted):
+    """Only as many of the notes behind one title are kept as a note can use, and
+    the limit runs before the shuffle."""
+    if salted:
+        monkeypatch.setattr(targets_module, "SMALL_COUNT", 5)
+    given = {f"n{i:03}.md": "---\naliases: [todo it]\n---\n" for i in range(300)}
+    given["me.md"] = "todo it, " * 30
+    cfg = Config(link_use_aliases=True)
+    plan = targets_module._first_of_each_key(
+        spark.range(99).selectExpr(
+            "string(id % 2) AS key", "string(id) AS target", "struct(string(id) AS path, 0 AS ord) AS first"
+        ),
+        cfg.link_max_per_note + 1,
+    )._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    dictionary = build_dictionary(link_targets(notes(given), cfg), cfg, 0)
+    sizes = {r["key"]: r["n"] for r in dictionary.titles.select("key", F.size("entries").alias("n")).collect()}
+    assert sizes["todo it"] == 21 and sizes["n000"] == 1
+    found = [r["target"] for r in find_edges.scan(notes(given), cfg).filter("path = 'me.md'").collect()]
+    assert found == [f"n{i:03}" for i in range(20)]
+    uncapped = find_edges.scan(notes(given), Config(link_max_per_note=0)).filter("path = 'me.md'")
+    assert uncapped.count() == 30
+
+
 def test_own_name_column(spark):
     assert spark.createDataFrame([("a/b.md",)], "p string").select(base_name(F.col("p"))).first()[0] == "b"

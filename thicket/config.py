@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, fields, replace
 
-# Default patterns, one regular expression each.
+# Default lists.
+DEFAULT_PROTECT_TAGS = ("keep",)
+DEFAULT_IGNORE_FOLDERS = ("Templates/", ".obsidian/")
 DEFAULT_SPAM_PATTERNS = (
     r"\b(viagra|casino|crypto\s*giveaway|free\s*money)\b",
     r"(https?:\/\/\S+\s*){5,}",
@@ -32,8 +34,8 @@ class Config:
     flag_link_farms: bool = True
     link_farm_min_urls: int = 5
     # Notes no clutter rule may touch.
-    protect_tags: tuple[str, ...] = ("keep",)
-    ignore_folders: tuple[str, ...] = ("Templates/", ".obsidian/")
+    protect_tags: tuple[str, ...] = DEFAULT_PROTECT_TAGS
+    ignore_folders: tuple[str, ...] = DEFAULT_IGNORE_FOLDERS
     # Missing-link rules; a cap of 0 means no cap.
     link_min_title_length: int = 4
     link_whole_word: bool = True

@@ -11,10 +11,13 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and read it back.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. A
-    temporary one is made only where none is set, which is the case in tests.
+    temporary one is made only where none is set and Spark runs in this process
+    alone, which is the case in tests.
     """
     spark = df.sparkSession
     if not _checkpoint_dir(spark):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="thicket-"))
     return df.checkpoint()
 

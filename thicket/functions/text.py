@@ -19,6 +19,7 @@ SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\u
 # A character that continues a word for the whole-word rule.
 WORD_CHAR = r"\p{L}\p{N}_"
 
+# Patterns of the parts of a note.
 FRONTMATTER = r"\A---\r?\n[\s\S]*?\r?\n---\r?\n?"
 FENCED_CODE = r"```[\s\S]*?```"
 INLINE_CODE = r"`[^`]*`"

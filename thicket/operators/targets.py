@@ -14,6 +14,10 @@ from thicket.operators.metadata import with_metadata
 
 # Array and row headers of one broadcast dictionary row and one of its entries.
 _ROW_BYTES, _ENTRY_BYTES = 96, 64
+# Up to this count a window limit runs before the shuffle
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+SMALL_COUNT = 1000
+_SALTS = 64
 # The lead filter has at most this many rows, whatever the dictionary's size.
 _LEAD_BUCKETS = 1 << 20
 
@@ -129,10 +133,8 @@ def build_dictionary(targets: DataFrame, cfg: Config, longest_note: int) -> Dict
             F.min("match_len").alias("match_len"),
         )
     )
-    best_first = Window.partitionBy("key").orderBy("first.path", "first.ord")
     titles = (
-        one_per_target.withColumn("place", F.row_number().over(best_first))
-        .filter(F.col("place") <= most + 1)
+        _first_of_each_key(one_per_target, most + 1)
         .groupBy("key")
         .agg(
             F.min("match_len").alias("match_len"),
@@ -164,3 +166,22 @@ def build_dictionary(targets: DataFrame, cfg: Config, longest_note: int) -> Dict
     return Dictionary(
         titles, cfg, found["shortest"], found["longest"], found["sizes"], found["bytes"]
     )
+
+
+def _first_of_each_key(rows: DataFrame, count: int) -> DataFrame:
+    """The first ``count`` rows of each key in path order.
+
+    Spark cuts small counts before it shuffles. For larger ones the rows of a key
+    are first spread over salts and cut there, so that no task sorts all notes
+    that share one title.
+    """
+    if count > SMALL_COUNT:
+        salt = F.xxhash64("target").bitwiseAND(F.lit(_SALTS - 1))
+        rows = _first_rows(rows.withColumn("salt", salt), ["key", "salt"], count)
+    return _first_rows(rows, ["key"], count)
+
+
+def _first_rows(rows: DataFrame, group: list[str], count: int) -> DataFrame:
+    best_first = Window.partitionBy(*group).orderBy("first.path", "first.ord")
+    placed = rows.withColumn("place", F.row_number().over(best_first))
+    return placed.filter(F.col("place") <= count).drop("place")
