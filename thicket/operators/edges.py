@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.config import Config
+from thicket.durable import durable
 from thicket.functions import paths, text
 from thicket.functions.once import computed, evaluate_once
 from thicket.functions.ranges import overlaps_any, protected_ranges
@@ -102,6 +103,8 @@ def apply_links(
     targets = link_targets(notes, cfg) if targets is None else targets
     texts = notes.select("path", "content")
     if accepted is not None:
+        # Often the result of a scan, and read three times here.
+        accepted = durable(accepted.select("path", "target").distinct())
         texts = texts.join(accepted.select("path").distinct(), "path", "left_semi")
     planned = plan_edits(texts, targets, cfg)
     if accepted is not None:
@@ -134,11 +137,10 @@ def _only_accepted(
 ) -> DataFrame:
     """Keep accepted edits. Accepted rows are matched one by one, never gathered,
     so a long or repetitive list of them does no harm."""
-    pairs = accepted.select("path", "target").distinct()
     kept = (
         planned.select("path", F.explode("edits").alias("edit"))
         .withColumn("target", F.col("edit.target"))
-        .join(pairs, ["path", "target"], "left_semi")
+        .join(accepted, ["path", "target"], "left_semi")
         .groupBy("path")
         .agg(F.array_sort(F.collect_list("edit")).alias("edits"))
     )
