@@ -10,7 +10,8 @@ equal. No digest decides equality: groups are formed on the bytes themselves.
 Cost: one shuffle of small rows for the first digit, one of the texts that share
 it with another, then each byte of those once. Equal digits are combined before
 the shuffle, so a group of any size sends one row a task. Rows are dealt anew
-only in groups that really split.
+only in groups that really split. Each join has one row a group on its other
+side, so adaptive execution may cut a partition that a hot group makes large.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.durable import durable, stored
-from thicket.llm.rows import ROW, SPACE, salted_join, text_or_empty, with_row_ids
+from thicket.llm.rows import ROW, SPACE, text_or_empty, with_row_ids
 
 HEAD_BYTES = 32
 GROWTH = 8
@@ -45,7 +46,7 @@ def equal_groups(docs: DataFrame) -> DataFrame:
     first = heads.groupBy("size", "head").agg(F.min(ROW).alias("group"), F.count("*").alias("n"))
     shared = first.filter("n > 1").select("size", "head", "group")
     groups = durable(
-        salted_join(heads, shared, ["size", "head"], F.col(ROW)).select(ROW, "group", "size")
+        heads.join(shared, ["size", "head"]).select(ROW, "group", "size")
     )
     longest = groups.agg(F.max("size")).first()[0] or 0
     if longest <= HEAD_BYTES:
@@ -97,7 +98,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         .agg(F.min(order).alias("best"), F.count("*").alias("n"))
         .select("group", F.col("best.doc_id").alias("keep_id"), F.col(f"best.{ROW}").alias("keep_row"), "n")
     )
-    joined = salted_join(grouped, best, ["group"], F.col(ROW), "left")
+    joined = grouped.join(best, "group", "left")
     return joined.select(
         ROW,
         "doc_id",
@@ -151,10 +152,10 @@ def _split(slices: DataFrame, moved: DataFrame | None) -> DataFrame | None:
     )
     if split.isEmpty():
         return None
-    open_rows = salted_join(rows, split, ["group"], F.col(ROW))
+    open_rows = rows.join(split, "group")
     open_parts = open_rows.groupBy("group", "slice").agg(F.min(ROW).alias("to"), F.count("*").alias("n"))
     return durable(
-        salted_join(open_rows, open_parts, ["group", "slice"], F.col(ROW)).select(
+        open_rows.join(open_parts, ["group", "slice"]).select(
             ROW, F.when(F.col("n") > 1, F.col("to")).alias("group")
         )
     )
