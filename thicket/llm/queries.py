@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import exact_dedup, mix, shards
+from thicket.llm import bpe, exact_dedup, mix, quality, secrets, shards
 from thicket.llm.rows import ROW
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +18,10 @@ def queries() -> dict[str, Query]:
     return {
         "op2_mix_sources": _on_documents(lambda d: mix.mix(d).drop(ROW, "copies")),
         "op4_exact_dedup": _on_documents(lambda d: exact_dedup.exact_dedup(d).drop(ROW)),
+        "op5_line_quality": _on_documents(lambda d: quality.line_quality(d).drop(ROW)),
+        "op6_secrets": _on_documents(secrets.scan),
         "op7_feistel_shards": _on_documents(shards.shuffled_shards),
+        "op10_byte_bpe": _on_documents(encoded_digests),
     }
 
 
@@ -25,6 +29,11 @@ def oracle_sql() -> dict[str, str]:
     return {"op4_exact_dedup": OP4}
 
 
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+
+
 def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: query(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
