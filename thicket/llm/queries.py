@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, exact_dedup, mix, quality, secrets, shards
+from thicket.llm import bpe, exact_dedup, minhash, mix, quality, secrets, shards
 from thicket.llm.rows import ROW
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_circulant_minhash": _on_documents(lambda d: minhash.near_duplicates(d, shingle=4).drop(ROW)),
         "op2_mix_sources": _on_documents(lambda d: mix.mix(d).drop(ROW, "copies")),
         "op4_exact_dedup": _on_documents(lambda d: exact_dedup.exact_dedup(d).drop(ROW)),
         "op5_line_quality": _on_documents(lambda d: quality.line_quality(d).drop(ROW)),
