@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, exact_dedup, minhash, mix, quality, secrets, shards
+from thicket.llm import bpe, exact_dedup, minhash, mix, quality, secrets, shards, suffix_dedup
 from thicket.llm.rows import ROW
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op5_line_quality": _on_documents(lambda d: quality.line_quality(d).drop(ROW)),
         "op6_secrets": _on_documents(secrets.scan),
         "op7_feistel_shards": _on_documents(shards.shuffled_shards),
+        "op9_suffix_dedup": _on_documents(suffix_dedup.remove_repeats),
         "op10_byte_bpe": _on_documents(encoded_digests),
     }
 
