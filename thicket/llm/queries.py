@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, exact_dedup, minhash, mix, quality, secrets, shards, suffix_dedup
+from thicket.llm import bpe, exact_dedup, minhash, mix, quality, secrets, shards, suffix_dedup, warc
 from thicket.llm.rows import ROW
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_circulant_minhash": _on_documents(lambda d: minhash.near_duplicates(d, shingle=4).drop(ROW)),
         "op2_mix_sources": _on_documents(lambda d: mix.mix(d).drop(ROW, "copies")),
+        "op3_warc_chunks": lambda spark, sf_dir: warc.archive_round_trip(
+            spark.read.parquet(f"{sf_dir}/pages.parquet")
+        ),
         "op4_exact_dedup": _on_documents(lambda d: exact_dedup.exact_dedup(d).drop(ROW)),
         "op5_line_quality": _on_documents(lambda d: quality.line_quality(d).drop(ROW)),
         "op6_secrets": _on_documents(secrets.scan),
@@ -28,7 +31,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4}
+    return {"op3_warc_chunks": OP3, "op4_exact_dedup": OP4}
 
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
@@ -40,6 +43,20 @@ def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: query(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+OP3 = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), b AS (SELECT hex, max(page_id) AS best FROM p GROUP BY hex)
+SELECT page_id, payload_bytes,
+       list_reduce(list_transform(range(0, 8), lambda g: list_reduce(list_transform(range(0, 4), lambda c:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((('0x' || substr(hex, CAST(5 * g + 1 AS INTEGER), 5))::BIGINT >> (15 - 5 * c)) & 31 AS INTEGER) + 1, 1)),
+         lambda x, y: x || y)), lambda x, y: x || y) AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to
+FROM p JOIN b USING (hex)
+"""
+
 OP4 = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm,
