@@ -8,14 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, exact_dedup, minhash, mix, quality, secrets, shards, suffix_dedup, warc
+from thicket.llm import bpe, exact_dedup, minhash, mix, quality, secrets, shards, suffix_dedup, toxicity, warc
 from thicket.llm.rows import ROW
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
+    import corpus_pipeline  # it imports this module
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_circulant_minhash": _on_documents(lambda d: minhash.near_duplicates(d, shingle=4).drop(ROW)),
         "op2_mix_sources": _on_documents(lambda d: mix.mix(d).drop(ROW, "copies")),
         "op3_warc_chunks": lambda spark, sf_dir: warc.archive_round_trip(
@@ -25,6 +28,9 @@ def queries() -> dict[str, Query]:
         "op5_line_quality": _on_documents(lambda d: quality.line_quality(d).drop(ROW)),
         "op6_secrets": _on_documents(secrets.scan),
         "op7_feistel_shards": _on_documents(shards.shuffled_shards),
+        "op8_toxic_spans": lambda spark, sf_dir: toxicity.score_documents(
+            spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+        ),
         "op9_suffix_dedup": _on_documents(suffix_dedup.remove_repeats),
         "op10_byte_bpe": _on_documents(encoded_digests),
     }
