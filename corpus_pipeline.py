@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from thicket.durable import stored
 from thicket.llm import exact_dedup, minhash, mix, quality
-from thicket.llm.queries import encoded_digests
+from thicket.llm.public import encoded_digests
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

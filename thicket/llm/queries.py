@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, exact_dedup, minhash, mix, quality, secrets, shards, suffix_dedup, toxicity, warc
+import corpus_pipeline
+from thicket.llm import exact_dedup, minhash, mix, quality, secrets, shards, suffix_dedup, toxicity, warc
+from thicket.llm.public import encoded_digests
 from thicket.llm.rows import ROW
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    import corpus_pipeline  # it imports this module
-
     return {
         "pipeline": corpus_pipeline.run,
         "op1_circulant_minhash": _on_documents(lambda d: minhash.near_duplicates(d, shingle=4).drop(ROW)),
@@ -40,11 +39,6 @@ def oracle_sql() -> dict[str, str]:
     return {"op3_warc_chunks": OP3, "op4_exact_dedup": OP4}
 
 
-def encoded_digests(docs: DataFrame) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.round_trip(docs, path, public_tokenizers.PATTERN)
-
-
 def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: query(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
