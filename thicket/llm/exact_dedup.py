@@ -32,11 +32,11 @@ def normalised(text: Column) -> Column:
 
 
 def equal_groups(docs: DataFrame) -> DataFrame:
-    """``_row``, ``group``: rows whose texts equal another row's, by group.
+    """``_thicket_row``, ``group``: rows whose texts equal another row's, by group.
 
-    ``docs`` needs ``_row`` and ``text``. Null counts as empty; empty texts equal
+    ``docs`` needs ``_thicket_row`` and ``text``. Null counts as empty; empty texts equal
     each other. Rows that equal no other are absent. ``group`` is the smallest
-    ``_row`` of the group.
+    ``_thicket_row`` of the group.
     """
     whole = docs.select(ROW, normalised(text_or_empty()).cast("binary").alias("bytes"))
     heads = whole.select(
@@ -74,10 +74,10 @@ def equal_groups(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per input row: ``_row, doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row per input row: ``_thicket_row, doc_id, keep_id, group_size, kept, text_sha256``.
 
     Of equal texts the row with the most code points in its original text stays,
-    then the smallest ``doc_id`` (null last), then the smallest ``_row``, so of
+    then the smallest ``doc_id`` (null last), then the smallest ``_thicket_row``, so of
     repeated rows one stays. Needs ``doc_id`` and ``text``; other columns are
     ignored. An empty table gives an empty result.
     """
@@ -137,7 +137,7 @@ def _slices(data: Column, size: Column, longest: int) -> Column:
 
 
 def _split(slices: DataFrame, moved: DataFrame | None) -> DataFrame | None:
-    """``_row``, new ``group`` (null: equals no other) of rows whose group splits here."""
+    """``_thicket_row``, new ``group`` (null: equals no other) of rows whose group splits here."""
     rows = slices.select(ROW, "group", "slice")
     if moved is not None:
         changed = moved.withColumnRenamed("group", "_moved").withColumn("_hit", F.lit(True))

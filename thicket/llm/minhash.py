@@ -43,7 +43,7 @@ _U64 = np.uint64
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: ``_row, doc_id, n_shingles, component_id, kept``.
+    """One row per input row: ``_thicket_row, doc_id, n_shingles, component_id, kept``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document's set is its
     distinct shingles of ``shingle`` words, or its whole sequence if it has fewer.
@@ -183,7 +183,7 @@ def shingles(text: str, width: int) -> set[bytes]:
 
 
 def sketches(keyed: DataFrame, width: int) -> DataFrame:
-    """``_row, doc_id, n_shingles, same, bands``: set size, digest of the words, band keys."""
+    """``_thicket_row, doc_id, n_shingles, same, bands``: set size, digest of the words, band keys."""
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ _SOURCE = ["_no_source", "_source"]
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
-    """One row per input row: ``_row, doc_id, size, source_size, target, copies, taken``.
+    """One row per input row: ``_thicket_row, doc_id, size, source_size, target, copies, taken``.
 
     ``size`` counts words (null: 0); ``target`` is the source's, in words;
     ``taken`` is ``size`` times the copies in the mix. Sources in code point
@@ -79,10 +79,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: i
     """``docs`` with every row as often as the mix takes it. Documents without words stay once."""
     keyed = with_row_ids(docs)
     plan = mix(keyed, weights, seed).select(
-        ROW, F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1)).alias("_copies")
+        ROW, F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1)).alias("_thicket_copies")
     )
-    taken = keyed.join(plan.filter("_copies > 0"), ROW)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
+    taken = keyed.join(plan.filter("_thicket_copies > 0"), ROW)
+    return taken.withColumn("_thicket_copy", F.explode(F.sequence(F.lit(1), F.col("_thicket_copies").cast("int")))).select(
         *docs.columns
     )
 

@@ -36,7 +36,7 @@ LEAST_LEFT = 0.3  # share of its words that a document must keep
 
 
 def line_quality(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One row per input row: ``_row, doc_id``, the counts, ``base_failed, n_removed_words, kept``.
+    """One row per input row: ``_thicket_row, doc_id``, the counts, ``base_failed, n_removed_words, kept``.
 
     ``word_chars``: code points in words; ``n_symbols``; ``n_dup_lines``: lines with
     a word equal to an earlier line; ``n_repeat_words``: words in three-word windows
@@ -76,7 +76,7 @@ def line_quality(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def removed_words(measured: DataFrame) -> DataFrame:
-    """``_row, _lost``: words in boilerplate lines, of documents that have any."""
+    """``_thicket_row, _lost``: words in boilerplate lines, of documents that have any."""
     host = [F.col("host").isNull().alias("no_host"), F.coalesce("host", F.lit("")).alias("host")]
     lines = measured.select(ROW, *host, "sketch", F.explode("lines").alias("l")).select(
         ROW, "no_host", "host", "sketch", "l.line", "l.words"

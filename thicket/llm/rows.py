@@ -11,11 +11,11 @@ from thicket.durable import stored
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-ROW = "_row"
+ROW = "_thicket_row"
 
 
 def with_row_ids(docs: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` (only ``columns`` if given) with a unique ``_row``, stored.
+    """``docs`` (only ``columns`` if given) with a unique ``_thicket_row``, stored.
 
     ``doc_id`` may be null or repeated, so it cannot name a row. The number is
     given while the copy is written and read from it ever after.
