@@ -152,12 +152,10 @@ def _split(slices: DataFrame, moved: DataFrame | None) -> DataFrame | None:
     )
     if split.isEmpty():
         return None
+    open_parts = parts.join(split, "group").select("group", "slice", F.when(F.col("n") > 1, F.col("to")).alias("to"))
     open_rows = rows.join(split, "group")
-    open_parts = open_rows.groupBy("group", "slice").agg(F.min(ROW).alias("to"), F.count("*").alias("n"))
     return durable(
-        open_rows.join(open_parts, ["group", "slice"]).select(
-            ROW, F.when(F.col("n") > 1, F.col("to")).alias("group")
-        )
+        open_rows.join(open_parts, ["group", "slice"]).select(ROW, F.col("to").alias("group"))
     )
 
 
