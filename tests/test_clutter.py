@@ -19,6 +19,25 @@ FARM = "```\n" + "\n".join(f"https://e.co/{i}" for i in range(6)) + "\n```"
 FIVE_URLS = " ".join(f"https://e.co/{i}" for i in range(5))
 
 
+def test_long_block_lists(notes):
+    """A list of any length is no recursion."""
+    tags = "\n".join(f"- t{i}" for i in range(100_000))
+    aliases = "\r\n".join(f"  - 'a{i}'" for i in range(100_000))
+    found = with_metadata(
+        notes(
+            {
+                "tags.md": f"---\ntags:\n{tags}\n---\nx",
+                "aliases.md": f"---\r\naliases:  \r\n{aliases}\r\nother: 1\r\n- no\r\n---\r\nx",
+                "short.md": "---\ntags:\n- one\nnot: a\n- list\naliases:\n  b: c\n- d\n---\n",
+            }
+        )
+    ).select("path", F.size("fm_tags").alias("tags"), F.size("aliases").alias("aliases"), "fm_tags")
+    rows = {r["path"]: r for r in found.collect()}
+    assert rows["tags.md"]["tags"] == 100_000 and rows["tags.md"]["fm_tags"][-1] == "t99999"
+    assert rows["aliases.md"]["aliases"] == 100_000
+    assert rows["short.md"]["fm_tags"] == ["one"] and rows["short.md"]["aliases"] == 0
+
+
 def reasons(frame):
     return {row["path"]: row["reasons"] for row in frame.collect()}
 

@@ -222,7 +222,7 @@ def test_one_title_mentioned_everywhere_is_split(spark):
         )
         cfg = Config(broadcast_limit_bytes=0)
         titles = targets_of(spark, [("Hot Topic", "Hot Topic.md"), ("Cold", "Cold.md")])
-        found = find_mentions(given, build_dictionary(titles, cfg, 0), cfg).repartition("path")
+        found = find_mentions(given, build_dictionary(titles, cfg, given), cfg).repartition("path")
         assert found.count() == 3000
         found.collect()
         plan = found._jdf.queryExecution().executedPlan().toString()
@@ -248,12 +248,17 @@ def test_plan_has_no_pairwise_join_and_one_text_shuffle(spark, tmp_path, notes):
     assert len(text_shuffles) == 1
 
 
-@pytest.mark.parametrize("salted", [False, True])
-def test_one_alias_of_many_notes(spark, notes, monkeypatch, salted):
-    """Only as many of the notes behind one title are kept as a note can use, and
-    the limit runs before the shuffle."""
-    if salted:
-        monkeypatch.setattr(targets_module, "SMALL_COUNT", 5)
+@pytest.fixture(params=["1000", "5"])
+def cut_before_shuffle(spark, request):
+    """Spark cuts before the shuffle; or it does not, and rows are salted."""
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    spark.conf.set(name, request.param)
+    yield request.param == "1000"
+    spark.conf.unset(name)
+
+
+def test_one_alias_of_many_notes(spark, notes, cut_before_shuffle):
+    """Only as many of the notes behind one title are kept as a note can use."""
     given = {f"n{i:03}.md": "---\naliases: [todo it]\n---\n" for i in range(300)}
     given["me.md"] = "todo it, " * 30
     cfg = Config(link_use_aliases=True)
@@ -263,14 +268,50 @@ def test_one_alias_of_many_notes(spark, notes, monkeypatch, salted):
         ),
         cfg.link_max_per_note + 1,
     )._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
-    dictionary = build_dictionary(link_targets(notes(given), cfg), cfg, 0)
+    assert ("WindowGroupLimit" in plan) == cut_before_shuffle
+    assert cut_before_shuffle or "salt" in plan
+    dictionary = build_dictionary(link_targets(notes(given), cfg), cfg, notes(given))
     sizes = {r["key"]: r["n"] for r in dictionary.titles.select("key", F.size("entries").alias("n")).collect()}
     assert sizes["todo it"] == 21 and sizes["n000"] == 1
     found = [r["target"] for r in find_edges.scan(notes(given), cfg).filter("path = 'me.md'").collect()]
     assert found == [f"n{i:03}" for i in range(20)]
     uncapped = find_edges.scan(notes(given), Config(link_max_per_note=0)).filter("path = 'me.md'")
     assert uncapped.count() == 30
+    everyone = build_dictionary(link_targets(notes(given), cfg), Config(link_max_per_note=0), notes(given))
+    assert everyone.titles.filter("key = 'todo it'").select(F.size("entries")).first()[0] >= 61
+
+
+def test_minimum_length_of_given_targets(spark, notes):
+    given = notes({"me.md": "ab and abcd"})
+    found = suggest_links(given, Config(), targets_of(spark, [("ab", "x/ab.md"), ("abcd", "y/abcd.md")]))
+    assert [r["target"] for r in found.collect()] == ["abcd"]
+
+
+def test_options(notes):
+    given = notes(
+        {
+            "Topic.md": "---\ntags: [keep]\n---\nOther",
+            "Other.md": "---\nabout: Topic\n---\nTopic and Topic",
+            "linked.md": "see [[a/Topic#part|it]] and Topic",
+        }
+    )
+
+    def places(**options):
+        found = suggest_links(given, Config(**options)).collect()
+        return sorted((r["path"], r["target"], r["line"]) for r in found)
+
+    usual = [("Other.md", "Topic", 2), ("Topic.md", "Other", 4), ("linked.md", "Topic", 1)]
+    assert places() == usual
+    assert places(skip_already_linked=True) == usual[:2]
+    assert places(protect_frontmatter=True) == [("Other.md", "Topic", 4), *usual[1:]]
+    assert places(respect_protection=True) == [usual[0], usual[2]]
+
+
+def test_accepted_paths_are_normalised(spark, notes):
+    given = notes({"a/one.md": "Topic", "Topic.md": "", "two.md": "Topic"})
+    accepted = spark.createDataFrame([("/a//one.md", "Topic")], "path string, target string")
+    changed = apply_links(given, Config(), accepted).collect()
+    assert [(r["path"], r["content"]) for r in changed] == [("a/one.md", "[[Topic]]")]
 
 
 def test_own_name_column(spark):

@@ -37,6 +37,15 @@ def hits(spark, pattern, *texts):
         (r"a\vb", ["a\x0bb"], ["a\nb"]),
         (r"(ab)+c", ["xababc"], ["c"]),
         (r"(?<=a+)b", ["xaab"], ["xb"]),
+        (r"a[\S]b", ["a-b", "a\U0001F389b", "a\u200bb"], ["a b", "a\u00a0b", "a\u3000b", "a\ufeffb"]),
+        (r"a[^\S]b", ["a b", "a\u00a0b"], ["a-b"]),
+        (r"a[\D]b", ["a-b", "a\u0663b", "aéb"], ["a1b"]),
+        (r"a[^\D]b", ["a1b"], ["a-b"]),
+        (r"a[\W]b", ["a-b", "aéb"], ["a_b", "azb", "a0b"]),
+        (r"a[^\W]b", ["a_b", "aZb"], ["a-b", "aéb"]),
+        (r"a[\S\s]b", ["a b", "axb"], ["ab"]),
+        (r"(x[\S]y)+z", ["qx-yx.yz"], ["x\u00a0yz"]),
+        (r"(x[\W]y)+z", ["x-yz", "xéyz"], ["xayz"]),
     ],
 )
 def test_pattern_dialect(spark, pattern, matching, other):

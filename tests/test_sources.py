@@ -40,6 +40,38 @@ def test_read_vault(spark, vault):
     assert flagged["zero.md"] == ["empty"]
 
 
+def test_attachments_are_not_opened(spark, vault):
+    """Names are listed without contents, and only notes are read at all."""
+    names = list_files(spark, str(vault))._jdf.queryExecution().executedPlan().toString()
+    assert "Scan binaryFile" not in names
+    assert read_vault(spark, str(vault)).inputFiles() and not any(
+        f.endswith(".png") for f in read_vault(spark, str(vault)).inputFiles()
+    )
+
+
+def test_folder_named_like_its_parents(spark, tmp_path):
+    folder = tmp_path / "notes" / "notes"
+    (folder / "notes").mkdir(parents=True)
+    (folder / "notes" / "a.md").write_text("x")
+    inner = str(folder).lstrip("/")
+    (folder / inner).mkdir(parents=True)
+    (folder / inner / "b.md").write_text("y")
+    assert {r["path"] for r in read_vault(spark, str(folder)).collect()} == {"notes/a.md", f"{inner}/b.md"}
+
+
+def test_hidden_folders_are_named(spark, vault):
+    (vault / "_trash").mkdir()
+    (vault / "_trash" / "old.md").write_text("x")
+    assert "_trash/old.md" not in {r["path"] for r in list_files(spark, str(vault)).collect()}
+    seen = {r["path"] for r in list_files(spark, str(vault), also=["_trash", ".obsidian"]).collect()}
+    assert {"_trash/old.md", "pic.png", "zero.md"} <= seen
+
+
+def test_no_silent_overwrite(spark, vault, notes):
+    with pytest.raises(FileExistsError):
+        write_vault(notes({"a.md": "x"}), str(vault))
+
+
 def test_write_vault(spark, vault, tmp_path):
     notes = read_vault(spark, str(vault))
     out = tmp_path / "out"

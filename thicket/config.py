@@ -42,6 +42,13 @@ class Config:
     link_case_sensitive: bool = False
     link_max_per_note: int = 20
     link_use_aliases: bool = True
+    # Off by default, as these change what is found: pass over targets a note links
+    # already, leave metadata alone, pass over protected notes, and do not count
+    # URLs as words of a link farm.
+    skip_already_linked: bool = False
+    protect_frontmatter: bool = False
+    respect_protection: bool = False
+    link_farm_exclude_urls_from_words: bool = False
     # The dictionary of titles is broadcast only below this measured size;
     # above it the mention search is a shuffle join.
     broadcast_limit_bytes: int = 64 * 1024 * 1024

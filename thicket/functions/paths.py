@@ -31,6 +31,11 @@ def base_name(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*\z", "")
 
 
+def note_name(path: Column) -> Column:
+    """File name without a trailing '.md'; other dots belong to the name."""
+    return F.regexp_replace(file_name(path), r"\.md\z", "")
+
+
 def extension(path: Column) -> Column:
     return F.regexp_extract(file_name(path), r".\.([^.]*)\z", 1)
 

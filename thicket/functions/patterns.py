@@ -42,11 +42,18 @@ _OUTSIDE_CLASS = {
     "{": r"\{",
     "}": r"\}",
 }
+_TOP = chr(0x10FFFF)
 _IN_CLASS = {
     r"\b": r"\x08",
     r"\d": "0-9",
+    r"\D": r"\x00-\x2F\x3A-" + _TOP,
     r"\w": "A-Za-z0-9_",
+    r"\W": r"\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-" + _TOP,
     r"\s": SPACE,
+    r"\S": (
+        r"\x00-\x08\x0E-\x1F\x21-\u009F\u00A1-\u167F\u1681-\u1FFF\u200B-\u2027"
+        r"\u202A-\u202E\u2030-\u205E\u2060-\u2FFF\u3001-\uFEFE\uFF00-" + _TOP
+    ),
     r"\v": r"\x0B",
     r"\0": r"\x00",
     "[": r"\[",
@@ -184,9 +191,14 @@ def _python_form(source: str) -> str:
 
 
 def _search_in_batches(source: str):
+    form = _python_form(source)
+
     @F.pandas_udf("boolean")
     def found(texts: pd.Series) -> pd.Series:
-        search = regex.compile(_python_form(source)).search
+        # Only names from outside this package: workers need not have it.
+        import regex as engine
+
+        search = engine.compile(form).search
         return texts.map(lambda text: search(text) is not None)
 
     return found

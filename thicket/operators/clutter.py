@@ -74,6 +74,7 @@ def flag_clutter(notes: DataFrame, cfg: Config, links: DataFrame | None = None)
                 is_empty=F.col("body") == "",
                 is_spam=_is_spam(notes, cfg),
                 urls=_urls(cfg),
+                url_words=_url_words(cfg),
             ),
         )
     )
@@ -122,6 +123,14 @@ def _urls(cfg: Config) -> Column:
     return text.url_count(F.col("body"))
 
 
+def _url_words(cfg: Config) -> Column:
+    """Words inside URLs, where those are not to count against a link farm."""
+    if not (cfg.flag_link_farms and cfg.link_farm_exclude_urls_from_words):
+        return F.lit(0).cast("bigint")
+    body = text.without_code(F.col("body"))
+    return text.word_count(F.col("body")) - text.word_count(F.regexp_replace(body, text.URL, " "))
+
+
 def _reasons(cfg: Config) -> Column:
     size_reason = F.when(F.lit(cfg.flag_empty) & F.col("is_empty"), "empty").when(
         F.lit(cfg.flag_stubs) & (F.col("words") < cfg.stub_min_words), "stub"
@@ -129,7 +138,7 @@ def _reasons(cfg: Config) -> Column:
     farm = (
         F.lit(cfg.flag_link_farms)
         & (F.col("urls") >= cfg.link_farm_min_urls)
-        & (F.col("urls") >= F.col("words"))
+        & (F.col("urls") >= F.col("words") - F.col("url_words"))
     )
     return F.array_compact(
         F.array(

@@ -9,7 +9,9 @@ from thicket.config import Config
 from thicket.durable import durable
 from thicket.functions import paths, text
 from thicket.functions.once import computed, evaluate_once
-from thicket.functions.ranges import overlaps_any, protected_ranges
+from thicket.functions.ranges import empty_spans, overlaps_any, protected_ranges, span
+from thicket.operators.clutter import unprotected_notes
+from thicket.operators.links import link_target, link_tokens
 from thicket.operators.mentions import find_mentions
 from thicket.operators.targets import build_dictionary, link_targets
 
@@ -58,11 +60,8 @@ def plan_edits(notes: DataFrame, targets: DataFrame, cfg: Config) -> DataFrame:
     Notes are hash-partitioned by path once. Finding, grouping and choosing then
     stay in that partitioning, and the text comes back by a join in place.
     """
-    texts = notes.select("path", "content")
-    longest_note = 0
-    if cfg.link_max_per_note == 0:
-        longest_note = texts.agg(F.max(F.length("content"))).first()[0] or 0
-    dictionary = build_dictionary(targets, cfg, longest_note)
+    texts = (unprotected_notes(notes, cfg) if cfg.respect_protection else notes).select("path", "content")
+    dictionary = build_dictionary(targets, cfg, texts)
     if dictionary is None:
         return texts.select("path", "content", F.array().cast(EDITS).alias("edits")).limit(0)
     placed = texts.repartition("path")
@@ -80,10 +79,11 @@ def plan_edits(notes: DataFrame, targets: DataFrame, cfg: Config) -> DataFrame:
         F.collect_list(F.struct("match_len", "width", "entries", "starts")).alias("found")
     )
     choices = evaluate_once(
-        protected_ranges(F.col("content")), lambda kept: _choices(F.col("found"), kept)
+        _off_limits(F.col("content"), cfg), lambda kept: _choices(F.col("found"), kept)
     )
     return (
         placed.join(by_note, "path")
+        .select("path", "content", "found", computed(linked=_linked_already(F.col("content"), cfg)))
         .select("path", "content", computed(edits=F.array_sort(_claim(choices, cfg))))
         .filter(F.size("edits") > 0)
     )
@@ -104,7 +104,8 @@ def apply_links(
     texts = notes.select("path", "content")
     if accepted is not None:
         # Often the result of a scan, and read three times here.
-        accepted = durable(accepted.select("path", "target").distinct())
+        path = paths.normalize_path(F.col("path")).alias("path")
+        accepted = durable(accepted.select(path, "target").distinct())
         texts = texts.join(accepted.select("path").distinct(), "path", "left_semi")
     planned = plan_edits(texts, targets, cfg)
     if accepted is not None:
@@ -147,6 +148,23 @@ def _only_accepted(
     return texts.repartition("path").join(kept, "path")
 
 
+def _off_limits(content: Column, cfg: Config) -> Column:
+    """Ranges that must not be edited."""
+    ranges = protected_ranges(content)
+    if not cfg.protect_frontmatter:
+        return ranges
+    size = F.length(text.frontmatter(content))
+    whole = F.when(size > 0, F.array(span(F.lit(0), size))).otherwise(empty_spans())
+    return F.array_sort(F.concat(whole, ranges))
+
+
+def _linked_already(content: Column, cfg: Config) -> Column:
+    """Names of the notes that the text links to, where those are to be passed over."""
+    if not cfg.skip_already_linked:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.transform(link_tokens(content), lambda t: paths.note_name(link_target(t))))
+
+
 def _choices(found: Column, kept: Column) -> Column:
     """One element per (title text, note it stands for), longest text first, then
     by path; each with the places it may go."""
@@ -217,6 +235,8 @@ def _claim(choices: Column, cfg: Config) -> Column:
             ),
         )
         open_choice = (target != own_name) & ~F.exists(edits, lambda e: e["target"] == target)
+        if cfg.skip_already_linked:
+            open_choice = ~F.array_contains(F.col("linked"), target) & open_choice
         if cap:
             open_choice = (F.size(edits) < cap) & open_choice
         return F.when(open_choice, F.concat(edits, edit)).otherwise(edits)

@@ -59,19 +59,16 @@ def resolve(mentions: DataFrame, files: DataFrame) -> DataFrame:
     nearby = F.when(folder == "", F.col("target")).otherwise(
         F.concat(folder, F.lit("/"), F.col("target"))
     )
-    bare = F.when(~F.contains("target", F.lit("/")), F.col("target"))
-    return (
-        _lookup(
-            _lookup(
-                _lookup(mentions, at, F.col("target"), "_exact"), at, nearby, "_near"
-            ),
-            named,
-            bare,
-            "_named",
-        )
-        .withColumn("dst", F.coalesce("_exact", "_near", "_named"))
-        .drop("_exact", "_near", "_named")
-    )
+    # No file name has a slash, so the other links match nothing, and as their
+    # keys differ they spread.
+    bare = F.when(F.contains("target", F.lit("/")), F.concat(F.lit("/"), "target")).otherwise(F.col("target"))
+    placed = mentions.withColumn("_nearby", F.coalesce(nearby, "target"))
+    asked = placed.select("target", "_nearby").distinct()
+    exact = _lookup(asked, at, F.col("target"), "_exact")
+    near = _lookup(exact, at, F.coalesce(F.concat(F.lit("/"), "_exact"), "_nearby"), "_near")
+    named_too = _lookup(near, named, bare, "_named")
+    answers = named_too.select("target", "_nearby", F.coalesce("_exact", "_near", "_named").alias("dst"))
+    return placed.join(answers, ["target", "_nearby"], "left").select(*mentions.columns, "dst")
 
 
 def resolve_links(notes: DataFrame, files: DataFrame | None = None) -> DataFrame:

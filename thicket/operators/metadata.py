@@ -75,25 +75,44 @@ def _listed(content: Column, key: str, of_scalar: Callable[[Column], Column]) ->
 
     def values(meta: Column) -> Column:
         flow = F.regexp_extract(meta, rf"(?m)^{key}:[ \t]*\[([^\]]*)\]", 1)
-        block = F.regexp_extract(meta, rf"(?m)^{key}:[ \t]*\r?\n((?:[ \t]*- .*\r?\n)+)", 1)
         flow_items = F.regexp_extract_all(
             flow, F.lit(r"""\s*("[^"]*"|'[^']*'|[^,]+)"""), F.lit(1)
         )
-        block_items = F.regexp_extract_all(
-            block, F.lit(r"(?m)^[ \t]*- (.*?)\r?$"), F.lit(1)
-        )
-        items = F.when(flow != "", flow_items).otherwise(block_items)
-        listed = F.transform(items, lambda item: _unquoted(F.trim(item)))
-        return (
-            F.when(~F.contains(meta, F.lit(key + ":")), _no_strings())
-            .when((flow != "") | (block != ""), listed)
-            .otherwise(evaluate_once(_scalar(meta, key), of_scalar))
+
+        def chosen(block_items: Column) -> Column:
+            items = F.when(flow != "", flow_items).otherwise(block_items)
+            listed = F.transform(items, lambda item: _unquoted(F.trim(item)))
+            return F.when((flow != "") | (F.size(block_items) > 0), listed).otherwise(
+                evaluate_once(_scalar(meta, key), of_scalar)
+            )
+
+        return F.when(~F.contains(meta, F.lit(key + ":")), _no_strings()).otherwise(
+            evaluate_once(_block_items(meta, key), chosen)
         )
 
     block = evaluate_once(text.frontmatter(content), values)
     return F.when(F.startswith(content, F.lit("---")), block).otherwise(_no_strings())
 
 
+def _block_items(meta: Column, key: str) -> Column:
+    """The ``- a`` lines right below the key, each without its dash.
+
+    The block is cut into lines and the first other line looked for. A pattern
+    that repeats a group of one line would recurse once per line in Java.
+    """
+    item = r"\A[ \t]*- (.*?)\r?\z"
+    below = F.get(F.split(meta, rf"(?m)^{key}:[ \t]*\r?\n(?=[ \t]*- )", 2), F.lit(1))
+
+    def run(lines: Column) -> Column:
+        ends = F.array_position(F.transform(lines, lambda line: F.rlike(line, F.lit(item))), False)
+        return F.slice(lines, F.lit(1), F.greatest(ends - 1, F.lit(0)).cast("int"))
+
+    # What follows the last line break is no line; an empty end stops every run.
+    lines = F.concat(F.slice(F.split(below, "\n"), 1, F.size(F.split(below, "\n")) - 1), F.array(F.lit("")))
+    found = evaluate_once(lines, run)
+    return F.coalesce(F.transform(found, lambda line: F.regexp_extract(line, item, 1)), _no_strings())
+
+
 def _scalar(meta: Column, key: str) -> Column:
     """A single text value; numbers, booleans and nulls are no text."""
     value = F.trim(F.regexp_extract(meta, rf"(?m)^{key}:[ \t]+([^\[\r\n].*?)\r?$", 1))

@@ -14,9 +14,7 @@ from thicket.operators.metadata import with_metadata
 
 # Array and row headers of one broadcast dictionary row and one of its entries.
 _ROW_BYTES, _ENTRY_BYTES = 96, 64
-# Up to this count a window limit runs before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-SMALL_COUNT = 1000
+_LIMIT_BEFORE_SHUFFLE = "spark.sql.optimizer.windowGroupLimitThreshold"
 _SALTS = 64
 # The lead filter has at most this many rows, whatever the dictionary's size.
 _LEAD_BUCKETS = 1 << 20
@@ -114,16 +112,26 @@ def lead_bucket(lead: Column, buckets: int) -> Column:
     return F.xxhash64(lead).bitwiseAND(F.lit(buckets - 1))
 
 
-def build_dictionary(targets: DataFrame, cfg: Config, longest_note: int) -> Dictionary | None:
-    """Group targets by the (case-folded) text that mentions them.
+def build_dictionary(targets: DataFrame, cfg: Config, notes: DataFrame) -> Dictionary | None:
+    """Group targets by the (case-folded) text that mentions them, for use on ``notes``.
+
+    The minimum length holds for supplied targets too.
 
     Many notes can share a title or alias. One note can use at most ``cap + 1``
     of them: each either becomes a link, is linked already through another text
     (both count towards the cap), or is the note's own name. So the first
-    ``cap + 1`` are the whole answer. Without a cap, the longest note bounds the
-    links of any note in the same way (two UTF-16 units are one character at most).
+    ``cap + 1`` are the whole answer. Without a cap, a note has no more links than
+    mentions, and the longest note here bounds those (two UTF-16 units are one
+    character at most).
     """
-    most = cfg.link_max_per_note or 2 * longest_note // cfg.link_min_title_length + 1
+    units = text.utf16_length(F.col("match")).cast("int")
+    targets = targets.withColumn("match_len", units).filter(
+        F.col("match_len") >= cfg.link_min_title_length
+    )
+    most = cfg.link_max_per_note
+    if not most:
+        longest = notes.agg(F.max(F.length("content"))).first()[0] or 0
+        most = 2 * longest // cfg.link_min_title_length + 1
     key = F.col("match") if cfg.link_case_sensitive else text.fold_case(F.col("match"))
     one_per_target = (
         targets.select(key.alias("key"), "target", "path", "ord", "match_len")
@@ -171,11 +179,11 @@ def build_dictionary(targets: DataFrame, cfg: Config, longest_note: int) -> Dict
 def _first_of_each_key(rows: DataFrame, count: int) -> DataFrame:
     """The first ``count`` rows of each key in path order.
 
-    Spark cuts small counts before it shuffles. For larger ones the rows of a key
-    are first spread over salts and cut there, so that no task sorts all notes
-    that share one title.
+    Spark cuts counts below a setting before it shuffles. For larger ones the rows
+    of a key are first spread over salts and cut there, so that no task sorts all
+    notes that share one title.
     """
-    if count > SMALL_COUNT:
+    if count > int(rows.sparkSession.conf.get(_LIMIT_BEFORE_SHUFFLE, "-1")):
         salt = F.xxhash64("target").bitwiseAND(F.lit(_SALTS - 1))
         rows = _first_rows(rows.withColumn("salt", salt), ["key", "salt"], count)
     return _first_rows(rows, ["key"], count)

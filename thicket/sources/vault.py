@@ -2,75 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow.fs
-from pyspark import RDD
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_RECURSIVE = "mapreduce.input.fileinputformat.input.dir.recursive"
 
-
-def read_vault(spark: SparkSession, folder: str) -> DataFrame:
+def read_vault(spark: SparkSession, folder: str, also: Sequence[str] = ()) -> DataFrame:
     """(path, content) of every '.md' file below ``folder``.
 
-    The DataFrame file readers skip files of zero bytes, which are the very notes
-    a clutter scan looks for, so this one reads through ``binaryFiles``. It is
-    meant for loading: write the result as a table and work on that.
+    Only those files are opened, zero-byte ones included; Spark lists large
+    folders in parallel. It passes over names that start with '.' or '_', so such
+    folders, the trash for one, are named in ``also`` where they are wanted.
     """
-    prefix = _absolute(spark, folder) + "/"
-    files = _files_below(spark, folder)
-    notes = files.filter(lambda file: file[0].endswith(".md")).map(
-        lambda file: (
-            file[0].split(prefix, 1)[1],
-            bytes(file[1]).decode("utf-8", errors="replace"),
-        )
-    )
-    return spark.createDataFrame(notes, "path string, content string")
+    files = _files_below(spark, folder, also, "*.md")
+    content = F.make_valid_utf8(F.col("content").cast("string"))
+    filled = files.select(_relative(spark, folder).alias("path"), content.alias("content"))
+    # Spark's readers pass over files of zero bytes, which a clutter scan looks for.
+    empty = _names(spark, folder, files).join(filled.select("path"), "path", "left_anti")
+    return filled.unionByName(empty.withColumn("content", F.lit("")))
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path) of every file below ``folder``, of any kind and size."""
-    prefix = _absolute(spark, folder) + "/"
-    files = _files_below(spark, folder)
-    paths = files.map(lambda file: (file[0].split(prefix, 1)[1],))
-    return spark.createDataFrame(paths, "path string")
+def list_files(spark: SparkSession, folder: str, also: Sequence[str] = ()) -> DataFrame:
+    """(path) of every file below ``folder``, of any kind and size. None is opened."""
+    return _names(spark, folder, _files_below(spark, folder, also, "*"))
 
 
 def write_vault(notes: DataFrame, folder: str) -> DataFrame:
     """Write each note as a file below ``folder``; returns (written) per batch.
 
-    Tasks write whole files, so a repeated task leaves the same result. Nothing
-    is written until the returned rows are used.
+    ``folder`` is an address as Spark takes it; one that has files already is
+    refused. Tasks write whole files, so a repeated task leaves the same result.
+    Nothing is written until the returned rows are used.
     """
+    spark = notes.sparkSession
+    filesystem, root = _qualified(spark, folder)
+    if filesystem.exists(root) and len(filesystem.listStatus(root)):
+        raise FileExistsError(f"not empty: {folder}")
+    # The same store by the names that tasks know it under.
+    address = re.sub(r"^s3[an]:", "s3:", root.toUri().toString())
+    address = re.sub(r"^file:/+", "file:///", address)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filesystem, root = pyarrow.fs.FileSystem.from_uri(folder)
+        store, base = pyarrow.fs.FileSystem.from_uri(address)
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                target = f"{root}/{path}"
-                filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                with filesystem.open_output_stream(target) as out:
+                target = f"{base}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(target, compression=None) as out:
                     out.write(content.encode("utf-8"))
             yield pd.DataFrame({"written": [len(batch)]})
 
     return notes.select("path", "content").mapInPandas(write, "written bigint")
 
 
-def _files_below(spark: SparkSession, folder: str) -> RDD:
-    sc = spark.sparkContext
-    hadoop = sc._jsc.hadoopConfiguration()
-    before = hadoop.get(_RECURSIVE)
-    hadoop.set(_RECURSIVE, "true")
-    try:
-        return sc.binaryFiles(folder, sc.defaultParallelism)
-    finally:
-        hadoop.set(_RECURSIVE, before or "false")
+def _files_below(spark: SparkSession, folder: str, also: Sequence[str], names: str) -> DataFrame:
+    filesystem, root = _qualified(spark, folder)
+    hidden = [f"{root.toString()}/{name.strip('/')}" for name in also]
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    roots = [root.toString(), *(path for path in hidden if filesystem.exists(jvm_path(path)))]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return reader.option("pathGlobFilter", names).load([re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in roots])
+
+
+def _names(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+    """(path) of all files that Spark has listed for ``files``."""
+    prefix = _qualified(spark, folder)[1].toString().rstrip("/") + "/"
+    listed = (re.sub("^file:/+", "file:/", unquote(name)) for name in files.inputFiles())
+    return spark.createDataFrame([(name.removeprefix(prefix),) for name in listed], "path string")
+
+
+def _relative(spark: SparkSession, folder: str) -> Column:
+    """The path below the folder; both are compared as full addresses."""
+    prefix = _qualified(spark, folder)[1].toString().rstrip("/") + "/"
+    return F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path"))
 
 
-def _absolute(spark: SparkSession, folder: str) -> str:
-    """The folder's path part as Hadoop reports it for the files in it."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    filesystem = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return filesystem.makeQualified(jvm_path).toUri().getPath().rstrip("/")
+def _qualified(spark: SparkSession, folder: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    filesystem = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return filesystem, filesystem.makeQualified(jvm_path)
