@@ -224,6 +224,12 @@ def _collapsed(c: dict[str, np.ndarray]) -> pa.RecordBatch:
     columns = {"kind": np.append(kind, np.full(len(tokens), _TOKEN)), "part": np.append(part, core[tokens])}
     for name in ("core", "full", "doc", "row", "anchor", "p1", "p2"):
         columns[name] = np.append(c[name], c[name][kept][tokens])
+    # Most cells are alone with their core, which then is their part; and a span is
+    # only a place. Zeros cost nothing in the shuffle.
+    plain = columns["kind"] == _SPAN
+    columns["core"] = np.where(plain | (columns["part"] == columns["core"]), 0, columns["core"])
+    for name in ("full", "doc"):
+        columns[name] = np.where(plain, 0, columns[name])
     small = {"kind", "anchor", "p1", "p2"}
     arrays = [pa.array(v, pa.int32() if k in small else pa.int64()) for k, v in columns.items()]
     return pa.RecordBatch.from_arrays(arrays, list(columns))
@@ -240,18 +246,23 @@ def _in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = pa.concat_batches([held, batch])
         part, core = batch.column("part").to_numpy(), batch.column("core").to_numpy()
         kind = batch.column("kind").to_numpy()
-        single = (part == core) & (kind != _SPAN)
+        single = (kind != _SPAN) & (core == 0)
         equal = np.diff(part) == 0
         company = np.append(before is not None and before == part[0], equal) | np.append(equal, False)
         keep = (kind != _TOKEN) & (~single | company)
         end = batch.num_rows - 1
-        yield batch.slice(0, end).filter(pa.array(keep[:end]))
+        yield _with_core(batch.slice(0, end).filter(pa.array(keep[:end])))
         before = part[end - 1] if end else before
         held = batch.slice(end)
     if held is not None:
         kind, part = held.column("kind")[0].as_py(), held.column("part")[0].as_py()
-        alone = part == held.column("core")[0].as_py() and kind != _SPAN and before != part
-        yield held.slice(0, 0 if alone or kind == _TOKEN else 1)
+        alone = held.column("core")[0].as_py() == 0 and kind != _SPAN and before != part
+        yield _with_core(held.slice(0, 0 if alone or kind == _TOKEN else 1))
+
+
+def _with_core(batch: pa.RecordBatch) -> pa.RecordBatch:
+    core, part = batch.column("core").to_numpy(), batch.column("part").to_numpy()
+    return batch.set_column(batch.schema.get_field_index("core"), "core", pa.array(np.where(core == 0, part, core)))
 
 
 def _portions(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, bytes, list | None]]]:
