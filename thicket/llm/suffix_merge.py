@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN = 50_000  # suffixes of one sorted run
-SAMPLES = 64  # sampled suffixes for each range
+SAMPLE = 20_000  # suffixes, about, from which the ranges are cut
 _RUNS = "target int, shared binary, tails binary, lengths binary, doc binary, row binary, start binary"
 
 
@@ -53,7 +53,8 @@ def repeated_windows(open_texts: DataFrame, length: int) -> DataFrame:
 
 
 def _cuts(open_texts: DataFrame, length: int, parts: int) -> list[bytes]:
-    """Up to ``parts`` - 1 suffixes that cut a sample of ``SAMPLES`` for each range evenly."""
+    """Up to ``parts`` - 1 suffixes that cut a sample evenly, one suffix of each sampled text."""
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -62,8 +63,8 @@ def _cuts(open_texts: DataFrame, length: int, parts: int) -> list[bytes]:
                 out.append(text.as_py().encode()[start : start + length])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["suffix"])
 
-    wanted = parts * SAMPLES
-    chosen = open_texts.select("text", "open").orderBy(F.xxhash64("row")).limit(wanted)
+    every = -(-open_texts.count() // SAMPLE)
+    chosen = open_texts.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, every))) == 0).select("text", "open")
     sample = sorted(r[0] for r in chosen.mapInArrow(first, "suffix binary").collect())
     return sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
 
