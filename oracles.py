@@ -378,6 +378,10 @@ def oracle_sql() -> dict[str, str]:
         "rewrite_inbound_links": _query(
             "SELECT path, md5(content) AS content_md5, n_applied FROM relinked",
             *moves, GRAPH, RELINKED),
+        "linked_corpus": _query(
+            """SELECT path, md5(coalesce(w.content, n.content)) AS content_md5
+               FROM notes n LEFT JOIN written w USING (path)""",
+            *edges, every_one, WRITTEN, recursive=True),
         "trashed_corpus": _query(
             """SELECT coalesce(d.new_path, n.path) AS path,
                       md5(coalesce(r.content, n.content)) AS content_md5

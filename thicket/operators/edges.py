@@ -60,15 +60,83 @@ def plan_edits(notes: DataFrame, targets: DataFrame, cfg: Config) -> DataFrame:
     Notes are hash-partitioned by path once. Finding, grouping and choosing then
     stay in that partitioning, and the text comes back by a join in place.
     """
-    texts = (unprotected_notes(notes, cfg) if cfg.respect_protection else notes).select("path", "content")
+    return _plan(notes.select("path", "content").repartition("path"), targets, cfg)
+
+
+def apply_links(
+    notes: DataFrame,
+    cfg: Config,
+    accepted: DataFrame | None = None,
+    targets: DataFrame | None = None,
+) -> DataFrame:
+    """(path, content, n_applied) of every changed note.
+
+    The plan is made again on the current notes with all targets; then only the
+    accepted (path, target) pairs are written. Without ``accepted``, all are.
+    """
+    placed = notes.select("path", "content").repartition("path")
+    edits = _accepted_edits(placed, notes, cfg, accepted, targets)
+    return placed.join(edits, "path").select(
+        "path", _linked(F.col("content"), F.col("edits")).alias("content"), _count(F.col("edits"))
+    )
+
+
+def linked_corpus(
+    notes: DataFrame,
+    cfg: Config,
+    accepted: DataFrame | None = None,
+    targets: DataFrame | None = None,
+) -> DataFrame:
+    """All notes with the accepted links written, and n_applied, 0 where there are none.
+
+    The edits are joined back to the texts where these lie, so those are shuffled once.
+    """
+    placed = notes.repartition("path")
+    edits = _accepted_edits(placed.select("path", "content"), notes, cfg, accepted, targets)
+    content, made = F.col("content"), F.col("edits")
+    columns = {"content": F.when(made.isNull(), content).otherwise(_linked(content, made))}
+    return placed.join(edits, "path", "left").select(
+        *(columns.get(c, F.col(c)).alias(c) for c in notes.columns), _count(made)
+    )
+
+
+def _accepted_edits(
+    placed: DataFrame,
+    notes: DataFrame,
+    cfg: Config,
+    accepted: DataFrame | None,
+    targets: DataFrame | None,
+) -> DataFrame:
+    """(path, edits) of every note that changes. Accepted rows are matched one by
+    one, never gathered, so a long or repetitive list of them does no harm."""
+    targets = link_targets(notes, cfg) if targets is None else targets
+    if accepted is None:
+        return _plan(placed, targets, cfg).select("path", "edits")
+    # Often the result of a scan, and read several times here.
+    path = paths.normalize_path(F.col("path")).alias("path")
+    accepted = durable(accepted.select(path, "target").distinct())
+    reviewed = placed.join(accepted.select("path").distinct(), "path", "left_semi")
+    return (
+        _plan(reviewed, targets, cfg)
+        .select("path", F.explode("edits").alias("edit"))
+        .withColumn("target", F.col("edit.target"))
+        .join(accepted, ["path", "target"], "left_semi")
+        .groupBy("path")
+        .agg(F.array_sort(F.collect_list("edit")).alias("edits"))
+    )
+
+
+def _plan(placed: DataFrame, targets: DataFrame, cfg: Config) -> DataFrame:
+    """(path, content, edits) of notes that lie partitioned by path."""
+    texts = placed
+    if cfg.respect_protection:
+        texts = unprotected_notes(placed, cfg)
     dictionary = build_dictionary(targets, cfg, texts)
     if dictionary is None:
         return texts.select("path", "content", F.array().cast(EDITS).alias("edits")).limit(0)
-    placed = texts.repartition("path")
-    if dictionary.bytes <= cfg.broadcast_limit_bytes:
-        mentions = find_mentions(placed, dictionary, cfg)
-    else:
-        mentions = find_mentions(texts, dictionary, cfg).repartition("path")
+    mentions = find_mentions(texts, dictionary, cfg)
+    if dictionary.bytes > cfg.broadcast_limit_bytes:
+        mentions = mentions.repartition("path")
     by_title = mentions.groupBy("path", "key").agg(
         F.first("width").alias("width"),
         F.first("match_len").alias("match_len"),
@@ -82,70 +150,29 @@ def plan_edits(notes: DataFrame, targets: DataFrame, cfg: Config) -> DataFrame:
         _off_limits(F.col("content"), cfg), lambda kept: _choices(F.col("found"), kept)
     )
     return (
-        placed.join(by_note, "path")
+        texts.join(by_note, "path")
         .select("path", "content", "found", computed(linked=_linked_already(F.col("content"), cfg)))
         .select("path", "content", computed(edits=F.array_sort(_claim(choices, cfg))))
         .filter(F.size("edits") > 0)
     )
 
 
-def apply_links(
-    notes: DataFrame,
-    cfg: Config,
-    accepted: DataFrame | None = None,
-    targets: DataFrame | None = None,
-) -> DataFrame:
-    """(path, content, n_applied) of every changed note.
-
-    The plan is made again on the current notes with all targets; then only the
-    accepted (path, target) pairs are written. Without ``accepted``, all are.
-    """
-    targets = link_targets(notes, cfg) if targets is None else targets
-    texts = notes.select("path", "content")
-    if accepted is not None:
-        # Often the result of a scan, and read three times here.
-        path = paths.normalize_path(F.col("path")).alias("path")
-        accepted = durable(accepted.select(path, "target").distinct())
-        texts = texts.join(accepted.select("path").distinct(), "path", "left_semi")
-    planned = plan_edits(texts, targets, cfg)
-    if accepted is not None:
-        planned = _only_accepted(planned, texts, accepted)
-    content = F.col("content")
-    return (
-        planned.withColumn(
-            "edits",
-            F.transform(
-                "edits",
-                lambda e: F.struct(
-                    e["start"],
-                    e["end"],
-                    text.wikilink(
-                        e["target"], text.text_slice(content, e["start"], e["end"])
-                    ).alias("replacement"),
-                ),
+def _linked(content: Column, edits: Column) -> Column:
+    return text.splice(
+        content,
+        F.transform(
+            edits,
+            lambda e: F.struct(
+                e["start"],
+                e["end"],
+                text.wikilink(e["target"], text.text_slice(content, e["start"], e["end"])).alias("replacement"),
             ),
-        )
-        .select(
-            "path",
-            text.splice(content, F.col("edits")).alias("content"),
-            F.size("edits").cast("bigint").alias("n_applied"),
-        )
+        ),
     )
 
 
-def _only_accepted(
-    planned: DataFrame, texts: DataFrame, accepted: DataFrame
-) -> DataFrame:
-    """Keep accepted edits. Accepted rows are matched one by one, never gathered,
-    so a long or repetitive list of them does no harm."""
-    kept = (
-        planned.select("path", F.explode("edits").alias("edit"))
-        .withColumn("target", F.col("edit.target"))
-        .join(accepted, ["path", "target"], "left_semi")
-        .groupBy("path")
-        .agg(F.array_sort(F.collect_list("edit")).alias("edits"))
-    )
-    return texts.repartition("path").join(kept, "path")
+def _count(edits: Column) -> Column:
+    return F.coalesce(F.size(edits), F.lit(0)).cast("bigint").alias("n_applied")
 
 
 def _off_limits(content: Column, cfg: Config) -> Column:

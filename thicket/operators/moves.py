@@ -137,8 +137,36 @@ def rewrite_inbound_links(
     Such a link is rewritten to the full new path; its heading and its display
     text stay. Paths are those before the moves.
     """
+    content, renames = F.col("content"), F.col("renames")
+    return notes.join(_link_renames(notes, moves, files), "path").select(
+        "path",
+        _relinked(content, renames).alias("content"),
+        F.size(F.filter(link_tokens(content), lambda t: renames[link_target(t)].isNotNull()))
+        .cast("bigint")
+        .alias("n_applied"),
+    )
+
+
+def moved_corpus(
+    notes: DataFrame, moves: DataFrame, files: DataFrame | None = None
+) -> DataFrame:
+    """All notes after the moves, with links to moved notes kept whole.
+
+    New links and new paths are joined first, so the texts are shuffled once.
+    """
+    changes = _link_renames(notes, moves, files).join(done_moves(moves), "path", "full")
+    content, renames = F.col("content"), F.col("renames")
+    relinked = F.when(renames.isNull(), content).otherwise(_relinked(content, renames))
+    columns = {"path": F.coalesce("new_path", "path"), "content": relinked}
+    return notes.join(changes, "path", "left").select(
+        *(columns.get(c, F.col(c)).alias(c) for c in notes.columns)
+    )
+
+
+def _link_renames(notes: DataFrame, moves: DataFrame, files: DataFrame | None) -> DataFrame:
+    """(path, renames): by old link text the new one, for each note that needs any."""
     reachable = (notes if files is None else files).select("path")
-    renames = (
+    return (
         stale_links(notes, moves, reachable)
         .groupBy(F.col("src").alias("path"))
         .agg(
@@ -147,23 +175,18 @@ def rewrite_inbound_links(
             )
         )
     )
-    content = F.col("content")
+
+
+def _relinked(content: Column, renames: Column) -> Column:
     body = text.strip_frontmatter(content)
     head = F.substring(content, F.lit(1), F.length(content) - F.length(body))
-    tokens = link_tokens(content)
-    new_tokens = F.transform(tokens, lambda t: _renamed_token(t, F.col("renames")))
-    between = F.split(body, LINK_TOKEN, -1)
+    new_tokens = F.transform(link_tokens(content), lambda t: _renamed_token(t, renames))
     woven = F.zip_with(
-        between, new_tokens, lambda gap, t: F.concat(gap, F.coalesce(t, F.lit("")))
-    )
-    n_applied = F.size(
-        F.filter(tokens, lambda t: F.col("renames")[link_target(t)].isNotNull())
-    )
-    return notes.join(renames, "path").select(
-        "path",
-        F.concat(head, F.array_join(woven, "")).alias("content"),
-        n_applied.cast("bigint").alias("n_applied"),
+        F.split(body, LINK_TOKEN, -1),
+        new_tokens,
+        lambda gap, t: F.concat(gap, F.coalesce(t, F.lit(""))),
     )
+    return F.concat(head, F.array_join(woven, ""))
 
 
 def _renamed_token(token: Column, renames: Column) -> Column:

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame
 from thicket.config import Config
 from thicket.operators.clutter import flag_clutter, in_report_order
 from thicket.operators.links import resolve_links
-from thicket.operators.moves import apply_moves, plan_trash_moves, rewrite_inbound_links
+from thicket.operators.moves import moved_corpus, plan_trash_moves
 from thicket.plans.reports import accepted_only
-from thicket.sources.tables import merge_changes
 
 
 @dataclass(frozen=True)
@@ -44,5 +43,4 @@ def trash(
     everything = notes.select("path") if files is None else files
     chosen = accepted_only(flagged, accepted, ["path"])
     moves = plan_trash_moves(chosen, everything, cfg, now_ms)
-    relinked = merge_changes(notes, rewrite_inbound_links(notes, moves, everything))
-    return TrashResult(moves, apply_moves(relinked, moves))
+    return TrashResult(moves, moved_corpus(notes, moves, everything))

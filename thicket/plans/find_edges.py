@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.config import Config
-from thicket.operators.edges import apply_links, suggest_links
+from thicket.operators.edges import linked_corpus, suggest_links
 from thicket.operators.ranking import shuffled_once
-from thicket.sources.tables import merge_changes
 
 
 @dataclass(frozen=True)
@@ -29,5 +28,6 @@ def scan(notes: DataFrame, cfg: Config) -> DataFrame:
 def insert(notes: DataFrame, cfg: Config, accepted: DataFrame | None = None) -> LinkResult:
     """Write accepted links into the notes as they are now. Notes that are gone
     since the scan are passed over."""
-    changed = apply_links(notes, cfg, accepted)
-    return LinkResult(changed, merge_changes(notes, changed))
+    linked = linked_corpus(notes, cfg, accepted)
+    changed = linked.filter(F.col("n_applied") > 0).select("path", "content", "n_applied")
+    return LinkResult(changed, linked.drop("n_applied"))
