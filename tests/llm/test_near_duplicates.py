@@ -97,3 +97,21 @@ def test_huge_text_is_hashed_in_blocks(monkeypatch):
     whole = minhash._word_hashes([b" ".join(words)])
     monkeypatch.setattr(minhash, "_CHUNK", 256)
     assert (minhash._word_hashes([b" ".join(words)]) == whole).all()
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_star_of_edited_copies(make_docs, seed):
+    """Copies of one text with different edits: many share buckets, few are linked."""
+    random.seed(seed)
+    base = [f"w{i}" for i in range(150)]
+    second = base[:100] + [f"z{i}" for i in range(50)]
+    rows = []
+    for doc_id in range(140):
+        text = list(second if doc_id % 5 == 0 else base)
+        for _ in range(random.choice((0, 1, 2, 3, 4, 5, 8, 12))):
+            text[random.randrange(len(text))] = f"v{random.randrange(40 if doc_id % 2 else 10**6)}"
+        rows.append((doc_id, " ".join(text), "s"))
+    random.shuffle(rows)
+    found = minhash.near_duplicates(make_docs(rows), shingle=4).collect()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found}
+    assert got == brute_force(rows, 4)

@@ -7,11 +7,12 @@ shifted by k. ``BANDS`` bands of ``ROWS`` coordinates miss a pair of similarity
 0.8 once in eight million. Every proposed pair is confirmed on full shingle sets.
 
 Copies never pair up. Documents of equal word sequences are one class, and only
-its representative goes on. In each bucket two members in turn are compared with
-all others, a number of pairs that is linear in its size, and components are
-formed. What is left are pairs of members that are still in different components
-where at least one is not in the first member's; only those are compared too, so
-no link between different texts that a bucket holds is lost.
+its representative goes on. In each bucket the member that shares the most
+buckets is compared with all others, then another among those that it is not
+connected with: a number of pairs linear in the size of the bucket. Links that
+this leaves out are between members that share a change against the first of the
+two, and are found by a join on such changes (see ``_pairs_that_share_changes``),
+so no link between different texts that a bucket holds is lost.
 
 Scale: texts are read twice, once for signatures and once for those that share a
 bucket. Everything else works on row numbers. Buckets are counted before they
@@ -86,88 +87,178 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 def _links(keyed: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``a, b``: confirmed links that connect all nodes that any confirmed links connect."""
     banded = nodes.select(F.col(ROW).alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = (
-        banded.groupBy("key")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"))
-        .filter("size > 1")
-        .drop("size")
-    )
-    members = durable(banded.join(buckets, "key"))
-    wanted = members.select(F.col("node").alias(ROW)).distinct()
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    crowded = durable(banded.join(buckets, "key"))
+    scores = crowded.groupBy("node", "n").agg(F.sum("size").alias("score"))
+    members = durable(crowded.drop("n", "size").join(scores, "node"))
     texts = stored(
-        keyed.join(wanted, ROW, "left_semi").select(F.col(ROW).alias("node"), "text")
+        keyed.join(scores.select(F.col("node").alias(ROW)), ROW, "left_semi").select(F.col(ROW).alias("node"), "text")
     )
-    sizes = durable(members.select("node", "n").distinct())
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return durable(confirm(pairs, texts, shingle, percent))
-
-    def labelled(links: DataFrame) -> DataFrame:
-        roots = durable(components(links))
-        return durable(
-            members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        )
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs, smaller node first, whose set sizes allow a link."""
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sized = ordered.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-        fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        return sized.filter(fits).select("a", "b")
-
-    first = durable(alike(members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))))
-    links = confirmed(first)
-    state = labelled(links)
-    ends = state.join(
-        state.select(F.col("node").alias("high"), F.col("root").alias("high_root")).distinct(), "high"
-    ).filter("root <> high_root")
-    second = durable(
-        alike(ends.select(F.col("high").alias("a"), F.col("node").alias("b"))).join(first, ["a", "b"], "left_anti")
+    def labelled(links: DataFrame, rows: DataFrame) -> DataFrame:
+        roots = components(links)
+        return durable(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+    # The member that shares the most buckets is compared with all others of a bucket.
+    led = members.join(_leaders(members, "key"), "key")
+    groups = durable(led.filter("node <> lead").select("lead", "node", "n").distinct())
+    first = groups.select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    links = durable(confirm(first, texts, shingle, percent))
+    # The same once more among those that are not in its component.
+    state = labelled(links, led)
+    heads = _heads(state, "lead")
+    strays = state.join(heads, "lead").filter("root <> lead_root").select("key", "node", "score", "root")
+    next_ = strays.join(_leaders(strays, "key"), "key").filter("node <> lead")
+    second = durable(next_.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    links = durable(links.union(confirm(second, texts, shingle, percent)))
+    rest = _pairs_that_share_changes(labelled(links, groups), texts, shingle, percent)
+    rest = rest.join(_ordered(first.union(second)), ["a", "b"], "left_anti")
+    return links.union(durable(confirm(rest, texts, shingle, percent)))
+
+
+def _leaders(members: DataFrame, group: str) -> DataFrame:
+    best = F.max(F.struct("score", -F.col("node")))
+    return members.groupBy(group).agg(best.alias("m")).select(group, (-F.col("m.col2")).alias("lead"))
+
+
+def _heads(state: DataFrame, lead: str) -> DataFrame:
+    """The component of each leader; one that has no link is its own."""
+    roots = state.select(F.col("node").alias(lead), F.col("root").alias("lead_root")).distinct()
+    leads = state.select(lead).distinct()
+    return leads.join(roots, lead, "left").withColumn("lead_root", F.coalesce("lead_root", lead))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _pairs_that_share_changes(groups: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``a, b``: the pairs of a group that may be linked though their leader links them not.
+
+    A member's changes are the shingles by which it differs from the leader. With
+    d(x), d(y) changes of which c are the same, the sets differ in d(x) + d(y) - 2c
+    shingles, and a link allows at most a share of their sizes. For a member that
+    the leader is not linked with this means c > 0: it must share a change with the
+    other. At most so many of its changes may be its own, so one of a few, the
+    rarest that others have at all, is shared. Members are joined on these, and only
+    where the bound can hold. The work thus follows what members have in common
+    beyond their leader, not the square of the group.
+    """
+    leads = groups.select(F.col("lead").alias("node")).distinct()
+    known = groups.select("node", "root").distinct()
+    heads = leads.join(known, "node", "left").select(
+        F.col("node").alias("lead"), F.coalesce("root", "node").alias("lead_root")
+    )
+    placed = groups.join(heads, "lead").withColumn("stray", F.col("root") != F.col("lead_root"))
+    open_ = (
+        placed.groupBy("lead")
+        .agg(F.count("*").alias("all"), F.max("stray").alias("any"))
+        .filter("any AND all > 1")
+        .select("lead")
     )
-    links = durable(links.union(confirmed(second)))
-    state = labelled(links)
-    lows = state.select(F.col("node").alias("low"), F.col("root").alias("low_root")).distinct()
-    strays = state.join(lows, "low").filter("root <> low_root").select(
-        "key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")
+    placed = durable(placed.join(open_, "lead").select("lead", "node", "n", "root", "stray"))
+    pairs = placed.select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    changes = stored(_with_texts(pairs, texts).mapInArrow(_changes(shingle), "lead bigint, node bigint, changes array<bigint>"))
+    each = changes.select("lead", "node", F.explode("changes").alias("change"))
+    counts = each.groupBy("lead", "change").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = each.join(counts, ["lead", "change"])
+    lists = (
+        shared.groupBy("lead", "node")
+        .agg(F.sort_array(F.collect_list(F.struct("times", "change"))).alias("shared"))
+        .join(changes.select("lead", "node", F.size("changes").alias("d")), ["lead", "node"])
+        .join(placed, ["lead", "node"])
+        .withColumn("c", F.size("shared"))
     )
-    others = state.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = (
-        strays.join(others, "key")
-        .filter("root_a <> root_b")
-        .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(first.union(second), ["a", "b"], "left_anti")
+    lists = durable(lists)
+    # A link allows sets of sizes x and y to differ in allowed * (x + y) shingles, and y <= 100 x / percent.
+    most = (100 - percent) * (100 + percent) * F.col("n")
+    own = F.floor(most / (percent * (100 + percent)) - (F.col("d") - F.col("c")))
+    left = (
+        lists.filter("stray")
+        .withColumn("own", own)
+        .filter("own >= 0")
+        .select(
+            "lead",
+            F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"),
+            F.col("d").alias("d_x"), F.col("c").alias("c_x"),
+            F.explode(F.slice("shared", F.lit(1), (F.col("own") + 1).cast("int"))).alias("s"),
+        )
+        .withColumn("change", F.col("s.change"))
+        .drop("s")
+    )
+    right = lists.select(
+        "lead",
+        F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"),
+        F.col("d").alias("d_y"), F.col("c").alias("c_y"),
+        F.explode("shared.change").alias("change"),
+    )
+    least = F.col("d_x") + F.col("d_y") - 2 * F.least("c_x", "c_y")
+    fits = (
+        (F.col("root_x") != F.col("root_y"))
+        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+        & ((100 + percent) * least <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
     )
-    return links.union(confirmed(rest))
+    same = [left["lead"] == right["lead"], left["change"] == right["change"]]
+    found = left.join(right, [*same, fits]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return _ordered(found)
+
+
+def _changes(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(width)
+        for batch in batches:
+            out = []
+            for left, right in sets.of(batch):
+                digests = (hashlib.blake2b(s, digest_size=8).digest() for s in left ^ right)
+                out.append([int.from_bytes(d, "big", signed=True) for d in digests])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(out, pa.list_(pa.int64()))], ["lead", "node", "changes"]
+            )
+
+    return run
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The ``pairs`` (``a, b``) whose full shingle sets are similar enough. ``texts``: ``node, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, set] = OrderedDict()
-
-        def of(node: int, text: pa.Scalar) -> set:
-            if node in known:
-                known.move_to_end(node)
-                return known[node]
-            while known and sum(map(len, known.values())) > 200_000:
-                known.popitem(last=False)
-            known[node] = shingles(text.as_py() or "", shingle)
-            return known[node]
-
+        sets = _Sets(shingle)
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
-            for i in range(batch.num_rows):
-                left, right = of(a[i], batch.column("text_a")[i]), of(b[i], batch.column("text_b")[i])
+            for left, right in sets.of(batch):
                 common = len(left & right)
                 keep.append(100 * common >= percent * (len(left) + len(right) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    return _with_texts(pairs, texts).mapInArrow(run, "a bigint, b bigint")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     whole = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return whole.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return whole.select("a", "b", "text_a", "text_b")
+
+
+class _Sets:
+    """Shingle sets of the pairs of a batch; the last ones used are kept."""
+
+    def __init__(self, width: int, most: int = 200_000):
+        self.width, self.most, self.size = width, most, 0
+        self.known: OrderedDict[int, set[bytes]] = OrderedDict()
+
+    def of(self, batch: pa.RecordBatch) -> Iterator[tuple[set[bytes], set[bytes]]]:
+        for a, b, text_a, text_b in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b"))):
+            yield self._one(a.as_py(), text_a), self._one(b.as_py(), text_b)
+
+    def _one(self, node: int, text: pa.Scalar) -> set[bytes]:
+        if node in self.known:
+            self.known.move_to_end(node)
+            return self.known[node]
+        found = shingles(text.as_py() or "", self.width)
+        while self.known and self.size + len(found) > self.most:
+            self.size -= len(self.known.popitem(last=False)[1])
+        self.known[node] = found
+        self.size += len(found)
+        return found
 
 
 def words_of(text: str) -> list[bytes]:
