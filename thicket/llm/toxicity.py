@@ -85,11 +85,11 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~_held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     lines = F.transform(F.split("text", "\n"), lambda s: F.struct(F.length(s), F.xxhash64(s)))
+    # Only ids and hashes are joined and shuffled, no texts.
     usable = (
-        docs.select("doc_id", "text")
-        .filter(~_held_out() & (F.length("text") <= LONGEST))
+        docs.filter(~_held_out() & (F.length("text") <= LONGEST))
+        .select("doc_id", F.array_max(lines).alias("longest_line"), F.xxhash64("doc_id").alias("order"))
         .join(known, "doc_id")
-        .select("toxic", "doc_id", F.array_max(lines).alias("longest_line"), F.xxhash64("doc_id").alias("order"))
     )
     single = durable(usable.groupBy("toxic", "longest_line").agg(F.min(F.struct("order", "doc_id")).alias("m")))
     chosen = [
