@@ -28,10 +28,13 @@ notes AS (
          CASE WHEN a.d % 11 = 0 THEN E'---\ntags: [x]\n---\n  \n'
               WHEN a.d % 13 = 0 THEN a.text || ' Free Money now'
               WHEN a.d % 17 = 0 THEN E'{FENCE}\n{FARM}\n{FENCE}'
+              WHEN a.d % 38 = 19 THEN E'---\ntags:\n- keep\n- x\n---\n' || a.text
               WHEN a.d % 19 = 0 THEN E'---\ntags: [keep, x]\n---\n' || a.text
+              WHEN a.d % 14 = 7 THEN E'---\naliases: ' || a.title || E' alt\n---\n' || a.text
               WHEN a.d % 7 = 0 THEN E'---\naliases: [' || a.title || E' alt]\n---\n' || a.text
-              WHEN a.d % 5 = 0 THEN a.text || E'\nSee [[' || coalesce(b.title, 'missing') || ']]'
-              WHEN a.d % 3 = 0 THEN a.text || ' `https://ex.com/a` and https://ex.com/b'
+              WHEN a.d % 5 = 0 THEN a.text || E'\nSee [[' || coalesce(b.title, 'missing') || ']] and [['
+                                     || coalesce(b.title, 'missing') || ']], not [[nowhere ' || a.d || ']]'
+              WHEN a.d % 3 = 0 THEN a.text || ' `https://ex.com/a` and https://ex.com/b [text](https://ex.com/c) #Topic/x'
               ELSE a.text END AS content
   FROM titled a LEFT JOIN titled b ON b.d = a.d + 1)"""
 
@@ -67,12 +70,16 @@ tag_lists AS (
                             '`[^`]*`', ' ', 'g'),
              '(?:\A|[{SPACE}])#([\p{{L}}\p{{N}}_/-]+)', 1),
            lambda t: regexp_matches(t, '[^0-9]')), lambda t: lower(t))
-         || list_transform(
+         || coalesce(list_transform(
               string_split(nullif(regexp_extract(meta, '(?m)^tags:[ \t]*\[([^\]]*)\]', 1), ''), ','),
-              lambda t: lower(regexp_replace(trim(t), '\A#', ''))) AS tags,
-         list_transform(
+              lambda t: lower(regexp_replace(trim(t), '\A#', ''))), [])
+         || list_transform(
+              regexp_extract_all(regexp_extract(meta, '(?m)^tags:\n((?:- .*\n)+)', 1), '- (.*)\n', 1),
+              lambda t: lower(t)) AS tags,
+         coalesce(list_transform(
               string_split(nullif(regexp_extract(meta, '(?m)^aliases:[ \t]*\[([^\]]*)\]', 1), ''), ','),
-              lambda a: trim(a)) AS aliases
+              lambda a: trim(a)),
+              list_filter([regexp_extract(meta, '(?m)^aliases: ([^\[\n]*)$', 1)], lambda a: a <> '')) AS aliases
   FROM stripped),
 protected AS (
   SELECT path FROM tag_lists
@@ -301,7 +308,8 @@ renames AS (
   SELECT old_src AS path, target, regexp_replace(new_dst, '\.md\z', '') AS new_target
   FROM repointed WHERE dst IS DISTINCT FROM new_dst),
 relinked AS (
-  SELECT n.path, count(*)::BIGINT AS n_applied,
+  SELECT n.path, sum((length(n.content) - length(replace(n.content, '[[' || r.target || ']]', '')))
+                     // (length(r.target) + 4))::BIGINT AS n_applied,
          replace(n.content, '[[' || any_value(r.target) || ']]',
                  '[[' || any_value(r.new_target) || ']]') AS content
   FROM notes n JOIN renames r USING (path) GROUP BY n.path, n.content)"""
@@ -359,6 +367,12 @@ def oracle_sql() -> dict[str, str]:
             NOTES, BODIES, META, TARGETS),
         "protected_ranges": _query('SELECT path, s AS start, e AS "end" FROM ranges', NOTES, RANGES),
         "link_mentions": _query("SELECT path, key, start FROM mentions", *mentions),
+        "link_targets_titles_only": _query(
+            "SELECT match, target, path, ord, match_len FROM targets WHERE ord = 0",
+            NOTES, BODIES, META, TARGETS),
+        "link_mentions_exact_case": _query(
+            "SELECT path, key, start FROM mentions", NOTES, BODIES, META, TARGETS,
+            MENTIONS.replace("lower(content)", "content").replace("lower(match)", "match")),
         "suggest_links": _query(suggestion, *edges, recursive=True),
         "suggest_links_uncapped": _query(
             suggestion, *mentions, RANGES, planned(0), recursive=True),

@@ -40,20 +40,20 @@ def _title(text: Column, number: Column) -> Column:
 def _content(d: Column) -> Column:
     text = F.col("text")
     links = "\n".join(f"https://ex.com/{i}" for i in range(1, 7))
-    see = F.concat(
-        F.lit("\nSee [["), F.coalesce("next_title", F.lit("missing")), F.lit("]]")
-    )
+    link = F.concat(F.lit("[["), F.coalesce("next_title", F.lit("missing")), F.lit("]]"))
+    see = F.concat(F.lit("\nSee "), link, F.lit(" and "), link, F.lit(", not [[nowhere "), d, F.lit("]]"))
     alias = F.concat(F.lit("---\naliases: ["), F.col("title"), F.lit(" alt]\n---\n"))
+    one_alias = F.concat(F.lit("---\naliases: "), F.col("title"), F.lit(" alt\n---\n"))
+    marks = " `https://ex.com/a` and https://ex.com/b [text](https://ex.com/c) #Topic/x"
     return (
         F.when(d % 11 == 0, F.lit("---\ntags: [x]\n---\n  \n"))
         .when(d % 13 == 0, F.concat(text, F.lit(" Free Money now")))
         .when(d % 17 == 0, F.lit(f"{FENCE}\n{links}\n{FENCE}"))
+        .when(d % 38 == 19, F.concat(F.lit("---\ntags:\n- keep\n- x\n---\n"), text))
         .when(d % 19 == 0, F.concat(F.lit("---\ntags: [keep, x]\n---\n"), text))
+        .when(d % 14 == 7, F.concat(one_alias, text))
         .when(d % 7 == 0, F.concat(alias, text))
         .when(d % 5 == 0, F.concat(text, see))
-        .when(
-            d % 3 == 0,
-            F.concat(text, F.lit(" `https://ex.com/a` and https://ex.com/b")),
-        )
+        .when(d % 3 == 0, F.concat(text, F.lit(marks)))
         .otherwise(text)
     )
