@@ -181,7 +181,7 @@ def _pairs_that_share_changes(groups: DataFrame, texts: DataFrame, shingle: int,
             "lead",
             F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"),
             F.col("d").alias("d_x"), F.col("c").alias("c_x"),
-            F.explode(F.slice("shared", F.lit(1), (F.col("own") + 1).cast("int"))).alias("s"),
+            F.posexplode(F.slice("shared", F.lit(1), (F.col("own") + 1).cast("int"))).alias("k", "s"),
         )
         .withColumn("change", F.col("s.change"))
         .drop("s")
@@ -192,15 +192,21 @@ def _pairs_that_share_changes(groups: DataFrame, texts: DataFrame, shingle: int,
         F.col("d").alias("d_y"), F.col("c").alias("c_y"),
         F.explode("shared.change").alias("change"),
     )
-    least = F.col("d_x") + F.col("d_y") - 2 * F.least("c_x", "c_y")
+    # At the first change that both have, the k before it are not shared.
+    least = F.col("d_x") + F.col("d_y") - 2 * F.least(F.col("c_x") - F.col("k"), F.col("c_y"))
     fits = (
         (F.col("root_x") != F.col("root_y"))
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
         & ((100 + percent) * least <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
     )
     same = [left["lead"] == right["lead"], left["change"] == right["change"]]
-    found = left.join(right, [*same, fits]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return _ordered(found)
+    found = left.join(right, [*same, fits]).select(left["lead"], "x", "y").distinct()
+    facts = lists.select("lead", "node", "n", "d", "shared.change")
+    found = found.join(facts.toDF("lead", "x", "n_x", "d_x", "s_x"), ["lead", "x"])
+    found = found.join(facts.toDF("lead", "y", "n_y", "d_y", "s_y"), ["lead", "y"])
+    differ = F.col("d_x") + F.col("d_y") - 2 * F.size(F.array_intersect("s_x", "s_y"))
+    linked = (100 + percent) * differ <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
+    return _ordered(found.filter(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def _changes(width: int):
