@@ -35,13 +35,41 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_chunks": OP3, "op4_exact_dedup": OP4}
+    return {"op1_circulant_minhash": OP1, "op3_warc_chunks": OP3, "op4_exact_dedup": OP4}
 
 
 def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: query(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+# All pairs that share a shingle, and all rows reachable over links: for small tables.
+OP1 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(
+           range(1, greatest(len(words) - 2, 2)), lambda i: array_to_string(words[i:i + 3], ' '))) END AS shingles
+  FROM w
+), s AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), bonds AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(doc_id, other) AS (
+  SELECT a, b FROM bonds UNION SELECT r.doc_id, l.b FROM reached r JOIN bonds l ON l.a = r.other
+), lowest AS (
+  SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id
+)
+SELECT doc_id, len(shingles) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id,
+       least(doc_id, coalesce(other, doc_id)) = doc_id AS kept
+FROM sets LEFT JOIN lowest USING (doc_id)
+"""
+
 OP3 = r"""
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
