@@ -316,3 +316,13 @@ def test_accepted_paths_are_normalised(spark, notes):
 
 def test_own_name_column(spark):
     assert spark.createDataFrame([("a/b.md",)], "p string").select(base_name(F.col("p"))).first()[0] == "b"
+
+
+def test_insert_shuffles_the_text_once(spark, notes, tmp_path):
+    notes({"a/Topic.md": "x", "b.md": "Topic", "c.md": "none"}).write.parquet(str(tmp_path / "n"))
+    stored = spark.read.parquet(str(tmp_path / "n"))
+    whole = find_edges.insert(stored, Config()).notes
+    assert {r["path"]: r["content"] for r in whole.collect()} == {"a/Topic.md": "x", "b.md": "[[Topic]]", "c.md": "none"}
+    final = whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    shuffles = [line for line in final.splitlines() if "Exchange hashpartitioning(path" in line and "Reused" not in line]
+    assert len(shuffles) == 1

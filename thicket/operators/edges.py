@@ -91,13 +91,18 @@ def linked_corpus(
 
     The edits are joined back to the texts where these lie, so those are shuffled once.
     """
-    placed = notes.repartition("path")
+    # The inner joins of the plan leave out rows without a path. Only if those are
+    # apart from the start do all joins read the same shuffle.
+    placed = notes.filter("path IS NOT NULL").repartition("path")
     edits = _accepted_edits(placed.select("path", "content"), notes, cfg, accepted, targets)
     content, made = F.col("content"), F.col("edits")
     columns = {"content": F.when(made.isNull(), content).otherwise(_linked(content, made))}
-    return placed.join(edits, "path", "left").select(
+    linked = placed.join(edits, "path", "left").select(
         *(columns.get(c, F.col(c)).alias(c) for c in notes.columns), _count(made)
     )
+    return linked.unionByName(
+        notes.filter("path IS NULL").withColumn("n_applied", F.lit(0).cast("bigint"))
+    )
 
 
 def _accepted_edits(
