@@ -108,3 +108,48 @@ def test_lines_can_be_cut(make_docs):
     footer = rows[0][1].split("\n")[-1].strip().lower()
     assert all(footer not in texts[i].lower() for i, _, host in rows[:60] if host == "a")
     assert texts[900] is None and texts[901] == "" and texts[200] == dict((r[0], r[1]) for r in rows)[200]
+
+
+def true_documents(rows):
+    """Doc ids to removed words: documents are counted one by one, near copies found by comparing line sets."""
+    lines_of = []
+    for _, text, _ in rows:
+        lines_of.append([(len(WORD.findall(x)), x.strip().lower()) for x in text.split("\n") if WORD.search(x)])
+    documents = {(host, tuple(x for _, x in lines)): dict((x, n) for n, x in lines) for (*_, host), lines in zip(rows, lines_of)}
+    times = Counter((host, x) for host, lines in documents for x in set(lines))
+    frequent = {k for k, n in times.items() if n > quality.LINE_DOCS}
+    counted, groups = Counter(), []
+    for (host, _), sizes in documents.items():
+        part = {x: n for x, n in sizes.items() if (host, x) in frequent}
+        total = sum(part.values())
+        near = None
+        if total and 8 * (sum(sizes.values()) - total) <= total:
+            for other in (g for h, g in groups if h == host):
+                both = sum(n for x, n in part.items() if x in other)
+                if 100 * both >= 80 * (total + sum(other.values()) - both):
+                    near = other
+            if near is None:
+                groups.append((host, part))
+        if near is None:
+            counted.update((host, x) for x in part)
+    bad = {k for k, n in counted.items() if n > quality.LINE_DOCS}
+    return {i: sum(n for n, x in lines if (host, x) in bad) for (i, _, host), lines in zip(rows, lines_of)}
+
+
+def test_documents_around_one_longest_line_count_each(make_docs):
+    random.seed(7)
+    line = lambda n: " ".join(f"w{random.randrange(5000)}" for _ in range(n))
+    licence, template = line(60), [line(20) for _ in range(3)]
+    page, other = [line(12) for _ in range(25)], [line(12) for _ in range(12)]
+    rows = [(i, f"{licence}\n{line(10)}", "a") for i in range(60)]  # the licence is the longest line of all
+    rows += [(100 + i, "\n".join([*template, line(10)]), "b") for i in range(60)]  # several lines in all
+    for i in range(60):  # near copies, each with a line of its own in another place
+        rows.append((200 + i, "\n".join([*page[: i % 25], line(12), *page[i % 25 + 1 :]]), "c"))
+    rows += [(300 + i, "\n".join([licence, *other, line(8)]), "a") for i in range(40)]  # around the same licence
+    rows += [(400 + i, f"{licence}\n{line(3)}", "a") for i in range(5)]
+    random.shuffle(rows)
+    found = {r["doc_id"]: r for r in quality.line_quality(make_docs(rows, 4)).collect()}
+    assert {i: r["n_removed_words"] for i, r in found.items()} == true_documents(rows)
+    assert {i for i, r in found.items() if r["kept"]} == {*range(200, 260), *range(300, 340)}
+    left = {r["doc_id"]: r["text"] for r in quality.without_boilerplate(make_docs(rows, 4)).collect()}
+    assert all(len(left[i].split()) == 10 for i in [*range(60), *range(100, 160)])

@@ -4,14 +4,18 @@ Lines are lower-cased, trimmed and hashed. Per host the distinct documents that
 hold a line are counted; a line above the host's limit is boilerplate and is
 removed, and a document of which too little is left is rejected.
 
-Copies must not make each other's lines look like boilerplate, so documents
-count as distinct by their longest line: exact and near copies mostly share it,
-and so count once, while pages around one licence line do not.
+Copies must not make each other's lines look like boilerplate. Documents of equal
+normalised lines count once. Near copies do too, by a second count: a document
+that has less than a ninth of its words outside the lines that the first count
+finds frequent is compared with the fullest such document that has its rarest
+frequent line, then with that of its longest, and counts as that one if 80% of
+their frequent words are the same. All other documents count each for itself,
+however much of them is a licence or a template.
 
 Scale: one pass over the texts writes counts and line hashes, a small table.
-All that follows works on hashes. Pairs of line and document are made distinct
-before lines are counted, and counts are combined before the shuffle, so a line
-in a third of all documents is one row per task.
+All that follows works on hashes. Counts are combined before the shuffle, so a
+line in a third of all documents is one row per task. Near copies are compared
+with one document each.
 """
 
 from __future__ import annotations
@@ -32,7 +36,10 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of words
 LINE_DOCS = 10  # a line in more distinct documents of its host than this,
 LINE_SHARE = 0.005  # and in more than this share of them, is boilerplate
+NEAR = 80  # per cent of words that near copies have in common
 LEAST_LEFT = 0.3  # share of its words that a document must keep
+HOST = ["no_host", "host"]
+LINE = [*HOST, "line"]
 
 
 def line_quality(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -46,16 +53,7 @@ def line_quality(docs: DataFrame, host: str = "source") -> DataFrame:
     a host; repeated rows count once as documents and are judged each for itself;
     other columns are ignored; an empty table gives no rows.
     """
-    keep = ROW if ROW in docs.columns else F.monotonically_increasing_id().alias(ROW)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = stored(
-        docs.select(keep, "doc_id", F.col(host).cast("string").alias("host"), "text").mapInArrow(
-            _measure,
-            f"{ROW} bigint, doc_id {kind}, host string, n_words bigint, word_chars bigint, n_symbols bigint,"
-            " n_dup_lines bigint, n_repeat_words bigint, sketch bigint,"
-            " lines array<struct<line:bigint,words:bigint>>",
-        )
-    )
+    measured = _measured(docs, host)
     removed = removed_words(measured)
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
@@ -75,31 +73,79 @@ def line_quality(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
+def _measured(docs: DataFrame, host: str) -> DataFrame:
+    keep = ROW if ROW in docs.columns else F.monotonically_increasing_id().alias(ROW)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return stored(
+        docs.select(keep, "doc_id", F.col(host).cast("string").alias("host"), "text").mapInArrow(
+            _measure,
+            f"{ROW} bigint, doc_id {kind}, host string, n_words bigint, word_chars bigint, n_symbols bigint,"
+            " n_dup_lines bigint, n_repeat_words bigint, same bigint,"
+            " lines array<struct<line:bigint,words:bigint>>",
+        )
+    )
+
+
 def removed_words(measured: DataFrame) -> DataFrame:
     """``_thicket_row, _lost``: words in boilerplate lines, of documents that have any."""
-    host = [F.col("host").isNull().alias("no_host"), F.coalesce("host", F.lit("")).alias("host")]
-    lines = measured.select(ROW, *host, "sketch", F.explode("lines").alias("l")).select(
-        ROW, "no_host", "host", "sketch", "l.line", "l.words"
-    )
-    frequent = boilerplate_lines(lines)
-    hits = lines.join(frequent, ["no_host", "host", "line"])
+    lines = _by_host(measured).select(ROW, "no_host", "host", F.inline("lines"))
+    hits = lines.join(boilerplate_lines(measured), LINE)
     return hits.groupBy(ROW).agg(F.sum("words").alias("_lost"))
 
 
-def boilerplate_lines(lines: DataFrame) -> DataFrame:
+def boilerplate_lines(measured: DataFrame) -> DataFrame:
     """``no_host, host, line`` of the lines in too many distinct documents of their host."""
-    counts = (
-        lines.select("no_host", "host", "line", "sketch")
-        .distinct()
-        .groupBy("no_host", "host", "line")
-        .agg(F.count("*").alias("docs"))
-        .filter(F.col("docs") > LINE_DOCS)
+    documents = _by_host(measured).filter(F.size("lines") > 0)
+    single = durable(documents.groupBy(*HOST, "same").agg(F.min(ROW).alias(ROW)).select(*HOST, ROW))
+    hosts = single.groupBy(*HOST).agg(F.count("*").alias("all"))
+    lines = documents.join(single.select(ROW), ROW, "left_semi").select(ROW, *HOST, "n_words", F.inline("lines"))
+    counts = lines.groupBy(*LINE).agg(F.count("*").alias("docs")).filter(F.col("docs") > LINE_DOCS)
+    limit = F.greatest(F.lit(LINE_DOCS), LINE_SHARE * F.col("all"))
+    frequent = durable(counts.join(hosts, HOST).withColumn("limit", limit).filter("docs > limit").drop("all"))
+    hits = stored(lines.join(frequent, LINE))
+    units = hits.join(_near_copies(hits), ROW, "left").select(
+        *LINE, "limit", F.coalesce("unit", ROW).alias("unit")
     )
-    hosts = (
-        lines.select("no_host", "host", "sketch").distinct().groupBy("no_host", "host").agg(F.count("*").alias("all"))
+    counts = units.distinct().groupBy(*LINE, "limit").agg(F.count("*").alias("docs"))
+    return durable(counts.filter("docs > limit").select(*LINE))
+
+
+def _near_copies(hits: DataFrame) -> DataFrame:
+    """``_thicket_row, unit``: the row as which a document counts, of those that are nearly all frequent lines.
+
+    With at most ``(100 - NEAR) / (2 * NEAR)`` as many own words as frequent ones, two
+    documents of the same frequent lines have ``NEAR`` per cent in common.
+    """
+    whole = hits.groupBy(ROW, *HOST, "n_words").agg(
+        F.sum("words").alias("common"),
+        F.collect_list(F.struct("line", "words")).alias("parts"),
+        F.min(F.struct("docs", "line")).alias("rarest"),
+        F.max(F.struct("words", "line")).alias("longest"),
+    )
+    copied = whole.filter(2 * NEAR * (F.col("n_words") - F.col("common")) <= (100 - NEAR) * F.col("common"))
+    copied = stored(copied.withColumn("rarest", F.col("rarest.line")).withColumn("longest", F.col("longest.line")))
+    first = stored(_folded(copied, "rarest"))
+    second = _folded(first.filter(F.col("unit") == F.col(ROW)).drop("unit"), "longest")
+    last = second.select(F.col(ROW).alias("first"), "unit")
+    return first.select(ROW, F.col("unit").alias("first")).join(last, "first").select(ROW, "unit")
+
+
+def _folded(copied: DataFrame, key: str) -> DataFrame:
+    """``copied`` and ``unit``: the row of the fullest document of the same key if near, else its own."""
+    fullest = copied.groupBy(*HOST, key).agg(F.max(F.struct("common", F.col(ROW).alias("row"), "parts")).alias("head"))
+    both = F.aggregate(
+        F.array_intersect("parts", "head.parts"), F.lit(0).cast("bigint"), lambda total, part: total + part["words"]
+    )
+    near = 100 * F.col("both") >= NEAR * (F.col("common") + F.col("head.common") - F.col("both"))
+    pairs = copied.join(fullest, [*HOST, key]).withColumn("both", both)
+    return pairs.withColumn("unit", F.when(near, F.col("head.row")).otherwise(F.col(ROW))).select(
+        *copied.columns, "unit"
     )
-    frequent = counts.join(hosts, ["no_host", "host"]).filter(F.col("docs") > LINE_SHARE * F.col("all"))
-    return durable(frequent.select("no_host", "host", "line"))
+
+
+def _by_host(measured: DataFrame) -> DataFrame:
+    host = [F.col("host").isNull().alias("no_host"), F.coalesce("host", F.lit("")).alias("host")]
+    return measured.select(ROW, *host, "same", "n_words", "lines")
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
@@ -113,10 +159,10 @@ def without_boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
     keyed = with_row_ids(docs)
     named = keyed.select(ROW, F.col(host).cast("string").alias("host"), "text").mapInArrow(
         _split_lines,
-        f"{ROW} bigint, no_host boolean, host string, sketch bigint, place int, raw string, line bigint",
+        f"{ROW} bigint, no_host boolean, host string, place int, raw string, line bigint",
     )
-    bad = boilerplate_lines(named.filter("line IS NOT NULL")).withColumn("_bad", F.lit(True))
-    left = named.join(bad, ["no_host", "host", "line"], "left").filter("_bad IS NULL")
+    bad = boilerplate_lines(_measured(keyed, host)).withColumn("_bad", F.lit(True))
+    left = named.join(bad, LINE, "left").filter("_bad IS NULL")
     texts = left.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("place", "raw"))).alias("l"))
     text: Column = F.when(F.col("text").isNotNull(), F.coalesce(F.array_join("l.raw", "\n"), F.lit("")))
     joined = keyed.join(texts, ROW, "left").withColumn("text", text)
@@ -124,7 +170,7 @@ def without_boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sketch", "lines"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "same", "lines"]
     line_type = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
     for batch in batches:
         rows = [counts(value.as_py() or "") for value in batch.column("text")]
@@ -143,26 +189,29 @@ def counts(text: str) -> tuple:
     spaces = sum(map(data.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")))
     lines = [line for line in data.split(b"\n") if line.strip()]
     keys: dict[int, int] = {}
-    longest = (0, 0)
+    order = []
     for line in lines:
         size = len(line.split())
         key = line_key(line)
         keys[key] = keys.get(key, 0) + size
-        longest = max(longest, (size, key))
+        order.append(key)
     return (
         len(words),
         len(text) - spaces,
         sum(map(text.count, SYMBOLS)),
         len(lines) - len(set(lines)),
         repeated_words(words),
-        longest[1],
+        _number(b"".join(key.to_bytes(8, "big", signed=True) for key in order)),
         [{"line": key, "words": size} for key, size in keys.items()],
     )
 
 
 def line_key(line: bytes) -> int:
-    digest = hashlib.blake2b(line.strip().decode().lower().encode(), digest_size=8).digest()
-    return int.from_bytes(digest, "big", signed=True)
+    return _number(line.strip().decode().lower().encode())
+
+
+def _number(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -187,7 +236,6 @@ def _split_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             if row["text"] is None:
                 continue
-            sketch = counts(row["text"])[5]
             for place, raw in enumerate(row["text"].split("\n")):
                 data = raw.encode()
                 out.append(
@@ -195,14 +243,13 @@ def _split_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         ROW: row[ROW],
                         "no_host": row["host"] is None,
                         "host": row["host"] or "",
-                        "sketch": sketch,
                         "place": place,
                         "raw": raw,
                         "line": line_key(data) if data.strip() else None,
                     }
                 )
         schema = pa.schema(
-            [(ROW, pa.int64()), ("no_host", pa.bool_()), ("host", pa.string()), ("sketch", pa.int64()),
+            [(ROW, pa.int64()), ("no_host", pa.bool_()), ("host", pa.string()),
              ("place", pa.int32()), ("raw", pa.string()), ("line", pa.int64())]
         )
         yield pa.RecordBatch.from_pylist(out, schema=schema)
