@@ -115,3 +115,20 @@ def test_star_of_edited_copies(make_docs, seed):
     found = minhash.near_duplicates(make_docs(rows), shingle=4).collect()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found}
     assert got == brute_force(rows, 4)
+
+
+def test_a_cluster_linked_with_its_leader_is_not_compared_again(make_docs, monkeypatch):
+    random.seed(4)
+    rows = []
+    for group in range(6):
+        text = [f"g{group}w{i}" for i in range(150)]
+        copies = [text] + [[f"v{group}x{i}" if k == 10 * i else w for k, w in enumerate(text)] for i in range(8)]
+        rows += [(20 * group + i, " ".join(words), "s") for i, words in enumerate(copies)]
+    random.shuffle(rows)
+    kept = []
+    stored = minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    found = minhash.near_duplicates(make_docs(rows, 1)).collect()
+    assert all(r["component_id"] == r["doc_id"] // 20 * 20 for r in found)
+    changes = [df for df in kept if "changes" in df.columns]
+    assert len(changes) == 1 and changes[0].count() == 0

@@ -101,8 +101,8 @@ def _links(keyed: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> Da
 
     # The member that shares the most buckets is compared with all others of a bucket.
     led = members.join(_leaders(members, "key"), "key")
-    groups = durable(led.filter("node <> lead").select("lead", "node", "n").distinct())
-    first = groups.select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    groups = durable(led.select("lead", "node", "n").distinct())
+    first = groups.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     links = durable(confirm(first, texts, shingle, percent))
     # The same once more among those that are not in its component.
     state = labelled(links, led)
@@ -135,6 +135,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _pairs_that_share_changes(groups: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``a, b``: the pairs of a group that may be linked though their leader links them not.
 
+    ``groups`` has the leaders as rows of their own groups too, so that each has its root.
+
     A member's changes are the shingles by which it differs from the leader. With
     d(x), d(y) changes of which c are the same, the sets differ in d(x) + d(y) - 2c
     shingles, and a link allows at most a share of their sizes. For a member that
@@ -144,12 +146,8 @@ def _pairs_that_share_changes(groups: DataFrame, texts: DataFrame, shingle: int,
     where the bound can hold. The work thus follows what members have in common
     beyond their leader, not the square of the group.
     """
-    leads = groups.select(F.col("lead").alias("node")).distinct()
-    known = groups.select("node", "root").distinct()
-    heads = leads.join(known, "node", "left").select(
-        F.col("node").alias("lead"), F.coalesce("root", "node").alias("lead_root")
-    )
-    placed = groups.join(heads, "lead").withColumn("stray", F.col("root") != F.col("lead_root"))
+    placed = groups.join(_heads(groups, "lead"), "lead").filter("node <> lead")
+    placed = placed.withColumn("stray", F.col("root") != F.col("lead_root"))
     open_ = (
         placed.groupBy("lead")
         .agg(F.count("*").alias("all"), F.max("stray").alias("any"))
