@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from thicket.llm import exact_dedup, minhash, mix, quality, secrets, shards, suffix_dedup, toxicity, warc
-from thicket.llm.public import encoded_digests
+from thicket.llm import conversations, exact_dedup, minhash, mix, quality, secrets, shards, suffix_dedup, toxicity, warc
+from thicket.llm.public import aligned_tokens, encoded_digests
 from thicket.llm.rows import ROW
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def queries() -> dict[str, Query]:
         ),
         "op9_suffix_dedup": _on_documents(suffix_dedup.remove_repeats),
         "op10_byte_bpe": _on_documents(encoded_digests),
+        "op11_audited_turns": lambda spark, sf_dir: conversations.damaged_and_repaired(
+            spark.read.parquet(f"{sf_dir}/conversations.parquet")
+        ),
+        "op13_token_spans": _on_documents(lambda d: aligned_tokens(d).drop(ROW)),
     }
 
 
