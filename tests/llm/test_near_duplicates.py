@@ -6,8 +6,9 @@ from itertools import combinations
 
 import pytest
 
-from thicket.llm import minhash
+from thicket.llm import minhash, shingles
 from thicket.llm.components import components
+from thicket.llm.shingles import Shingler
 
 
 def brute_force(rows, width):
@@ -86,17 +87,32 @@ def test_chain_of_links(spark):
 
 def test_signature_estimates_similarity():
     a = [f"w{i}".encode() for i in range(500)]
-    sizes, same, bands = minhash.sketch([a, a[:400], list(a), []], 1)
+    sizes, same, bands = minhash.sketch([a, a[:400], list(a), []], Shingler(1))
     assert sizes.tolist() == [500, 400, 500, 0]
     assert same[0] == same[2] != same[1] and (bands[0] == bands[2]).all()
     assert 3 <= (bands[0] == bands[1]).sum() <= 30  # 40 bands of 5 at 0.8: 13 expected
 
 
-def test_huge_text_is_hashed_in_blocks(monkeypatch):
-    words = [f"word{i}".encode() for i in range(5000)] + [b"x" * 3000]
-    whole = minhash._word_hashes([b" ".join(words)])
-    monkeypatch.setattr(minhash, "_CHUNK", 256)
-    assert (minhash._word_hashes([b" ".join(words)]) == whole).all()
+def test_set_sizes_are_exact_whatever_the_words(make_docs):
+    """Two words that polynomial hashes modulo 2^64 cannot tell apart, and more words than codes hold."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    found = minhash.near_duplicates(make_docs([(1, f"{thue} x y z {other} x y z", "s")]), shingle=4).first()
+    assert found["n_shingles"] == 5
+    many = [f"w{i % 5000}".encode() for i in range(12_000)]
+    shingler = Shingler(9)
+    for words in (many, many[::-1], [b"a"] * 40, [b"a", b"b"]):
+        width = min(9, len(words))
+        distinct = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+        assert len(shingler.tokens(words)) == len(set(shingler.tokens(words).tolist())) == len(distinct)
+
+
+def test_words_are_forgotten_and_numbered_again(monkeypatch):
+    monkeypatch.setattr(shingles, "_KNOWN_WORDS", 10)
+    shingler = Shingler(2)
+    texts = [[f"w{i}".encode(), f"w{i + 1}".encode(), b"end"] for i in range(50)]
+    first = [shingler.tokens(t).tolist() for t in texts]
+    assert first == [Shingler(2).tokens(t).tolist() for t in texts]
 
 
 @pytest.mark.parametrize("seed", [3, 4])

@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from thicket.durable import durable, stored
 from thicket.llm.components import components
 from thicket.llm.rows import ROW, with_row_ids
+from thicket.llm.shingles import Shingler, mixed, portions, words_of
 
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 40, 5
-_CHUNK = 1 << 20  # bytes of text whose signatures are made together
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U64 = np.uint64
 
@@ -63,7 +63,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         )
     )
     nodes = sketched.join(classes.select(F.col("node").alias(ROW)), ROW)
-    roots = components(_links(keyed, nodes, shingle, percent))
+    banded = nodes.select(F.col(ROW).alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    roots = components(connecting_links(banded, keyed, shingle, percent))
+    return by_component(sketched, classes, roots)
+
+
+def by_component(sketched: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every row with the smallest ``doc_id`` of its component; see ``near_duplicates``.
+
+    ``sketched`` names the class of each row in ``same``, ``classes`` the ``node`` of each class, and
+    ``roots`` the ``root`` of each node that has a link.
+    """
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
     placed = sketched.select(ROW, "doc_id", "n_shingles", "same").join(classes, "same", "left").join(
         roots, "node", "left"
     )
@@ -84,9 +95,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     return keyed.join(kept.select(ROW), ROW, "left_semi").select(*docs.columns)
 
 
-def _links(keyed: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``a, b``: confirmed links that connect all nodes that any confirmed links connect."""
-    banded = nodes.select(F.col(ROW).alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+def connecting_links(banded: DataFrame, keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``a, b``: links, confirmed on full sets, that connect all nodes which any links
+    between nodes of one bucket connect.
+
+    ``banded`` has ``node``, ``n`` (the size of its set) and ``key``, a bucket; ``keyed`` the
+    texts of the nodes by ``_thicket_row``.
+    """
     buckets = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     crowded = durable(banded.join(buckets, "key"))
     scores = crowded.groupBy("node", "n").agg(F.sum("size").alias("score"))
@@ -265,11 +280,6 @@ class _Sets:
         return found
 
 
-def words_of(text: str) -> list[bytes]:
-    """Bytes are split at ASCII white space and lower-cased in A-Z only."""
-    return text.encode().lower().split()
-
-
 def shingles(text: str, width: int) -> set[bytes]:
     words = words_of(text)
     if not words:
@@ -282,9 +292,10 @@ def sketches(keyed: DataFrame, width: int) -> DataFrame:
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
         for batch in batches:
-            for part in _portions(batch):
-                sizes, same, bands = sketch([words_of(t.as_py() or "") for t in part.column("text")], width)
+            for part in portions(batch):
+                sizes, same, bands = sketch([words_of(t.as_py() or "") for t in part.column("text")], shingler)
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(
                     pa.list_(pa.int64())
                 )
@@ -298,32 +309,15 @@ def sketches(keyed: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    start = size = 0
-    for i, text in enumerate(batch.column("text")):
-        size += len(text.as_py() or "")
-        if size >= _CHUNK:
-            yield batch.slice(start, i + 1 - start)
-            start, size = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
-def sketch(texts: list[list[bytes]], width: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def sketch(texts: list[list[bytes]], shingler: Shingler) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Set sizes, digests of the word sequences, and band keys of some texts."""
-    joined = [b" ".join(words) for words in texts]
-    same = [hashlib.blake2b(j, digest_size=16).digest() for j in joined]
-    counts = np.array([len(words) for words in texts], np.int64)
-    hashes = _word_hashes(joined)
-    sets, start = [], 0
-    for count in counts.tolist():
-        sets.append(_shingle_hashes(hashes[start : start + count], width))
-        start += count
+    same = [hashlib.blake2b(b" ".join(words), digest_size=16).digest() for words in texts]
+    sets = [shingler.tokens(words) for words in texts]
     sizes = np.array([len(s) for s in sets], np.int64)
     bands = np.zeros((len(texts), BANDS), np.int64)
     full = sizes > 0
     if full.any():
-        places = (_mixed(np.concatenate([s for s in sets if len(s)])) >> _U64(32)).astype(np.uint32)
+        places = (np.concatenate([s for s in sets if len(s)]) >> _U64(32)).astype(np.uint32)
         starts = np.cumsum(sizes[full]) - sizes[full]
         bands[full] = _band_keys(places, starts)
     return sizes, same, bands
@@ -343,62 +337,6 @@ def _band_keys(places: np.ndarray, starts: np.ndarray) -> np.ndarray:
             rank *= np.uint32(0x846CA68B)
             np.right_shift(rank, np.uint32(16), out=high)
             rank ^= high
-            key = _mixed(key * _U64(_BASE) + np.minimum.reduceat(rank, starts))
+            key = mixed(key * _U64(_BASE) + np.minimum.reduceat(rank, starts))
         keys[:, band] = key
     return keys.view(np.int64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U64(27))) * _U64(0x94D049BB133111EB)
-    return x ^ (x >> _U64(31))
-
-
-def _shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    if not len(words):
-        return words
-    width = min(width, len(words))
-    total = np.zeros(len(words) - width + 1, np.uint64)
-    for i in range(width):
-        total = (total + words[i : i + len(total)]) * _U64(_BASE)
-        total ^= total >> _U64(29)
-    return np.unique(_mixed(total))
-
-
-def _word_hashes(joined: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of every word, from running sums of a polynomial in its bytes."""
-    out = []
-    data = b" ".join(j for j in joined if j)
-    start = 0
-    while start < len(data):
-        end = len(data)
-        if end - start > 4 * _CHUNK:  # cut a huge text at a word end
-            end = data.rfind(b" ", start, start + 4 * _CHUNK)
-            if end <= start:
-                end = data.find(b" ", start)
-                end = len(data) if end < 0 else end
-        block = np.frombuffer(data, np.uint8, end - start, start)
-        powers = _powers(len(block) + 1)
-        sums = np.zeros(len(block) + 1, np.uint64)
-        np.cumsum((block.astype(np.uint64) + _U64(1)) * powers[0][:-1], out=sums[1:])
-        gaps = np.flatnonzero(block == 32)
-        ends = np.append(gaps, len(block))
-        starts = np.append(0, gaps + 1)
-        out.append(_mixed((sums[ends] - sums[starts]) * powers[1][starts]))
-        start = end + 1
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < length:
-        size = max(length, 1 << 16)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _POWERS[:] = [
-            np.cumprod(np.append(_U64(1), np.full(size - 1, base, np.uint64)), dtype=np.uint64)
-            for base in (_BASE, inverse)
-        ]
-    return _POWERS[0][:length], _POWERS[1][:length]

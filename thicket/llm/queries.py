@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from thicket.llm import conversations, exact_dedup, minhash, mix, quality, secrets, shards, suffix_dedup, toxicity, warc
+from thicket.llm import conversations, exact_dedup, minhash, mix, ngram_join, quality, secrets, shards, suffix_dedup, toxicity, warc
 from thicket.llm.public import aligned_tokens, encoded_digests
 from thicket.llm.rows import ROW
 
@@ -34,6 +34,9 @@ def queries() -> dict[str, Query]:
         "op11_audited_turns": lambda spark, sf_dir: conversations.damaged_and_repaired(
             spark.read.parquet(f"{sf_dir}/conversations.parquet")
         ),
+        "op12_grouped_prefix": _on_documents(
+            lambda d: ngram_join.linked_documents(d, shingle=3, percent=90).select("doc_id", "n_shingles", "component_id")
+        ),
         "op13_token_spans": _on_documents(lambda d: aligned_tokens(d).drop(ROW)),
     }
 
