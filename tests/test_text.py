@@ -137,8 +137,8 @@ def around(spark, content, match):
         [(content, start, start + len(match))], "c string, s int, e int"
     )
     row = frame.select(
-        text.context_around(F.col("c"), F.col("s"), F.col("e")).alias("context"),
-        text.line_number(F.col("c"), F.col("s")).alias("line"),
+        text.context_around(text.pages(F.col("c")), F.col("s"), F.col("e")).alias("context"),
+        text.line_number(text.line_starts(F.col("c")), F.col("s")).alias("line"),
     ).first()
     return row["line"], row["context"]
 
@@ -159,7 +159,7 @@ def test_splice(spark):
             for s, e, r in [(0, 1, "<é>"), (1, 2, ""), (4, 6, "Z")]
         )
     )
-    assert column(spark, "ab🎉def", lambda c: text.splice(c, edits)) == "<é>🎉dZ"
+    assert column(spark, "ab🎉def", lambda c: text.splice(text.pages(c), F.length(c), edits)) == "<é>🎉dZ"
 
 
 def test_wikilink(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from thicket.functions.folds import collect, count_below, running
+from thicket.functions.once import evaluate_once
 from thicket.functions.text import FENCED_CODE, INLINE_CODE, URL
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -29,27 +31,20 @@ def span(start: Column, end: Column) -> Column:
 
 def spans_matching(content: Column, pattern: str) -> Column:
     """Where ``pattern`` matches, from the lengths of what is in and between."""
-    steps = F.zip_with(
-        F.split(content, pattern, -1),
-        F.regexp_extract_all(content, F.lit(pattern), F.lit(0)),
-        lambda gap, hit: F.struct(
-            F.length(gap).alias("gap"), F.length(hit).alias("width")
-        ),
-    )
 
-    def advance(state: Column, step: Column) -> Column:
-        start = state["at"] + step["gap"]
+    def steps(hits: Column) -> Column:
+        gaps = F.slice(F.split(content, pattern, -1), F.lit(1), F.size(hits))
+        return F.zip_with(
+            gaps, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("width"))
+        )
+
+    def advance(at: Column, step: Column) -> tuple[Column, Column]:
+        start = at + step["gap"]
         end = start + step["width"]
-        return F.when(
-            step["width"].isNotNull(),
-            F.struct(
-                end.alias("at"),
-                F.concat(state["spans"], F.array(span(start, end))).alias("spans"),
-            ),
-        ).otherwise(state)
+        return end, F.array(span(start, end))
 
-    start_state = F.struct(F.lit(0).alias("at"), empty_spans().alias("spans"))
-    return F.aggregate(steps, start_state, advance)["spans"]
+    hits = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+    return collect(evaluate_once(hits, steps), F.lit(0), advance, SPANS)
 
 
 def protected_ranges(content: Column) -> Column:
@@ -60,8 +55,24 @@ def protected_ranges(content: Column) -> Column:
         ).otherwise(empty_spans())
         for hint, pattern in PROTECTED
     ]
-    return F.array_sort(F.concat(*kinds))
+    return F.sort_array(F.concat(*kinds))
 
 
 def overlaps_any(start: Column, end: Column, ranges: Column) -> Column:
+    """For a few ranges, in any order."""
     return F.exists(ranges, lambda r: (start < r["end"]) & (end > r["start"]))
+
+
+def cover(ranges: Column) -> Column:
+    """(starts, reach) of ranges sorted by start: how far those up to each one reach."""
+    ends = F.transform(ranges, lambda r: r["end"])
+    return F.struct(
+        F.transform(ranges, lambda r: r["start"]).alias("starts"),
+        running(ends, lambda a, b: F.greatest(a, b)).alias("reach"),
+    )
+
+
+def is_covered(start: Column, end: Column, covered: Column) -> Column:
+    """Whether ``start`` to ``end`` overlaps a range of ``cover``, by one search in it."""
+    before = count_below(covered["starts"], end)
+    return F.coalesce(F.get(covered["reach"], before - 1) > start, F.lit(False))

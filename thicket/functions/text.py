@@ -12,6 +12,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from thicket.functions.folds import count_below, running
 from thicket.functions.once import evaluate_once
 
 # The white space of ECMAScript, which is wider than Java's \s.
@@ -29,6 +30,8 @@ URL = rf"(?i)https?://[^{SPACE}]+"
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}']*"
 
 CONTEXT_WIDTH = 40
+_PAGE_BITS = 10
+PAGE = 1 << _PAGE_BITS
 
 # Where the letters lie whose simple folding is not their lower case, as a few
 # ranges, because a class of many single characters is slow to test.
@@ -98,16 +101,42 @@ def text_slice(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def line_number(content: Column, start: Column) -> Column:
-    def lines(before: Column) -> Column:
-        without_breaks = F.replace(before, F.lit("\n"), F.lit(""))
-        return F.octet_length(before) - F.octet_length(without_breaks) + 1
+def line_starts(content: Column) -> Column:
+    """Where each line begins, for ``line_number``: made once a text."""
+    widths = F.transform(F.split(content, "\n", -1), lambda line: F.length(line) + 1)
+    first = F.array(F.lit(0))
+    return F.concat(first, evaluate_once(running(widths, lambda a, b: a + b), lambda ends: F.slice(ends, F.lit(1), F.size(ends) - 1)))
 
-    return evaluate_once(F.substring(content, F.lit(1), start), lines).cast("bigint")
 
+def line_number(starts: Column, at: Column) -> Column:
+    """The line, from 1, of a place in the text whose ``line_starts`` are given."""
+    return count_below(starts, at, inclusive=True).cast("bigint")
 
-def context_around(content: Column, start: Column, end: Column) -> Column:
-    """The match in bold with up to 40 characters of its line on either side."""
+
+def pages(content: Column) -> Column:
+    """The text in pieces of ``PAGE`` characters, for ``page_slice``: made once a text.
+
+    A place deep in a string is found by walking there; in a page it is near.
+    """
+    return F.regexp_extract_all(content, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def page_slice(whole: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``, of its ``pages``; what lies outside is left out."""
+
+    def piece(first: Column) -> Column:
+        last = F.shiftright(end - 1, _PAGE_BITS)
+        count = F.greatest(last - first + 1, F.lit(0))
+        held = F.when(count <= 1, F.coalesce(F.get(whole, first), F.lit(""))).otherwise(
+            F.array_join(F.slice(whole, first + 1, count), "")
+        )
+        return F.substring(held, start - first * PAGE + 1, F.greatest(end - start, F.lit(0)))
+
+    return evaluate_once(F.shiftright(start, _PAGE_BITS), piece)
+
+
+def context_around(whole: Column, start: Column, end: Column) -> Column:
+    """The match in bold with up to 40 characters of its line on either side, from a text's ``pages``."""
     width = CONTEXT_WIDTH
 
     def clipped_left(before: Column) -> Column:
@@ -120,20 +149,20 @@ def context_around(content: Column, start: Column, end: Column) -> Column:
 
     # One character more than is shown tells whether the line goes on.
     near_start = F.greatest(start - (width + 1), F.lit(0))
-    before = F.substring_index(text_slice(content, near_start, start), "\n", -1)
-    after = F.substring_index(F.substring(content, end + 1, F.lit(width + 1)), "\n", 1)
+    before = F.substring_index(page_slice(whole, near_start, start), "\n", -1)
+    after = F.substring_index(page_slice(whole, end, end + width + 1), "\n", 1)
     shown = F.concat(
         evaluate_once(before, clipped_left),
         F.lit("**"),
-        text_slice(content, start, end),
+        page_slice(whole, start, end),
         F.lit("**"),
         evaluate_once(after, clipped_right),
     )
     return evaluate_once(shown, js_trim)
 
 
-def splice(content: Column, edits: Column) -> Column:
-    """Put ``edits`` (start, end, replacement; sorted, disjoint) into the text."""
+def splice(whole: Column, size: Column, edits: Column) -> Column:
+    """Put ``edits`` (start, end, replacement; sorted, disjoint) into a text of ``size`` characters, given as ``pages``."""
 
     def resume_at(index: Column) -> Column:
         previous = F.get(edits, index - 1)["end"]
@@ -141,12 +170,9 @@ def splice(content: Column, edits: Column) -> Column:
 
     head = F.transform(
         edits,
-        lambda edit, i: F.concat(
-            text_slice(content, resume_at(i), edit["start"]), edit["replacement"]
-        ),
+        lambda edit, i: F.concat(page_slice(whole, resume_at(i), edit["start"]), edit["replacement"]),
     )
-    tail = F.substring(content, resume_at(F.size(edits)) + 1, F.length(content))
-    return F.concat(F.array_join(head, ""), tail)
+    return F.concat(F.array_join(head, ""), page_slice(whole, resume_at(F.size(edits)), size))
 
 
 def fold_case(text: Column) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.config import Config
 from thicket.durable import durable
 from thicket.functions import paths, text
+from thicket.functions.folds import collect
 from thicket.functions.once import computed, evaluate_once
-from thicket.functions.ranges import empty_spans, overlaps_any, protected_ranges, span
+from thicket.functions.ranges import cover, empty_spans, is_covered, overlaps_any, protected_ranges, span
 from thicket.operators.clutter import unprotected_notes
 from thicket.operators.links import link_target, link_tokens
 from thicket.operators.mentions import find_mentions
@@ -26,32 +30,8 @@ def suggest_links(
     ``targets`` default to the titles and aliases of ``notes`` themselves.
     """
     targets = link_targets(notes, cfg) if targets is None else targets
-    content, start, end = F.col("content"), F.col("start"), F.col("end")
-    return (
-        plan_edits(notes, targets, cfg)
-        .select("path", "content", F.inline("edits"))
-        .select(
-            "path",
-            "target",
-            "start",
-            "end",
-            computed(
-                matched_text=text.text_slice(content, start, end),
-                line=text.line_number(content, start),
-                context=text.context_around(content, start, end),
-            ),
-        )
-        .select(
-            "path",
-            "target",
-            "matched_text",
-            "line",
-            "context",
-            start.cast("bigint").alias("start"),
-            end.cast("bigint").alias("end"),
-            text.wikilink(F.col("target"), F.col("matched_text")).alias("replacement"),
-        )
-    )
+    planned = plan_edits(notes, targets, cfg)
+    return planned.select("path", F.inline(_described(F.col("content"), F.col("edits"))))
 
 
 def plan_edits(notes: DataFrame, targets: DataFrame, cfg: Config) -> DataFrame:
@@ -127,7 +107,7 @@ def _accepted_edits(
         .withColumn("target", F.col("edit.target"))
         .join(accepted, ["path", "target"], "left_semi")
         .groupBy("path")
-        .agg(F.array_sort(F.collect_list("edit")).alias("edits"))
+        .agg(F.sort_array(F.collect_list("edit")).alias("edits"))
     )
 
 
@@ -151,29 +131,124 @@ def _plan(placed: DataFrame, targets: DataFrame, cfg: Config) -> DataFrame:
     by_note = by_title.groupBy("path").agg(
         F.collect_list(F.struct("match_len", "width", "entries", "starts")).alias("found")
     )
+    found = texts.join(by_note, "path").select(
+        "path", "content", "found", computed(linked=_linked_already(F.col("content"), cfg))
+    )
+    choose = _capped_choice if cfg.link_max_per_note else _uncapped_choice
+    return choose(found, cfg).filter(F.size("edits") > 0)
+
+
+def _capped_choice(found: DataFrame, cfg: Config) -> DataFrame:
+    """Few links a note: each choice is compared with the ones made before."""
     choices = evaluate_once(
-        _off_limits(F.col("content"), cfg), lambda kept: _choices(F.col("found"), kept)
+        _off_limits(F.col("content"), cfg),
+        lambda ranges: evaluate_once(cover(ranges), lambda kept: _choices(F.col("found"), kept)),
     )
-    return (
-        texts.join(by_note, "path")
-        .select("path", "content", "found", computed(linked=_linked_already(F.col("content"), cfg)))
-        .select("path", "content", computed(edits=F.array_sort(_claim(choices, cfg))))
-        .filter(F.size("edits") > 0)
+    return found.select("path", "content", computed(edits=F.sort_array(_claim(choices, cfg))))
+
+
+def _uncapped_choice(found: DataFrame, cfg: Config) -> DataFrame:
+    """As many links as a note has mentions: what is taken is marked character by character."""
+    kept = _off_limits(F.col("content"), cfg)
+    own_name = paths.base_name(F.col("path"))
+    rows = found.select("path", "content", computed(kept=kept), own_name.alias("own_name"), "linked", "found")
+    return rows.mapInArrow(_choose_all, f"path string, content string, edits {EDITS}")
+
+
+def _choose_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    edit = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("target", pa.string())])
+    for batch in batches:
+        chosen = [
+            free_choice(*(batch.column(name)[i].as_py() for name in ("found", "kept", "own_name", "linked")))
+            for i in range(batch.num_rows)
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("path"), batch.column("content"), pa.array(chosen, pa.list_(edit))],
+            ["path", "content", "edits"],
+        )
+
+
+def free_choice(found: list[dict], kept: list[dict], own_name: str, linked: list[str]) -> list[dict]:
+    """The links of one note without a cap, in text order.
+
+    Titles are taken longest first, then by the path of their note. Each gets its first
+    mention that is neither covered nor taken; a mention that the one before it
+    overlaps is passed over, as a search would have moved past it. A place that is
+    taken stays taken, so each title's mentions are looked at once.
+    """
+    size = max((t["starts"][-1] + t["width"] for t in found), default=0)
+    taken = bytearray(size)
+    for span in kept:
+        start, end = span["start"], min(span["end"], size)
+        if start < end:
+            taken[start:end] = b"\1" * (end - start)
+    done, edits = {own_name, *linked}, []
+    next_places = [_apart(title["starts"], title["width"]) for title in found]
+    choices = [
+        (-title["match_len"], entry["path"], entry["ord"], entry["target"], i)
+        for i, title in enumerate(found)
+        for entry in title["entries"]
+    ]
+    for *_, target, i in sorted(choices, key=lambda c: (c[0], c[1].encode(), c[2])):
+        width = found[i]["width"]
+        if target in done:
+            continue
+        for start in next_places[i]:
+            if taken.find(1, start, start + width) < 0:
+                taken[start : start + width] = b"\1" * width
+                done.add(target)
+                edits.append({"start": start, "end": start + width, "target": target})
+                break
+    return sorted(edits, key=lambda e: e["start"])
+
+
+def _apart(starts: list[int], width: int) -> Iterator[int]:
+    end = 0
+    for start in starts:
+        if start >= end:
+            end = start + width
+            yield start
+
+
+def _described(content: Column, edits: Column) -> Column:
+    """Each edit with what a reviewer sees of it. The text is cut into pages and lines once."""
+
+    def described(pages: Column, lines: Column) -> Column:
+        def one(e: Column) -> Column:
+            return evaluate_once(
+                text.page_slice(pages, e["start"], e["end"]),
+                lambda matched: F.struct(
+                    e["target"].alias("target"),
+                    matched.alias("matched_text"),
+                    text.line_number(lines, e["start"]).alias("line"),
+                    text.context_around(pages, e["start"], e["end"]).alias("context"),
+                    e["start"].cast("bigint").alias("start"),
+                    e["end"].cast("bigint").alias("end"),
+                    text.wikilink(e["target"], matched).alias("replacement"),
+                ),
+            )
+
+        return F.transform(edits, one)
+
+    return evaluate_once(
+        text.pages(content),
+        lambda pages: evaluate_once(text.line_starts(content), lambda lines: described(pages, lines)),
     )
 
 
 def _linked(content: Column, edits: Column) -> Column:
-    return text.splice(
-        content,
-        F.transform(
+    def spliced(pages: Column) -> Column:
+        replaced = F.transform(
             edits,
             lambda e: F.struct(
                 e["start"],
                 e["end"],
-                text.wikilink(e["target"], text.text_slice(content, e["start"], e["end"])).alias("replacement"),
+                text.wikilink(e["target"], text.page_slice(pages, e["start"], e["end"])).alias("replacement"),
             ),
-        ),
-    )
+        )
+        return evaluate_once(replaced, lambda made: text.splice(pages, F.length(content), made))
+
+    return evaluate_once(text.pages(content), spliced)
 
 
 def _count(edits: Column) -> Column:
@@ -187,7 +262,7 @@ def _off_limits(content: Column, cfg: Config) -> Column:
         return ranges
     size = F.length(text.frontmatter(content))
     whole = F.when(size > 0, F.array(span(F.lit(0), size))).otherwise(empty_spans())
-    return F.array_sort(F.concat(whole, ranges))
+    return F.sort_array(F.concat(whole, ranges))
 
 
 def _linked_already(content: Column, cfg: Config) -> Column:
@@ -223,35 +298,29 @@ def _choices(found: Column, kept: Column) -> Column:
             ),
         )
 
-    return F.array_sort(F.flatten(F.transform(placed, of_title)))
+    return F.sort_array(F.flatten(F.transform(placed, of_title)))
 
 
 def _free_places(starts: Column, width: Column, kept: Column) -> Column:
     """Mentions in text order, without those that overlap the mention before them
-    or a protected range. An overlapped mention is gone even if the one before it
-    is protected, as a search for the title would have moved past it."""
-
-    def follow(state: Column, start: Column) -> Column:
-        fits = start >= state["end"]
-        return F.when(
-            fits,
-            F.struct(
-                (start + width).alias("end"),
-                F.concat(state["starts"], F.array(start)).alias("starts"),
-            ),
-        ).otherwise(state)
+    or a protected range (``kept``, a cover). An overlapped mention is gone even if the
+    one before it is protected, as a search for the title would have moved past it."""
+
+    def follow(end: Column, start: Column) -> tuple[Column, Column]:
+        fits = start >= end
+        nothing = F.array().cast("array<int>")
+        return F.when(fits, start + width).otherwise(end), F.when(fits, F.array(start)).otherwise(nothing)
 
-    nothing = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
     collide = F.exists(
         F.sequence(F.lit(1), F.size(starts)),
         lambda i: F.get(starts, i) < F.get(starts, i - 1) + width,
     )
-    apart = F.when(collide, F.aggregate(starts, nothing, follow)["starts"]).otherwise(starts)
-    return F.filter(apart, lambda s: ~overlaps_any(s, s + width, kept))
+    apart = F.when(collide, collect(starts, F.lit(0), follow, "array<int>")).otherwise(starts)
+    return F.filter(apart, lambda s: ~is_covered(s, s + width, kept))
 
 
 def _claim(choices: Column, cfg: Config) -> Column:
-    """Give each target its first place that no earlier choice has taken."""
+    """Give each target its first place that no earlier choice has taken; with a cap only."""
     cap = cfg.link_max_per_note
     own_name = paths.base_name(F.col("path"))
 
@@ -269,8 +338,7 @@ def _claim(choices: Column, cfg: Config) -> Column:
         open_choice = (target != own_name) & ~F.exists(edits, lambda e: e["target"] == target)
         if cfg.skip_already_linked:
             open_choice = ~F.array_contains(F.col("linked"), target) & open_choice
-        if cap:
-            open_choice = (F.size(edits) < cap) & open_choice
+        open_choice = (F.size(edits) < cap) & open_choice
         return F.when(open_choice, F.concat(edits, edit)).otherwise(edits)
 
     return F.aggregate(choices, F.array().cast(EDITS), take)
