@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,16 @@ def forget(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles of frames that nothing refers to any more.
+
+    Its cleaner acts when the driver collects garbage, which a driver with memory to spare
+    may do much later than a disk of the cluster fills.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _session_folder(spark: SparkSession) -> str:
     base = _ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/thicket-{spark.sparkContext.applicationId}"
