@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from thicket.functions.paths import base_name
 from thicket.operators import mentions as mentions_module
 from thicket.operators import targets as targets_module
 from thicket.operators.edges import apply_links, suggest_links
-from thicket.operators.mentions import find_mentions
+from thicket.operators.mentions import find_mentions, title_sized_texts, titles_in_notes
 from thicket.operators.targets import build_dictionary, link_targets
 from thicket.plans import find_edges, reports
 
@@ -326,3 +327,41 @@ def test_insert_shuffles_the_text_once(spark, notes, tmp_path):
     final = whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     shuffles = [line for line in final.splitlines() if "Exchange hashpartitioning(path" in line and "Reused" not in line]
     assert len(shuffles) == 1
+
+
+def test_entries_are_not_carried_by_mentions(spark, notes):
+    """Grouping by note comes before titles' entries, in place or by one shuffle of narrow rows."""
+    given = notes({"a.md": "Topic and Topic and Other", "Topic.md": "x", "Other.md": "topic"}).repartition("path")
+    for limit in (64 << 20, 0):
+        cfg = Config(broadcast_limit_bytes=limit)
+        dictionary = build_dictionary(link_targets(given, cfg), cfg, given)
+        found = titles_in_notes(given, dictionary, cfg)
+        assert sorted((r["path"], r["width"], r["starts"]) for r in found.collect()) == [
+            ("Other.md", 5, [0]), ("a.md", 5, [0, 10]), ("a.md", 5, [20]),
+        ]
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        lines = plan.splitlines()
+        grouped = max(i for i, line in enumerate(lines) if "ObjectHashAggregate" in line or "SortAggregate" in line)
+        joined = min(i for i, line in enumerate(lines) if "Join" in line and "Inner" in line)
+        assert joined < grouped  # the join with entries stands above the grouping
+        assert not any("Exchange" in line and "entries" in line for line in lines)
+
+
+def test_filter_of_whole_titles(spark, notes, monkeypatch):
+    """Above the broadcast limit few texts that are no title go to the shuffle, and every title does."""
+    rng = random.Random(11)
+    names = [f"Alpha {rng.randrange(10**6):x} {rng.choice('abc')}" for _ in range(3000)]
+    given = {f"{n}.md": "" for n in names}
+    given["me.md"] = " ".join(rng.choice(names) if i % 4 == 0 else f"Alpha {i:x} b" for i in range(4000))
+    cfg = Config(broadcast_limit_bytes=0)
+    notes = notes(given)
+    dictionary = build_dictionary(link_targets(notes, cfg), cfg, notes)
+    sized = title_sized_texts(notes, dictionary, cfg)
+    found = find_mentions(notes, dictionary, cfg).count()
+    small = Config()
+    unfiltered = title_sized_texts(notes, build_dictionary(link_targets(notes, small), small, notes), small)
+    assert found == find_mentions(notes, build_dictionary(link_targets(notes, small), small, notes), small).count()
+    assert found <= sized.count() < 1.05 * found < unfiltered.count()
+    assert dictionary.filter_words() == 4096  # the least, as nothing may be broadcast beyond it
+    assert replace(dictionary, count=10**6, cfg=small).filter_words() == 1 << 18
+    assert replace(dictionary, count=10**12, cfg=small).filter_words() * 32 <= small.broadcast_limit_bytes

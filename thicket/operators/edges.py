@@ -16,7 +16,7 @@ from thicket.functions.once import computed, evaluate_once
 from thicket.functions.ranges import cover, empty_spans, is_covered, overlaps_any, protected_ranges, span
 from thicket.operators.clutter import unprotected_notes
 from thicket.operators.links import link_target, link_tokens
-from thicket.operators.mentions import find_mentions
+from thicket.operators.mentions import titles_in_notes
 from thicket.operators.targets import build_dictionary, link_targets
 
 EDITS = "array<struct<start:int,end:int,target:string>>"
@@ -119,17 +119,10 @@ def _plan(placed: DataFrame, targets: DataFrame, cfg: Config) -> DataFrame:
     dictionary = build_dictionary(targets, cfg, texts)
     if dictionary is None:
         return texts.select("path", "content", F.array().cast(EDITS).alias("edits")).limit(0)
-    mentions = find_mentions(texts, dictionary, cfg)
-    if dictionary.bytes > cfg.broadcast_limit_bytes:
-        mentions = mentions.repartition("path")
-    by_title = mentions.groupBy("path", "key").agg(
-        F.first("width").alias("width"),
-        F.first("match_len").alias("match_len"),
-        F.first("entries").alias("entries"),
-        F.sort_array(F.collect_list("start")).alias("starts"),
-    )
-    by_note = by_title.groupBy("path").agg(
-        F.collect_list(F.struct("match_len", "width", "entries", "starts")).alias("found")
+    by_note = (
+        titles_in_notes(texts, dictionary, cfg)
+        .groupBy("path")
+        .agg(F.collect_list(F.struct("match_len", "width", "entries", "starts")).alias("found"))
     )
     found = texts.join(by_note, "path").select(
         "path", "content", "found", computed(linked=_linked_already(F.col("content"), cfg))

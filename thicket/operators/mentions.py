@@ -6,7 +6,8 @@ title". Here both sides are cut into units and joined on equal text instead:
 1. a text is cut into units and into blocks of bounded size,
 2. each unit position looks up, by a hash of the units a title starts with,
    which title sizes can start there at all (a small table, always broadcast),
-3. only those texts are joined with the titles, on equality.
+3. only those texts are joined with the titles, on equality; where they have to be
+   shuffled for that, a Bloom filter of whole titles lets few others through.
 """
 
 from __future__ import annotations
@@ -16,28 +17,54 @@ from pyspark.sql import functions as F
 
 from thicket.config import Config
 from thicket.functions.once import evaluate_once
-from thicket.operators.targets import Dictionary, gram, lead_bucket, text_units
+from thicket.operators.targets import (
+    Dictionary,
+    filter_bits,
+    filter_word,
+    gram,
+    lead_bucket,
+    text_units,
+)
 
 # Units per block: a long note becomes many rows, none of which is large.
 BLOCK_UNITS = 512
 
 
 def find_mentions(notes: DataFrame, dictionary: Dictionary, cfg: Config) -> DataFrame:
-    """(path, key, width, match_len, entries, start): every mention, free or not.
+    """(path, key, id, start): every mention, free or not.
 
-    ``notes`` has (path, content). A dictionary below the broadcast limit is
-    joined where the text lies. A larger one is joined by shuffling the texts
-    that can be a title, 30 bytes or so each; a title that is mentioned
-    everywhere is one row on its side, which AQE's skew join can replicate.
+    ``notes`` has (path, content). The keys of a dictionary below the broadcast limit
+    are joined where the text lies. For a larger one the texts that can be a title, 30
+    bytes or so each, are shuffled by title; a title that is mentioned everywhere is
+    one row on its side, which AQE's skew join can replicate.
     """
-    small = dictionary.bytes <= cfg.broadcast_limit_bytes
-    titles = dictionary.titles.select("key", "width", "match_len", "entries")
-    grams = title_sized_texts(notes, dictionary, cfg)
-    return grams.join(F.broadcast(titles) if small else titles, "key")
+    keys = dictionary.titles.select("key", "id")
+    texts = title_sized_texts(notes, dictionary, cfg)
+    return texts.join(F.broadcast(keys) if dictionary.is_small else keys, "key")
+
+
+def titles_in_notes(notes: DataFrame, dictionary: Dictionary, cfg: Config) -> DataFrame:
+    """(path, match_len, width, entries, starts): the titles each note mentions, and where.
+
+    ``notes`` lie partitioned by path. Mentions are grouped there, as ids and places; what a
+    title stands for is joined once a note and title. Above the broadcast limit the texts
+    that can be a title are grouped before they are shuffled.
+    """
+    starts = F.sort_array(F.collect_list("start")).alias("starts")
+    if dictionary.is_small:
+        grouped = find_mentions(notes, dictionary, cfg).groupBy("path", "id").agg(starts)
+        found = grouped.join(F.broadcast(dictionary.titles.select("id", "width", "match_len", "entries")), "id")
+    else:
+        grouped = title_sized_texts(notes, dictionary, cfg).groupBy("path", "key").agg(starts)
+        found = grouped.join(dictionary.titles.select("key", "width", "match_len", "entries"), "key")
+    return found.select("path", "match_len", "width", "entries", "starts")
 
 
 def title_sized_texts(notes: DataFrame, dictionary: Dictionary, cfg: Config) -> DataFrame:
-    """(path, start, key): texts with the beginning and the size of some title."""
+    """(path, start, key): texts with the beginning and the size of some title.
+
+    Where those would be shuffled, they also pass a filter of whole titles first.
+    """
     buckets = dictionary.lead_buckets()
     block, units, at = F.col("block"), F.col("units"), F.col("at")
     positions = (
@@ -53,7 +80,7 @@ def title_sized_texts(notes: DataFrame, dictionary: Dictionary, cfg: Config) ->
             lead_bucket(gram(units, at, F.lit(dictionary.shortest), cfg), buckets),
         )
     )
-    return (
+    sized = (
         positions.join(F.broadcast(dictionary.leads()), "bucket")
         .select("path", "base", "units", "at", F.explode("sizes").alias("size"))
         .filter(at + F.col("size") <= F.size("units"))
@@ -65,6 +92,16 @@ def title_sized_texts(notes: DataFrame, dictionary: Dictionary, cfg: Config) ->
             gram(units, at, F.col("size"), cfg).alias("key"),
         )
     )
+    if dictionary.is_small:
+        return sized
+    tested = sized.select(
+        "path",
+        "start",
+        "key",
+        filter_word(F.col("key"), dictionary.filter_words()).alias("word"),
+        filter_bits(F.col("key")).alias("bits"),
+    ).join(F.broadcast(dictionary.whole_filter()), "word")
+    return tested.filter(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits")).select("path", "start", "key")
 
 
 def text_blocks(notes: DataFrame, longest: int, cfg: Config) -> DataFrame:

@@ -18,6 +18,9 @@ _LIMIT_BEFORE_SHUFFLE = "spark.sql.optimizer.windowGroupLimitThreshold"
 _SALTS = 64
 # The lead filter has at most this many rows, whatever the dictionary's size.
 _LEAD_BUCKETS = 1 << 20
+# Words of 64 bits in the filter of whole titles, at least, and how many titles share one.
+_FILTER_WORDS, _TITLES_PER_WORD = 1 << 12, 4
+_FILTER_ROW_BYTES = 32
 
 
 def link_targets(notes: DataFrame, cfg: Config) -> DataFrame:
@@ -49,7 +52,7 @@ def link_targets(notes: DataFrame, cfg: Config) -> DataFrame:
 class Dictionary:
     """Titles keyed by the text that mentions them, and what is known of them.
 
-    ``titles`` has (key, units, width, match_len, entries); ``units`` is the
+    ``titles`` has (id, key, units, width, match_len, entries); ``units`` is the
     number of text units in the key and ``entries`` lists the (path, ord, target)
     it can stand for, best first.
     """
@@ -60,6 +63,12 @@ class Dictionary:
     longest: int
     sizes: int
     bytes: int
+    count: int
+
+    @property
+    def is_small(self) -> bool:
+        """Whether the titles may be broadcast."""
+        return self.bytes <= self.cfg.broadcast_limit_bytes
 
     def leads(self) -> DataFrame:
         """(bucket, sizes): which key sizes start with a unit hashed to ``bucket``.
@@ -81,6 +90,23 @@ class Dictionary:
         return buckets
 
 
+    def whole_filter(self) -> DataFrame:
+        """(word, mask): a Bloom filter of whole titles, a word of 64 bits a row.
+
+        A title sets three bits of one word, so a text is tested with one row. The
+        number of words follows the number of titles up to the broadcast limit.
+        """
+        return self.titles.groupBy(filter_word(F.col("key"), self.filter_words()).alias("word")).agg(
+            F.bit_or(filter_bits(F.col("key"))).alias("mask")
+        )
+
+    def filter_words(self) -> int:
+        words, limit = _FILTER_WORDS, self.cfg.broadcast_limit_bytes // _FILTER_ROW_BYTES
+        while words * _TITLES_PER_WORD < self.count and 2 * words <= limit:
+            words *= 2
+        return words
+
+
 def text_units(content: Column, cfg: Config) -> Column:
     """Split a text into the units a mention is made of.
 
@@ -112,6 +138,19 @@ def lead_bucket(lead: Column, buckets: int) -> Column:
     return F.xxhash64(lead).bitwiseAND(F.lit(buckets - 1))
 
 
+def filter_word(key: Column, words: int) -> Column:
+    """``words`` is a power of two."""
+    return F.xxhash64(key).bitwiseAND(F.lit(words - 1))
+
+
+def filter_bits(key: Column) -> Column:
+    """Three of 64 bits."""
+    bits, one = F.xxhash64(key, F.lit(1)), F.lit(1).cast("bigint")
+    places = [F.shiftright(bits, shift).bitwiseAND(F.lit(63)).cast("int") for shift in (0, 6, 12)]
+    first, second, third = (F.call_function("shiftleft", one, place) for place in places)
+    return first.bitwiseOR(second).bitwiseOR(third)
+
+
 def build_dictionary(targets: DataFrame, cfg: Config, notes: DataFrame) -> Dictionary | None:
     """Group targets by the (case-folded) text that mentions them, for use on ``notes``.
 
@@ -153,6 +192,7 @@ def build_dictionary(targets: DataFrame, cfg: Config, notes: DataFrame) -> Dicti
         .withColumn("unit_list", text_units(F.col("key"), cfg.exact_case()))
         .withColumn("units", F.size("unit_list"))
         .withColumn("width", F.length("key"))
+        .withColumn("id", F.monotonically_increasing_id())
     )
     titles = durable(titles)
     entry_bytes = F.aggregate(
@@ -168,11 +208,12 @@ def build_dictionary(targets: DataFrame, cfg: Config, notes: DataFrame) -> Dicti
         F.max("units").alias("longest"),
         F.count_distinct("units").alias("sizes"),
         F.sum(F.octet_length("key") + entry_bytes + _ROW_BYTES).alias("bytes"),
+        F.count("*").alias("count"),
     ).first()
     if found["bytes"] is None:
         return None
     return Dictionary(
-        titles, cfg, found["shortest"], found["longest"], found["sizes"], found["bytes"]
+        titles, cfg, found["shortest"], found["longest"], found["sizes"], found["bytes"], found["count"]
     )
 
 
