@@ -274,7 +274,8 @@ written AS (
 MOVES = rf"""
 ranked AS (
   SELECT path, regexp_extract(path, '[^/]*\z') AS name,
-         row_number() OVER (PARTITION BY regexp_extract(path, '[^/]*\z') ORDER BY path) AS place
+         row_number() OVER (PARTITION BY regexp_extract(path, '[^/]*\z')
+                            ORDER BY icu_sort_key(path, 'root'), path) AS place
   FROM clutter),
 stamped AS (
   SELECT path, '_trash/' || name AS plain,
@@ -353,6 +354,9 @@ def oracle_sql() -> dict[str, str]:
             "SELECT path, array_to_string(reasons, ',') AS reasons, words FROM clutter", *clutter),
         "clutter_flags_with_orphans": _query(with_orphans, *clutter, GRAPH),
         "clutter_report": _query(report, *clutter),
+        "clutter_places": _query(
+            "SELECT path, row_number() OVER (ORDER BY icu_sort_key(path, 'root'), path) AS place"
+            " FROM clutter", *clutter),
         "clutter_item_count": _query("SELECT count(*) AS items FROM clutter", *clutter),
         "clutter_summary": _query(
             "SELECT reason, count(*) AS notes FROM (SELECT unnest(reasons) AS reason FROM clutter)"

@@ -40,13 +40,21 @@ def test_read_vault(spark, vault):
     assert flagged["zero.md"] == ["empty"]
 
 
-def test_attachments_are_not_opened(spark, vault):
-    """Names are listed without contents, and only notes are read at all."""
-    names = list_files(spark, str(vault))._jdf.queryExecution().executedPlan().toString()
-    assert "Scan binaryFile" not in names
-    assert read_vault(spark, str(vault)).inputFiles() and not any(
-        f.endswith(".png") for f in read_vault(spark, str(vault)).inputFiles()
-    )
+def test_folders_are_listed_by_tasks(spark, vault):
+    """No list of names goes through the driver, and listing opens no file."""
+    listed = list_files(spark, str(vault))
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" not in plan and "Scan binaryFile" not in plan
+    assert "pic.png" in {r["path"] for r in listed.collect()}
+
+
+def test_many_folders(spark, tmp_path):
+    for i in range(60):
+        folder = tmp_path / f"f{i % 7}" / f"g{i % 3}" / f"h{i}"
+        folder.mkdir(parents=True)
+        (folder / f"n{i}.md").write_text("" if i % 2 else f"text {i}")
+    found = read_vault(spark, str(tmp_path)).collect()
+    assert len(found) == 60 and sum(r["content"] == "" for r in found) == 30
 
 
 def test_folder_named_like_its_parents(spark, tmp_path):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thicket.durable import durable
 from thicket.functions import paths, text
 
 # Code spans are taken first, so a link inside code is never seen as one.
@@ -45,30 +46,76 @@ def resolve(mentions: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``dst`` to (src, target, ...); null where no file answers to the text.
 
     Exact path first (with or without '.md'), then the same path seen from the
-    source's folder, then the file of that name with the shortest path. Each
-    lookup table has one row per key, so a name that many files share never
-    multiplies the links to it.
+    source's folder, then the file of that name with the shortest path.
     """
-    at = _best_file(
-        files, {0: F.col("path"), 1: F.regexp_replace("path", r"\.md\z", "")}
-    )
-    named = _best_file(
-        files, {0: paths.file_name(F.col("path")), 1: _note_name(F.col("path"))}
+    return resolve_states(mentions, files.select("path"), ["src"], ["path"]).withColumnRenamed("dst_0", "dst")
+
+
+def resolve_states(mentions: DataFrame, files: DataFrame, sources: list[str], states: list[str]) -> DataFrame:
+    """Add ``dst_0``, ``dst_1``, ...: what each link reaches when its note lies at the first of
+    ``sources`` and the files at the first of ``states``, at the second of both, and so on.
+
+    Every link asks for the keys that would answer it, each with a rank; all are looked up
+    in one join, and the smallest rank wins. The table has one row a key and state, so a
+    name that many files share never multiplies the links to it; it is written first,
+    so that the rows of a link that is everywhere may be split.
+    """
+    asked = F.array(
+        *(
+            F.struct(F.lit(i).alias("state"), F.lit(rank).alias("rank"), key.alias("key"))
+            for i, source in enumerate(sources)
+            for rank, key in enumerate(_keys_asked(F.col("target"), F.col(source)))
+        )
     )
-    folder = paths.folder_of(F.col("src"))
-    nearby = F.when(folder == "", F.col("target")).otherwise(
-        F.concat(folder, F.lit("/"), F.col("target"))
+    rows = mentions.withColumn("asked", F.explode(asked)).select(*mentions.columns, "asked.*")
+    found = rows.join(_answers(files, states), ["key", "state"], "left")
+    best = [
+        F.min(F.when((F.col("state") == i) & F.col("found").isNotNull(), F.struct("rank", "found")))["found"].alias(f"dst_{i}")
+        for i in range(len(states))
+    ]
+    return found.groupBy(*mentions.columns).agg(*best)
+
+
+def _keys_asked(target: Column, source: Column) -> list[Column]:
+    """The keys of a link in the order in which they are tried; null for none."""
+    folder = paths.folder_of(source)
+    nearby = F.when(folder == "", target).otherwise(F.concat(folder, F.lit("/"), target))
+    # No file name has a slash. A key of its own answers nothing and spreads.
+    bare = F.when(F.contains(target, F.lit("/")), F.concat(F.lit("none "), target)).otherwise(_by_name(target))
+    return [_by_path(target), _by_path(F.coalesce(nearby, target)), bare]
+
+
+def _answers(files: DataFrame, states: list[str]) -> DataFrame:
+    """(key, state, found): per key the best file: kind of key, then shortest path, then binary order."""
+    at = F.explode(
+        F.array(*(F.struct(F.lit(i).alias("state"), F.col(path).alias("path")) for i, path in enumerate(states)))
+    ).alias("at")
+    path = F.col("path")
+    keys = [
+        (0, _by_path(path)),
+        (1, _by_path(F.regexp_replace(path, r"\.md\z", ""))),
+        (0, _by_name(paths.file_name(path))),
+        (1, _by_name(_note_name(path))),
+    ]
+    entries = F.array(*(F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in keys))
+    best = F.min(F.struct("kind", F.length("path").alias("size"), "path"))
+    table = (
+        files.select(at)
+        .select("at.state", "at.path")
+        .select("state", "path", F.inline(entries))
+        .filter("key IS NOT NULL")
+        .groupBy("key", "state")
+        .agg(best["path"].alias("found"))
     )
-    # No file name has a slash, so the other links match nothing, and as their
-    # keys differ they spread.
-    bare = F.when(F.contains("target", F.lit("/")), F.concat(F.lit("/"), "target")).otherwise(F.col("target"))
-    placed = mentions.withColumn("_nearby", F.coalesce(nearby, "target"))
-    asked = placed.select("target", "_nearby").distinct()
-    exact = _lookup(asked, at, F.col("target"), "_exact")
-    near = _lookup(exact, at, F.coalesce(F.concat(F.lit("/"), "_exact"), "_nearby"), "_near")
-    named_too = _lookup(near, named, bare, "_named")
-    answers = named_too.select("target", "_nearby", F.coalesce("_exact", "_near", "_named").alias("dst"))
-    return placed.join(answers, ["target", "_nearby"], "left").select(*mentions.columns, "dst")
+    return durable(table)
+
+
+def _by_path(path: Column) -> Column:
+    return F.concat(F.lit("path "), path)
+
+
+def _by_name(name: Column) -> Column:
+    return F.concat(F.lit("name "), name)
 
 
 def resolve_links(notes: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -107,22 +154,3 @@ def orphans(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _note_name(path: Column) -> Column:
     return F.when(paths.is_markdown(path), paths.base_name(path))
-
-
-def _best_file(files: DataFrame, keys: dict[int, Column]) -> DataFrame:
-    """One path per key: best kind of key, then shortest, then binary order."""
-    rows = F.array(
-        *(F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in keys.items())
-    )
-    best = F.min(F.struct("entry.kind", F.length("path").alias("size"), "path"))
-    return (
-        files.select("path", F.explode(rows).alias("entry"))
-        .groupBy(F.col("entry.key").alias("key"))
-        .agg(best.alias("best"))
-        .select("key", F.col("best.path").alias("found"))
-    )
-
-
-def _lookup(links: DataFrame, table: DataFrame, key: Column, found: str) -> DataFrame:
-    right = table.select(F.col("key").alias("_key"), F.col("found").alias(found))
-    return links.join(right, key == F.col("_key"), "left").drop("_key")

@@ -14,7 +14,7 @@ from thicket.operators.links import (
     link_mentions,
     link_target,
     link_tokens,
-    resolve,
+    resolve_states,
 )
 from thicket.operators.ranking import rank_in_group
 
@@ -92,7 +92,7 @@ def stale_links(notes: DataFrame, moves: DataFrame, files: DataFrame) -> DataFra
     """(src, target, new_target): link texts that would point elsewhere, or
     nowhere, after the moves.
 
-    Every link is resolved before and after; it is stale unless it still reaches
+    Every link is resolved before and after, in one pass; it is stale unless it still reaches
     the same file. Only links that a move can affect are looked at: those whose
     last part is the old or new name of a moved note, and those of moved notes.
     """
@@ -104,28 +104,19 @@ def stale_links(notes: DataFrame, moves: DataFrame, files: DataFrame) -> DataFra
             F.array(paths.file_name(F.col("path")), paths.base_name(F.col("path")))
         ).alias("name")
     )
-    sources = done.select(F.col("path").alias("src"), F.lit(True).alias("source_moved"))
+    sources = done.select(F.col("path").alias("src"), F.col("new_path").alias("new_src"))
     touched = (
         mentions.withColumn("name", paths.file_name(F.col("target")))
         .join(names.distinct().withColumn("name_moved", F.lit(True)), "name", "left")
         .join(sources, "src", "left")
-        .filter(F.col("name_moved").isNotNull() | F.col("source_moved").isNotNull())
-        .select("src", "target")
+        .filter(F.col("name_moved").isNotNull() | F.col("new_src").isNotNull())
+        .select("src", "target", F.coalesce("new_src", "src").alias("new_src"))
     )
-
-    before = resolve(touched, files).filter(F.col("dst").isNotNull())
-    expected = _renamed(_renamed(before, done, "dst", "new_dst"), done, "src", "new_src")
-    moved_files = apply_moves(files.select("path"), moves)
-    after = resolve(
-        expected.select(
-            F.col("src").alias("old_src"), F.col("new_src").alias("src"), "target", "new_dst"
-        ),
-        moved_files,
-    )
-    return after.filter(~F.col("dst").eqNullSafe(F.col("new_dst"))).select(
-        F.col("old_src").alias("src"),
-        "target",
-        F.regexp_replace("new_dst", r"\.md\z", "").alias("new_target"),
+    both = files.select("path").join(done, "path", "left").select("path", F.coalesce("new_path", "path").alias("after"))
+    resolved = resolve_states(touched, both, ["src", "new_src"], ["path", "after"])
+    expected = _renamed(resolved.filter("dst_0 IS NOT NULL"), done, "dst_0", "new_dst")
+    return expected.filter(~F.col("dst_1").eqNullSafe(F.col("new_dst"))).select(
+        "src", "target", F.regexp_replace("new_dst", r"\.md\z", "").alias("new_target")
     )
 
 

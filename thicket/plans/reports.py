@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.text import reason_labels
+from thicket.operators.clutter import report_order
+from thicket.operators.ranking import rank_in_group
 
 
 def clutter_report(flagged: DataFrame) -> DataFrame:
@@ -18,6 +20,15 @@ def clutter_report(flagged: DataFrame) -> DataFrame:
     )
 
 
+def clutter_places(flagged: DataFrame) -> DataFrame:
+    """(path, place): each flagged note's place, from 1, in the order of the report.
+
+    Ranked by range parts, so no task holds the whole report.
+    """
+    everything = flagged.select("path", F.lit(0).alias("_report"))
+    return rank_in_group(everything, "_report", report_order(), "place").select("path", "place")
+
+
 def edge_report(suggestions: DataFrame) -> DataFrame:
     """(title, detail, checked) of suggested links."""
     return suggestions.select(
