@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: dict[str, str] = {}  # by application: where stored tables go, below the session's folder
+
 
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and read it back.
@@ -26,21 +28,45 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     Unlike a checkpoint it keeps only the columns that a later step reads in
     memory, and takes about a third of the disk. ``forget`` removes it.
     """
-    spark = df.sparkSession
-    path = new_folder(spark)
+    return written(df, new_folder(df.sparkSession), *partition_by)
+
+
+def written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` as a compressed table to ``path`` and read it back."""
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A fresh path below the shared folder, which all executors can reach."""
-    return f"{_session_folder(spark)}/{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, keep: bool = False) -> str:
+    """A fresh path below the shared folder, which all executors can reach.
+
+    With ``keep`` it lies outside the scratch that ``fresh_scratch`` removes.
+    """
+    scratch = "" if keep else _scratch.get(spark.sparkContext.applicationId, "")
+    return "/".join(part for part in (_session_folder(spark), scratch, uuid.uuid4().hex) if part)
+
+
+def fresh_scratch(spark: SparkSession) -> None:
+    """Remove what was stored since the last call, and store in a new place from now on.
+
+    For steps that follow one another: a step's result has to be written before the next
+    step begins. What was stored before the first call stays.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _scratch:
+        _remove(spark, f"{_session_folder(spark)}/{_scratch[application]}")
+    _scratch[application] = f"scratch-{uuid.uuid4().hex}"
+    release(spark)
 
 
 def forget(spark: SparkSession) -> None:
     """Remove every table this session has stored. Frames that read them end here."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    _remove(spark, _session_folder(spark))
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
