@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm import test_near_duplicates, test_quality
-from thicket.durable import stored
+from thicket.durable import new_folder, written
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
@@ -23,7 +23,7 @@ def outputs(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     frames = [docs]
     for _, stage in corpus_pipeline.STAGES:
-        frames.append(stored(stage(spark, frames[-1], SF_DIR)))
+        frames.append(written(stage(spark, frames[-1], SF_DIR), new_folder(spark, keep=True)))
     return frames
 
 
@@ -42,6 +42,10 @@ def test_columns(outputs):
 def test_quality_stage(outputs):
     kept = [r[0] for r in test_quality.brute_force(triples(outputs[0])) if r[-1]]
     assert ids(outputs[1]) == sorted(kept)
+    removed = test_quality.lost_words(triples(outputs[0]))
+    words = {r[0]: len(test_quality.WORD.findall(r[1])) for r in triples(outputs[1])}
+    for (doc_id, text, _), lost in zip(triples(outputs[0]), removed):
+        assert doc_id not in words or words[doc_id] == len(test_quality.WORD.findall(text)) - lost
 
 
 def test_exact_stage(outputs):
@@ -79,3 +83,13 @@ def test_queries_with_sql(spark, name):
     expected = sorted((dict(zip(columns, r)) for r in result.fetchall()), key=str)
     got = [r.asDict() for r in frame.select(*columns).collect()]
     assert sorted(got, key=str) == expected and sorted(frame.columns) == sorted(columns)
+
+
+def test_a_stage_removes_what_the_last_one_stored(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    kept = written(corpus_pipeline.STAGES[1][1](spark, docs, SF_DIR), new_folder(spark, keep=True))
+    root = spark._jvm.org.apache.hadoop.fs.Path(new_folder(spark)).getParent()
+    filesystem = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert filesystem.exists(root)
+    corpus_pipeline.STAGES[3][1](spark, kept, SF_DIR)
+    assert not filesystem.exists(root) and kept.count() > 0

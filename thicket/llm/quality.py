@@ -1,8 +1,9 @@
 """Quality rules: plain per-document counts, then line frequency across documents.
 
 Lines are lower-cased, trimmed and hashed. Per host the distinct documents that
-hold a line are counted; a line above the host's limit is boilerplate and is
-removed, and a document of which too little is left is rejected.
+hold a line are counted; a line in more than ``LINE_DOCS`` is boilerplate and is
+removed, and a document of which too little is left is rejected. The limit is the same
+for every host and size of table.
 
 Copies must not make each other's lines look like boilerplate. Documents of equal
 normalised lines count once. Near copies do too, by a second count: a document
@@ -24,18 +25,17 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.durable import durable, stored
-from thicket.llm.rows import ROW, keep_rows, with_row_ids
+from thicket.llm.rows import ROW, with_row_ids
 
 SYMBOLS = "#*$%&|<>"  # fixed values
 WINDOW = 3
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of words
-LINE_DOCS = 10  # a line in more distinct documents of its host than this,
-LINE_SHARE = 0.005  # and in more than this share of them, is boilerplate
+LINE_DOCS = 10  # a line in more distinct documents of its host than this is boilerplate
 NEAR = 80  # per cent of words that near copies have in common
 LEAST_LEFT = 0.3  # share of its words that a document must keep
 HOST = ["no_host", "host"]
@@ -54,7 +54,10 @@ def line_quality(docs: DataFrame, host: str = "source") -> DataFrame:
     other columns are ignored; an empty table gives no rows.
     """
     measured = _measured(docs, host)
-    removed = removed_words(measured)
+    return _judged(measured, removed_words(measured, boilerplate_lines(measured)))
+
+
+def _judged(measured: DataFrame, removed: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )
@@ -86,10 +89,10 @@ def _measured(docs: DataFrame, host: str) -> DataFrame:
     )
 
 
-def removed_words(measured: DataFrame) -> DataFrame:
-    """``_thicket_row, _lost``: words in boilerplate lines, of documents that have any."""
+def removed_words(measured: DataFrame, bad: DataFrame) -> DataFrame:
+    """``_thicket_row, _lost``: words in ``bad`` lines, of documents that have any."""
     lines = _by_host(measured).select(ROW, "no_host", "host", F.inline("lines"))
-    hits = lines.join(boilerplate_lines(measured), LINE)
+    hits = lines.join(bad, LINE)
     return hits.groupBy(ROW).agg(F.sum("words").alias("_lost"))
 
 
@@ -97,17 +100,12 @@ def boilerplate_lines(measured: DataFrame) -> DataFrame:
     """``no_host, host, line`` of the lines in too many distinct documents of their host."""
     documents = _by_host(measured).filter(F.size("lines") > 0)
     single = durable(documents.groupBy(*HOST, "same").agg(F.min(ROW).alias(ROW)).select(*HOST, ROW))
-    hosts = single.groupBy(*HOST).agg(F.count("*").alias("all"))
     lines = documents.join(single.select(ROW), ROW, "left_semi").select(ROW, *HOST, "n_words", F.inline("lines"))
     counts = lines.groupBy(*LINE).agg(F.count("*").alias("docs")).filter(F.col("docs") > LINE_DOCS)
-    limit = F.greatest(F.lit(LINE_DOCS), LINE_SHARE * F.col("all"))
-    frequent = durable(counts.join(hosts, HOST).withColumn("limit", limit).filter("docs > limit").drop("all"))
-    hits = stored(lines.join(frequent, LINE))
-    units = hits.join(_near_copies(hits), ROW, "left").select(
-        *LINE, "limit", F.coalesce("unit", ROW).alias("unit")
-    )
-    counts = units.distinct().groupBy(*LINE, "limit").agg(F.count("*").alias("docs"))
-    return durable(counts.filter("docs > limit").select(*LINE))
+    hits = stored(lines.join(durable(counts), LINE))
+    units = hits.join(_near_copies(hits), ROW, "left").select(*LINE, F.coalesce("unit", ROW).alias("unit"))
+    counts = units.distinct().groupBy(*LINE).agg(F.count("*").alias("docs"))
+    return durable(counts.filter(F.col("docs") > LINE_DOCS).select(*LINE))
 
 
 def _near_copies(hits: DataFrame) -> DataFrame:
@@ -148,25 +146,59 @@ def _by_host(measured: DataFrame) -> DataFrame:
     return measured.select(ROW, *host, "same", "n_words", "lines")
 
 
-def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their texts as they are."""
+def good_documents(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that pass ``line_quality``, without their boilerplate lines.
+
+    All columns stay. Null texts fail; repeated rows are judged each for itself; an empty
+    table gives no rows.
+    """
     keyed = with_row_ids(docs)
-    return keep_rows(keyed, line_quality(keyed).filter("kept"), docs.columns)
+    measured = _measured(keyed, host)
+    bad = boilerplate_lines(measured)
+    kept = _judged(measured, removed_words(measured, bad)).filter("kept").select(ROW)
+    return _cut(keyed.join(_bad_lines(measured, bad, kept), ROW), docs.columns)
 
 
 def without_boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
-    """``docs`` with boilerplate lines cut from their texts; rows and other columns stay."""
+    """``docs`` with boilerplate lines cut from their texts; all rows and other columns stay.
+
+    Null texts stay null; a text of nothing else becomes empty.
+    """
     keyed = with_row_ids(docs)
-    named = keyed.select(ROW, F.col(host).cast("string").alias("host"), "text").mapInArrow(
-        _split_lines,
-        f"{ROW} bigint, no_host boolean, host string, place int, raw string, line bigint",
-    )
-    bad = boilerplate_lines(_measured(keyed, host)).withColumn("_bad", F.lit(True))
-    left = named.join(bad, LINE, "left").filter("_bad IS NULL")
-    texts = left.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("place", "raw"))).alias("l"))
-    text: Column = F.when(F.col("text").isNotNull(), F.coalesce(F.array_join("l.raw", "\n"), F.lit("")))
-    joined = keyed.join(texts, ROW, "left").withColumn("text", text)
-    return joined.select(*docs.columns)
+    measured = _measured(keyed, host)
+    bad = boilerplate_lines(measured)
+    return _cut(keyed.join(_bad_lines(measured, bad, measured.select(ROW)), ROW), docs.columns)
+
+
+def _bad_lines(measured: DataFrame, bad: DataFrame, rows: DataFrame) -> DataFrame:
+    """``_thicket_row`` of all ``rows``, and ``_bad``: the keys of its boilerplate lines, null for none."""
+    hits = _by_host(measured).select(ROW, *HOST, F.inline("lines")).join(bad, LINE)
+    return rows.join(hits.groupBy(ROW).agg(F.collect_list("line").alias("_bad")), ROW, "left")
+
+
+def _cut(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with the lines whose keys are in ``_bad`` cut from ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, bad in zip(batch.column("text").to_pylist(), batch.column("_bad").to_pylist()):
+                texts.append(text if text is None or not bad else cut_lines(text, set(bad)))
+            at = columns.index("text")
+            arrays = [batch.column(c) for c in columns]
+            arrays[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    kept = rows.select(*columns, "_bad")
+    return kept.mapInArrow(run, kept.drop("_bad").schema)
+
+
+def cut_lines(text: str, bad: set[int]) -> str:
+    def keep(raw: str) -> bool:
+        data = raw.encode()
+        return not data.strip() or line_key(data) not in bad
+
+    return "\n".join(raw for raw in text.split("\n") if keep(raw))
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,28 +260,3 @@ def repeated_words(words: list[bytes]) -> int:
             total += at + WINDOW - max(at, upto)
             upto = at + WINDOW
     return total
-
-
-def _split_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[dict] = []
-        for row in batch.to_pylist():
-            if row["text"] is None:
-                continue
-            for place, raw in enumerate(row["text"].split("\n")):
-                data = raw.encode()
-                out.append(
-                    {
-                        ROW: row[ROW],
-                        "no_host": row["host"] is None,
-                        "host": row["host"] or "",
-                        "place": place,
-                        "raw": raw,
-                        "line": line_key(data) if data.strip() else None,
-                    }
-                )
-        schema = pa.schema(
-            [(ROW, pa.int64()), ("no_host", pa.bool_()), ("host", pa.string()),
-             ("place", pa.int32()), ("raw", pa.string()), ("line", pa.int64())]
-        )
-        yield pa.RecordBatch.from_pylist(out, schema=schema)

@@ -26,11 +26,6 @@ def with_row_ids(docs: DataFrame, *columns: str) -> DataFrame:
     return stored(kept.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def keep_rows(keyed: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of ``keyed`` named in ``rows``, with the given columns."""
-    return keyed.join(rows.select(ROW), ROW, "left_semi").select(*columns)
-
-
 def salted_join(
     many: DataFrame, few: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 16
 ) -> DataFrame:
