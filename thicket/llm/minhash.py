@@ -95,20 +95,21 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     return keyed.join(kept.select(ROW), ROW, "left_semi").select(*docs.columns)
 
 
-def connecting_links(banded: DataFrame, keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
+def connecting_links(
+    banded: DataFrame, keyed: DataFrame, shingle: int, percent: int, texts: DataFrame | None = None
+) -> DataFrame:
     """``a, b``: links, confirmed on full sets, that connect all nodes which any links
     between nodes of one bucket connect.
 
     ``banded`` has ``node``, ``n`` (the size of its set) and ``key``, a bucket; ``keyed`` the
-    texts of the nodes by ``_thicket_row``.
+    texts of the nodes by ``_thicket_row``, from which ``texts`` (``node, text``) are taken if
+    not given.
     """
     buckets = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    crowded = durable(banded.join(buckets, "key"))
+    crowded = stored(banded.join(buckets, "key"))
     scores = crowded.groupBy("node", "n").agg(F.sum("size").alias("score"))
-    members = durable(crowded.drop("n", "size").join(scores, "node"))
-    texts = stored(
-        keyed.join(scores.select(F.col("node").alias(ROW)), ROW, "left_semi").select(F.col(ROW).alias("node"), "text")
-    )
+    members = stored(crowded.drop("n", "size").join(scores, "node"))
+    texts = texts_of(keyed, scores) if texts is None else texts
 
     def labelled(links: DataFrame, rows: DataFrame) -> DataFrame:
         roots = components(links)
@@ -131,6 +132,12 @@ def connecting_links(banded: DataFrame, keyed: DataFrame, shingle: int, percent:
     return links.union(durable(confirm(rest, texts, shingle, percent)))
 
 
+def texts_of(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of the given nodes, stored."""
+    wanted = nodes.select(F.col("node").alias(ROW))
+    return stored(keyed.join(wanted, ROW, "left_semi").select(F.col(ROW).alias("node"), "text"))
+
+
 def _leaders(members: DataFrame, group: str) -> DataFrame:
     best = F.max(F.struct("score", -F.col("node")))
     return members.groupBy(group).agg(best.alias("m")).select(group, (-F.col("m.col2")).alias("lead"))
@@ -312,13 +319,13 @@ def sketches(keyed: DataFrame, width: int) -> DataFrame:
 def sketch(texts: list[list[bytes]], shingler: Shingler) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Set sizes, digests of the word sequences, and band keys of some texts."""
     same = [hashlib.blake2b(b" ".join(words), digest_size=16).digest() for words in texts]
-    sets = [shingler.tokens(words) for words in texts]
-    sizes = np.array([len(s) for s in sets], np.int64)
+    sizes, sets = zip(*(shingler.tokens(words) for words in texts))
+    sizes, held = np.array(sizes, np.int64), np.array([len(s) for s in sets], np.int64)
     bands = np.zeros((len(texts), BANDS), np.int64)
     full = sizes > 0
     if full.any():
-        places = (np.concatenate([s for s in sets if len(s)]) >> _U64(32)).astype(np.uint32)
-        starts = np.cumsum(sizes[full]) - sizes[full]
+        places = (np.concatenate(sets) >> _U64(32)).astype(np.uint32)
+        starts = np.cumsum(held[full]) - held[full]
         bands[full] = _band_keys(places, starts)
     return sizes, same, bands
 

@@ -7,13 +7,14 @@ Tokens are hashes that all tasks compute alike, for joins that propose pairs.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _KNOWN_WORDS = 1 << 20
+_SEED = 0x7468
 _U64 = np.uint64
 _FACTOR = _U64(0x9E3779B97F4A7C15)
 
@@ -43,7 +44,7 @@ class _Numbers(dict):
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self.hashes)
-        self.hashes.append(int.from_bytes(hashlib.blake2b(word, digest_size=8, person=b"thicket").digest(), "big"))
+        self.hashes.append(xxhash.xxh3_64_intdigest(word, _SEED))
         return number
 
 
@@ -55,10 +56,14 @@ class Shingler:
         self.numbers = _Numbers()
         self.hashes = np.empty(0, np.uint64)
 
-    def tokens(self, words: list[bytes]) -> np.ndarray:
-        """One token per distinct shingle; fewer words than the width are one shingle."""
+    def tokens(self, words: list[bytes]) -> tuple[int, np.ndarray]:
+        """How many distinct shingles there are, and their tokens in ascending order.
+
+        Fewer words than the width are one shingle. Shingles of equal tokens, should there
+        be any, count each but have one token.
+        """
         if not words:
-            return np.empty(0, np.uint64)
+            return 0, np.empty(0, np.uint64)
         if len(self.numbers) > _KNOWN_WORDS:
             self.numbers, self.hashes = _Numbers(), np.empty(0, np.uint64)
         numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
@@ -66,16 +71,17 @@ class Shingler:
             fresh = np.array(self.numbers.hashes[len(self.hashes) :], np.uint64)
             self.hashes = np.concatenate([self.hashes, fresh])
         width = min(self.width, len(words))
-        first = first_places(numbers, width)
-        total = np.full(len(first), width, np.uint64)
+        hashes = self.hashes[numbers]
+        total = np.full(len(words) - width + 1, width, np.uint64)
         for i in range(width):
-            total = (total ^ self.hashes[numbers[first + i]]) * _FACTOR
+            total ^= hashes[i : i + len(total)]
+            total *= _FACTOR
             total ^= total >> _U64(29)
-        return mixed(total)
+        return distinct_runs(numbers, width), np.unique(mixed(total))
 
 
-def first_places(numbers: np.ndarray, width: int) -> np.ndarray:
-    """Where each distinct run of ``width`` numbers starts first."""
+def distinct_runs(numbers: np.ndarray, width: int) -> int:
+    """How many different runs of ``width`` numbers there are."""
     count = len(numbers) - width + 1
     codes, bound = numbers[:count], int(numbers.max()) + 1
     base = bound
@@ -85,7 +91,8 @@ def first_places(numbers: np.ndarray, width: int) -> np.ndarray:
             bound = int(codes.max()) + 1
         codes = codes * base + numbers[i : i + count]
         bound *= base
-    return np.unique(codes, return_index=True)[1]
+    ordered = np.sort(codes)
+    return 1 + int(np.count_nonzero(ordered[1:] != ordered[:-1]))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
