@@ -14,9 +14,10 @@ the members and in what these have in common beyond a hub. Pairs of the others
 are verified first with the smallest partner of each document, then between
 components that this leaves apart.
 
-The order comes from counts of all tokens, kept in a table of ``COUNTERS`` cells per
-task and summed: a bounded broadcast of one byte a cell. Cells shared by several
-tokens only make the order coarser; any order gives the same links.
+The order comes from counts of all tokens, kept in a table of cells per task and
+summed: a broadcast of one byte a cell. There are as many cells as an eighth of the
+tokens, at most ``MOST_CELLS``. Cells shared by several tokens only make the order
+coarser; any order gives the same links.
 
 Scale: texts are read twice, for counts and for prefixes. A prefix holds about
 ``100 - percent`` per cent of the tokens; all joins work on these and on numbers.
@@ -29,21 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.durable import durable, stored
+from thicket.durable import durable, release, stored
 from thicket.llm.components import components
-from thicket.llm.minhash import by_component, confirm, connecting_links
+from thicket.llm.minhash import by_component, confirm, connecting_links, texts_of
 from thicket.llm.rows import ROW, with_row_ids
 from thicket.llm.shingles import Shingler, portions, words_of
 
 SHINGLE = 5
 PERCENT = 80
-CROWD = 16  # members of a token or group up to which pairs are listed
-COUNTERS = 1 << 20
-_SLICES = 16  # rows in which a task hands over its counters
-_HELD = 1 << 20  # tokens counted at once
+CROWD = 8  # members of a token or group up to which pairs are listed
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 26
+_BYTES_A_CELL = 48  # of text: eight words or so
+_SLICE = 1 << 16  # cells that a task hands over in one row
 _U64 = np.uint64
 
 
@@ -61,7 +63,8 @@ def linked_documents(
     rows.
     """
     keyed = with_row_ids(docs, "doc_id", "text")
-    counted = stored(_counted(keyed, shingle))
+    cells = _cells(keyed)
+    counted = stored(_counted(keyed, shingle, cells))
     sketched = counted.filter("cells IS NULL").select(ROW, "doc_id", "n_shingles", "same")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
     classes = durable(
@@ -69,19 +72,27 @@ def linked_documents(
             "same", F.col(f"m.{ROW}").alias("node")
         )
     )
-    prefixes = _prefixes(keyed, _token_order(counted), shingle, percent)
+    prefixes = _prefixes(keyed, _token_order(counted, cells), shingle, percent)
     groups = stored(prefixes.join(classes.select("node"), "node", "left_semi"))
     links = _links(groups, keyed, shingle, percent, crowd)
     return by_component(sketched, classes, components(links))
 
 
-def _counted(keyed: DataFrame, width: int) -> DataFrame:
+def _cells(keyed: DataFrame) -> int:
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = LEAST_CELLS
+    while cells < MOST_CELLS and cells * _BYTES_A_CELL < size:
+        cells *= 2
+    return cells
+
+
+def _counted(keyed: DataFrame, width: int, count: int) -> DataFrame:
     """Set size and digest of the words of each row; then each task's counts of tokens by cell."""
     kind = keyed.schema["doc_id"].dataType.simpleString()
     names = [ROW, "doc_id", "n_shingles", "same", "slice", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, cells = Shingler(width), np.zeros(COUNTERS, np.uint32)
+        shingler, cells = Shingler(width), np.zeros(count, np.uint8)
         held: list[np.ndarray] = []
         doc_id = None
         for batch in batches:
@@ -89,24 +100,21 @@ def _counted(keyed: DataFrame, width: int) -> DataFrame:
                 sizes, same = [], []
                 for text in part.column("text"):
                     words = words_of(text.as_py() or "")
-                    tokens = shingler.tokens(words)
-                    sizes.append(len(tokens))
+                    size, tokens = shingler.tokens(words)
+                    sizes.append(size)
                     same.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                     held.append(tokens)
-                    if sum(map(len, held[-64:])) > _HELD or len(held) > 4096:
-                        _count(cells, held)
                 _count(cells, held)
                 doc_id = part.column("doc_id")
                 nothing = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(ROW), doc_id, pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), *nothing], names
                 )
-        if doc_id is not None:
-            parts = [c.astype("<u4").tobytes() for c in np.split(cells, _SLICES)]
-            count = len(parts)
+        for at in range(0, count if doc_id is not None else 0, _SLICE):
+            part = zstandard.compress(cells[at : at + _SLICE].tobytes(), 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(count, pa.int64()), pa.nulls(count, doc_id.type), pa.nulls(count, pa.int64()),
-                 pa.nulls(count, pa.binary()), pa.array(range(count), pa.int32()), pa.array(parts, pa.binary())],
+                [pa.nulls(1, pa.int64()), pa.nulls(1, doc_id.type), pa.nulls(1, pa.int64()),
+                 pa.nulls(1, pa.binary()), pa.array([at // _SLICE], pa.int32()), pa.array([part], pa.binary())],
                 names,
             )
 
@@ -116,28 +124,31 @@ def _counted(keyed: DataFrame, width: int) -> DataFrame:
 
 
 def _count(cells: np.ndarray, held: list[np.ndarray]) -> None:
-    if held:
-        found, times = np.unique(np.concatenate(held) & _U64(COUNTERS - 1), return_counts=True)
-        cells[found.astype(np.int64)] += times.astype(np.uint32)
-        held.clear()
+    """Add the tokens of one portion to their cells; a task counts up to 255."""
+    found = np.sort((np.concatenate(held) & _U64(len(cells) - 1)).astype(np.int64))
+    held.clear()
+    if len(found):
+        starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        times = np.diff(np.append(starts, len(found)))
+        cells[found[starts]] = np.minimum(cells[found[starts]] + times, 255).astype(np.uint8)
 
 
-def _token_order(counted: DataFrame) -> np.ndarray:
-    """For each cell how frequent its tokens are, in 256 steps: a quarter of a doubling each."""
+def _token_order(counted: DataFrame, count: int) -> np.ndarray:
+    """For each cell how frequent its tokens are, in 256 steps: an eighth of a doubling each."""
 
     def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(COUNTERS // _SLICES, np.uint64)
+        cells = np.zeros(_SLICE, np.uint64)
         for batch in batches:
             for part in batch.column("cells"):
-                cells += np.frombuffer(part.as_buffer(), "<u4")
-        steps = np.minimum(np.round(4 * np.log2(cells + 1.0)), 255).astype(np.uint8)
+                cells += np.frombuffer(zstandard.decompress(part.as_py()), np.uint8)
+        steps = np.minimum(np.round(8 * np.log2(cells + 1.0)), 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([steps.tobytes()])], ["slice", "steps"])
 
     tables = counted.filter("cells IS NOT NULL").select("slice", "cells")
-    rows = tables.groupBy("slice").applyInArrow(total, "slice int, steps binary").collect()
-    found = {row["slice"]: np.frombuffer(row["steps"], np.uint8) for row in rows}
-    empty = np.zeros(COUNTERS // _SLICES, np.uint8)
-    return np.concatenate([found.get(i, empty) for i in range(_SLICES)])
+    order = np.zeros(count, np.uint8)
+    for row in tables.groupBy("slice").applyInArrow(total, "slice int, steps binary").collect():
+        order[row["slice"] * _SLICE : (row["slice"] + 1) * _SLICE] = np.frombuffer(row["steps"], np.uint8)
+    return order
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -155,14 +166,14 @@ def _prefixes(keyed: DataFrame, order: np.ndarray, width: int, percent: int) ->
             for part in portions(batch):
                 nodes, sizes, prefixes, alike = [], [], [], []
                 for node, text in zip(part.column(ROW).to_pylist(), part.column("text")):
-                    tokens = shingler.tokens(words_of(text.as_py() or ""))
-                    if not len(tokens):
+                    size, tokens = shingler.tokens(words_of(text.as_py() or ""))
+                    if not size:
                         continue
-                    first = first_tokens(tokens, steps.value, percent)
+                    first = first_tokens(size, tokens, steps.value, percent)
                     nodes.append(node)
-                    sizes.append(len(tokens))
+                    sizes.append(size)
                     prefixes.append(first)
-                    alike.append(hashlib.blake2b(first.tobytes() + len(tokens).to_bytes(8, "big"), digest_size=16).digest())
+                    alike.append(hashlib.blake2b(first.tobytes() + size.to_bytes(8, "big"), digest_size=16).digest())
                 bounds = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 flat = np.concatenate([np.empty(0, np.int64), *prefixes])
                 yield pa.RecordBatch.from_arrays(
@@ -174,80 +185,81 @@ def _prefixes(keyed: DataFrame, order: np.ndarray, width: int, percent: int) ->
     return keyed.select(ROW, "text").mapInArrow(run, "node bigint, n bigint, prefix array<bigint>, alike binary")
 
 
-def first_tokens(tokens: np.ndarray, steps: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix of a set; its order is the same for all sets: by step, then by hash."""
-    rank = (steps[(tokens & _U64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << _U64(56)) | (tokens >> _U64(8))
+def first_tokens(size: int, tokens: np.ndarray, steps: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a set of ``size``; its order is the same for all sets: by step, then by hash."""
+    rank = (steps[(tokens & _U64(len(steps) - 1)).astype(np.int64)].astype(np.uint64) << _U64(56)) | (tokens >> _U64(8))
     rank = np.unique(rank)
     # Different shingles of one rank would leave fewer common ranks than common shingles.
-    size = min(len(rank), prefix_size(len(tokens), percent) + len(tokens) - len(rank))
-    return rank[:size].view(np.int64)
+    count = min(len(rank), prefix_size(size, percent) + size - len(rank))
+    return rank[:count].view(np.int64)
 
 
 def _links(groups: DataFrame, keyed: DataFrame, shingle: int, percent: int, crowd: int) -> DataFrame:
     """``a, b``: confirmed links that connect all nodes that any confirmed links connect."""
-    heads = durable(groups.groupBy("alike").agg(F.min("node").alias("group"), F.count("*").alias("members")))
-    members = durable(
-        groups.select("alike", "node", "n").join(heads.withColumnRenamed("members", "m"), "alike").drop("alike")
-    )
-    first = groups.join(heads.select(F.col("group").alias("node"), "members"), "node")
-    posted = first.select(
-        F.col("node").alias("group"), "n", "members", F.size("prefix").alias("p"), F.explode("prefix").alias("token")
-    )
-    tokens = posted.groupBy("token").agg(F.count("*").alias("groups"), F.sum("members").alias("all"))
-    shared = stored(
-        posted.join(durable(tokens.filter("groups > 1").select("token", "all")), "token")
+    heads = durable(groups.groupBy("alike").agg(F.min("node").alias("group"), F.count("*").alias("m")))
+    members = stored(groups.select("alike", "node", "n").join(heads, "alike").drop("alike"))
+    first = groups.join(heads.select(F.col("group").alias("node"), "m"), "node").select(
+        F.col("node").alias("group"), "n", "m", F.size("prefix").alias("p"), "prefix"
     )
-    crowded = F.col("all") > crowd
-    near = _group_pairs(shared.filter(~crowded), shared.filter(crowded), percent)
+    posted = first.select("group", "m", F.explode("prefix").alias("token"))
+    tokens = posted.groupBy("token").agg(F.count("*").alias("groups"), F.sum("m").alias("all"))
+    tokens = stored(tokens.filter("groups > 1").select("token", (F.col("all") > crowd).alias("crowded")))
+    shared = stored(posted.select("group", "token").join(tokens, "token"))
+    release(groups.sparkSession)
+    quiet, crowded = shared.filter("NOT crowded").drop("crowded"), shared.filter("crowded").drop("crowded")
+    pairs = stored(_member_pairs(_group_pairs(quiet, crowded, first.drop("prefix"), percent), members, crowd))
+    banded = _crowds(members, crowded, crowd)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(banded.select("node")).distinct()
+    texts = texts_of(keyed, nodes)
+    release(groups.sparkSession)
+    hubs = durable(connecting_links(banded, keyed, shingle, percent, texts))
+    release(groups.sparkSession)
+    return hubs.union(_pair_links(pairs, hubs, texts, shingle, percent))
+
+
+def _crowds(members: DataFrame, crowded: DataFrame, crowd: int) -> DataFrame:
+    """``node, n, key``: the members of crowded tokens and of large groups, bucket by bucket."""
+    by_token = crowded.select("group", F.col("token").alias("key"))
+    expanded = members.select("group", "node", "n").join(by_token, "group").select("node", "n", "key")
+    by_group = members.filter(F.col("m") > crowd).select("node", "n", F.col("group").alias("key"))
+    return expanded.union(by_group)
+
+
+def _member_pairs(near: DataFrame, members: DataFrame, crowd: int) -> DataFrame:
+    """``a, b`` (a > b): the members of near groups, and of each small group among themselves."""
     inside = members.filter(F.col("m").between(2, crowd)).select("group", "node")
-    pairs = near.join(members.select(F.col("group").alias("x"), F.col("node").alias("a")), "x").join(
+    across = near.join(members.select(F.col("group").alias("x"), F.col("node").alias("a")), "x").join(
         members.select(F.col("group").alias("y"), F.col("node").alias("b")), "y"
-    ).select("a", "b")
-    twins = inside.toDF("group", "a").join(inside.toDF("group", "b"), "group").filter("a < b").select("a", "b")
-    pairs = stored(
-        pairs.union(twins).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     )
-    hubs = _hub_links(members, shared.filter(crowded), keyed, shingle, percent, crowd)
-    return hubs.union(_pair_links(pairs, hubs, keyed, shingle, percent))
+    twins = inside.toDF("group", "a").join(inside.toDF("group", "b"), "group").filter("a > b")
+    ordered = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return ordered.union(twins.select("a", "b"))
 
 
-def _group_pairs(shared: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+def _group_pairs(shared: DataFrame, crowded: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """``x, y``: groups that can be similar by size and by the tokens their prefixes share.
 
     If the last token of x's prefix comes first, all that x and y share up to it lies in
     both prefixes, and x has ``n_x - p_x`` tokens behind it. Tokens that are not listed
-    here because they are crowded count as shared.
+    here because they are crowded count as shared. ``facts``: ``group, n, p``.
     """
     hidden = crowded.groupBy("group").agg(F.count("*").alias("hidden"))
-    side = shared.join(durable(hidden), "group", "left").select(
-        "token", "group", "n", F.struct("p", F.coalesce("hidden", F.lit(0)).alias("hidden")).alias("f")
+    facts = stored(
+        facts.join(hidden, "group", "left").select("group", "n", "p", F.coalesce("hidden", F.lit(0)).alias("hidden"))
     )
-    side = stored(side)
-    x, y = side.toDF("token", "x", "n_x", "f_x"), side.toDF("token", "y", "n_y", "f_y")
+    side = shared.join(facts.select("group", "n"), "group")
+    x, y = side.toDF("x", "token", "n_x"), side.toDF("y", "token", "n_y")
     ordered = F.struct("n_x", "x") > F.struct("n_y", "y")
     met = x.join(y, "token").filter(ordered & (100 * F.col("n_y") >= percent * F.col("n_x")))
-    counts = met.groupBy("x", "y", "n_x", "n_y", "f_x", "f_y").agg(F.count("*").alias("c"))
-    behind = F.greatest(F.col("n_x") - F.col("f_x.p"), F.col("n_y") - F.col("f_y.p"))
-    most = F.col("c") + F.least("f_x.hidden", "f_y.hidden") + behind
+    counts = met.groupBy("x", "y").agg(F.count("*").alias("c"))
+    counts = counts.join(facts.toDF("x", "n_x", "p_x", "h_x"), "x").join(facts.toDF("y", "n_y", "p_y", "h_y"), "y")
+    behind = F.greatest(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y"))
+    most = F.col("c") + F.least("h_x", "h_y") + behind
     return counts.filter((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y"))).select("x", "y")
 
 
-def _hub_links(
-    members: DataFrame, crowded: DataFrame, keyed: DataFrame, shingle: int, percent: int, crowd: int
-) -> DataFrame:
-    """Links among the members of crowded tokens and groups."""
-    by_token = crowded.select("group", F.col("token").alias("key"))
-    expanded = members.select("group", "node", "n").join(by_token, "group").select("node", "n", "key")
-    by_group = members.filter(F.col("m") > crowd).select("node", "n", F.col("group").alias("key"))
-    return durable(connecting_links(expanded.union(by_group), keyed, shingle, percent))
-
-
-def _pair_links(pairs: DataFrame, hubs: DataFrame, keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _pair_links(pairs: DataFrame, hubs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links among ``pairs`` (a > b) that connect what they and ``hubs`` connect."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = stored(
-        keyed.join(nodes.withColumnRenamed("node", ROW), ROW, "left_semi").select(F.col(ROW).alias("node"), "text")
-    )
 
     def apart(links: DataFrame) -> DataFrame:
         roots = durable(components(links))
