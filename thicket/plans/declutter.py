@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from thicket.config import Config
+from thicket.durable import durable
 from thicket.operators.clutter import flag_clutter, in_report_order
 from thicket.operators.links import resolve_links
-from thicket.operators.moves import moved_corpus, plan_trash_moves
+from thicket.operators.moves import done_moves, moved_corpus, plan_trash_moves, rewrite_inbound_links
 from thicket.plans.reports import accepted_only
+from thicket.sources import snapshots
 
 
 @dataclass(frozen=True)
@@ -44,3 +47,24 @@ def trash(
     chosen = accepted_only(flagged, accepted, ["path"])
     moves = plan_trash_moves(chosen, everything, cfg, now_ms)
     return TrashResult(moves, moved_corpus(notes, moves, everything))
+
+
+def trash_in(
+    spark: SparkSession,
+    location: str,
+    flagged: DataFrame,
+    cfg: Config,
+    now_ms: int,
+    accepted: DataFrame | None = None,
+    files: DataFrame | None = None,
+) -> int:
+    """Make the moves in the latest version of a stored corpus; the new version's number.
+
+    Only buckets of moved notes, of their new places and of notes whose links change are written.
+    """
+    notes = snapshots.read(spark, location)
+    everything = notes.select("path") if files is None else files
+    moves = durable(plan_trash_moves(accepted_only(flagged, accepted, ["path"]), everything, cfg, now_ms))
+    relinked = rewrite_inbound_links(notes, moves, everything).select("path", "content")
+    changes = done_moves(moves).join(relinked, "path", "full").withColumn("new_path", F.coalesce("new_path", "path"))
+    return snapshots.change(spark, location, durable(changes))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.config import Config
-from thicket.operators.edges import linked_corpus, suggest_links
+from thicket.durable import durable
+from thicket.operators.edges import apply_links, linked_corpus, suggest_links
 from thicket.operators.ranking import shuffled_once
+from thicket.sources import snapshots
 
 
 @dataclass(frozen=True)
@@ -31,3 +33,14 @@ def insert(notes: DataFrame, cfg: Config, accepted: DataFrame | None = None) ->
     linked = linked_corpus(notes, cfg, accepted)
     changed = linked.filter(F.col("n_applied") > 0).select("path", "content", "n_applied")
     return LinkResult(changed, linked.drop("n_applied"))
+
+
+def insert_into(
+    spark: SparkSession, location: str, cfg: Config, accepted: DataFrame | None = None
+) -> int:
+    """Write accepted links into the latest version of a stored corpus; the new version's number.
+
+    Only buckets of notes that change are written (see ``sources.snapshots``).
+    """
+    changed = durable(apply_links(snapshots.read(spark, location), cfg, accepted))
+    return snapshots.change(spark, location, changed.withColumn("new_path", F.col("path")))
