@@ -75,7 +75,7 @@ def test_last_stage_and_run(spark, outputs):
 @pytest.mark.parametrize("name", sorted(k for k in entry.oracle_sql() if k.startswith("op")))
 def test_queries_with_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "conversations"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     frame = entry.queries()[name](spark, SF_DIR)
     result = duck.execute(entry.oracle_sql()[name])
