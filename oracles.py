@@ -14,6 +14,17 @@ SPACE = (
 FENCE = "```"
 FARM = r"\n".join(f"https://ex.com/{i}" for i in range(1, 7))
 NOW_MS = 1_700_000_000_000
+# Stored settings of a user: among the patterns one is blank and two are invalid.
+SETTINGS = {
+    "stubMinWords": 40,
+    "flagEmpty": False,
+    "flagLinkFarms": False,
+    "spamPatterns": " \\bthe\\s+of\\b \n\n  \n(the\n[z-a]\n^Thin\\b",
+    "protectTags": "#X\n",
+    "ignoreFolders": ["Templates/", " src3// "],
+    "trashFolder": "/_trash/",
+    "notASetting": 1,
+}
 
 # The notes: see thicket/sources/documents.py.
 NOTES = rf"""
@@ -133,6 +144,18 @@ def resolved(name: str, links: str, files: str) -> str:
   LEFT JOIN {name}_named c ON c.key = l.target AND NOT contains(l.target, '/'))"""
 
 
+CUSTOM = rf"""
+kept_out AS (
+  SELECT path FROM tag_lists
+  WHERE starts_with(path, '_trash/') OR starts_with(path, 'Templates/') OR starts_with(path, 'src3/')
+     OR coalesce(list_contains(tags, 'x'), false)),
+custom AS (
+  SELECT path, words, list_filter([
+           CASE WHEN words < 40 THEN 'stub' END,
+           CASE WHEN regexp_matches(body, '(?i)\bthe[{SPACE}]+of\b') OR regexp_matches(body, '(?i)\AThin\b')
+                THEN 'spam' END], lambda r: r IS NOT NULL) AS reasons
+  FROM measures WHERE path NOT IN (SELECT path FROM kept_out))"""
+
 GRAPH = (
     MENTIONED
     + ","
@@ -203,6 +226,19 @@ mentions AS (
   WHERE g.key IN (SELECT lower(match) FROM targets))"""
 
 
+# Every place of a title in a text, whatever stands around it: between the pieces that it cuts.
+SUBSTRINGS = r"""
+keys AS (SELECT DISTINCT lower(match) AS key FROM targets),
+parted AS (
+  SELECT path, key, string_split(lower(content), key) AS parts
+  FROM notes JOIN keys ON contains(lower(content), key)),
+parts AS (SELECT path, key, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM parted),
+mentions AS (
+  SELECT path, key, (sum(length(part)) OVER w + (i - 1) * length(key))::BIGINT AS start FROM parts
+  WINDOW w AS (PARTITION BY path, key ORDER BY i ROWS UNBOUNDED PRECEDING)
+  QUALIFY i < n)"""
+
+
 def planned(cap: int) -> str:
     """CTEs up to ``edits`` (path, s, e, target): the links to write."""
     below_cap = f"len(r.edits) < {cap} AND" if cap else ""
@@ -328,6 +364,13 @@ def oracle_sql() -> dict[str, str]:
     mentions = (NOTES, BODIES, META, TARGETS, MENTIONS)
     edges = (*mentions, RANGES, planned(20))
     moves = (*clutter, MOVES)
+    files_taken = rf"""
+taken_files AS (
+  SELECT path FROM notes
+  UNION ALL SELECT '_trash/' || regexp_replace(regexp_extract(path, '[^/]*\z'), '\.md\z', '') || '-{NOW_MS}.md'
+  FROM notes WHERE split_part(path, '/', 2)::BIGINT % 2 = 0)"""
+    taken = (*clutter, files_taken, MOVES.replace("FROM notes", "FROM taken_files"))
+    reviewed = "chosen AS (SELECT * FROM suggestions WHERE line = 1 AND split_part(path, '/', 2)::BIGINT % 3 <> 2)"
     report = r"""SELECT path AS title, replace(array_to_string(reasons, ', '), 'link-farm', 'link farm')
         || ' · ' || words || ' word(s)' AS detail, true AS checked FROM clutter"""
     with_orphans = r"""SELECT path, array_to_string(list_filter([
@@ -380,6 +423,21 @@ def oracle_sql() -> dict[str, str]:
         "suggest_links": _query(suggestion, *edges, recursive=True),
         "suggest_links_uncapped": _query(
             suggestion, *mentions, RANGES, planned(0), recursive=True),
+        "suggest_links_substring": _query(
+            suggestion, NOTES, BODIES, META, TARGETS, SUBSTRINGS, RANGES, planned(20), recursive=True),
+        "clutter_flags_settings": _query(
+            """SELECT path, array_to_string(reasons, ',') AS reasons, words FROM custom WHERE len(reasons) > 0""",
+            *measured, META, CUSTOM),
+        "apply_reviewed_links": _query(written, *edges, reviewed, WRITTEN, recursive=True),
+        "linked_version": _query(
+            """SELECT path, md5(coalesce(w.content, n.content)) AS content_md5
+               FROM notes n LEFT JOIN written w USING (path)""",
+            *edges, first_lines, WRITTEN, recursive=True),
+        "trash_moves_taken": _query("SELECT path, new_path, status, error FROM moves", *taken),
+        "move_errors": _query("SELECT path, error FROM moves WHERE status = 'error'", *taken),
+        "move_summary_taken": _query(
+            """SELECT count(*) FILTER (status = 'moved') AS moved,
+               count(*) FILTER (status = 'error') AS failed FROM moves""", *taken),
         "edge_report": _query(
             """SELECT path || '  →  [[' || target || ']]' AS title,
                'line ' || line || ': ' || context AS detail, true AS checked FROM suggestions""",
