@@ -45,8 +45,10 @@ def keys():
     pkcs1 = der(0x30, number + b"".join(der(2, os.urandom(40)) for _ in range(8)))
     algorithm = der(0x30, der(6, b"\x2a\x86\x48") + der(5, b""))
     sec1 = der(0x30, der(2, b"\1") + der(4, os.urandom(32)) + der(0xA0, der(6, b"\x2a\x86\x48")))
+    dsa = der(0x30, number + der(2, b"\x7f" * 128) + b"".join(der(2, b"\x11" * n) for n in (20, 128, 128, 20)))
     return {
         "pkcs1": pkcs1,
+        "dsa": dsa,
         "pkcs8": der(0x30, number + algorithm + der(4, pkcs1)),
         "sec1": sec1,
         "encrypted": der(0x30, algorithm + der(4, os.urandom(64))),
@@ -71,12 +73,38 @@ def test_key_encodings():
     assert kinds(base64.b64encode(public).decode()) == []
 
 
+def wrapped(run, width, gap="\n"):
+    return gap.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+def test_keys_wrapped_over_lines():
+    for name, data in keys().items():
+        plain, url_safe = base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode().rstrip("=")
+        for run in (plain, url_safe, wrapped(plain, 64), wrapped(url_safe, 40), wrapped(plain, 76, "\r\n  ")):
+            assert kinds(f"key:\n{run}\nand more prose") == [("der", run)], name
+        assert kinds(wrapped(plain[:-8], 64)) == [], name
+        assert kinds(wrapped(plain, 32, "\n\n")) == [], name  # a blank line ends a run
+
+
+def test_blocks_with_header_lines():
+    body = wrapped(base64.b64encode(os.urandom(640)).decode(), 64)
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    block = "-----BEGIN RSA PRIVATE KEY-----\n{}{}\n-----END RSA PRIVATE KEY-----"
+    assert kinds("x " + block.format(head, body)) == [("pem", block.format(head, body))]
+    for bad in (block.format("", body), block.format(head, body[:-9]), block.format("Proc-Type: 4,ENCRYPTED\n\n", body)):
+        assert kinds(bad) == []
+    named = block.format("Comment: a-b\n\n", wrapped(base64.b64encode(keys()["pkcs1"]).decode(), 64))
+    assert kinds(named) == [("pem", named)]
+    assert kinds("-----BEGIN PRIVATE KEY-----" * 3000) == []
+
+
 def test_openssh_keys():
     string = lambda b: struct.pack(">I", len(b)) + b
     head = b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + struct.pack(">I", 1)
     data = head + string(os.urandom(51)) + string(os.urandom(136))
     run = base64.b64encode(data).decode()
     assert kinds(run) == [("ssh", run)]
+    assert kinds(f"{wrapped(run, 70)}\n\nend") == [("ssh", wrapped(run, 70))]
     assert kinds(base64.b64encode(data[:-1]).decode()) == []
 
 
@@ -86,6 +114,9 @@ def test_signed_tokens():
     token = f"{head}.{body}.{part(os.urandom(32))}"
     assert kinds(f"Bearer {token}.") == [("jwt", token)]
     assert kinds(f"{head}.{body}.{part(os.urandom(31))}") == []
+    for algorithm, size in (("ES256K", 64), ("Ed25519", 64), ("EdDSA", 114), ("RS256", 256)):
+        token = f"{part(json.dumps({'alg': algorithm}).encode())}.{body}.{part(os.urandom(size))}"
+        assert kinds(token) == [("jwt", token)]
     assert kinds(f"{part(b'{}' + b' ' * 9)}.{body}.{part(os.urandom(32))}") == []
     assert kinds(f"eyJhbGciOiJIUzI1NiJ.{body}.abc") == []
 

@@ -3,10 +3,12 @@
 A pattern alone cannot tell a key from any other long run of letters. So base64
 and hex candidates are decoded and parsed before they are reported:
 
-- ``pem``: a private-key block whose body is a DER or OpenSSH private key,
+- ``pem``: a private-key block whose body is a DER or OpenSSH private key, or whose header
+  lines name a cipher and whose body is whole blocks of it,
 - ``der``: a bare base64 or hex run that is one: nested lengths must add up at
-  every level, and the members be those of PKCS#1, PKCS#8 or SEC1,
+  every level, and the members be those of PKCS#1, DSA, PKCS#8 or SEC1,
 - ``ssh``: a bare OpenSSH private key, whose inner string lengths must add up,
+  (bare base64 may be wrapped over lines and use the URL-safe letters),
 - ``jwt``: a signed token whose header is JSON with an algorithm, whose payload
   is JSON, and whose signature has the length of that algorithm.
 
@@ -34,14 +36,18 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run is matched whole, so shorter ones ma
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]*)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|b3BlbnNzaC)[A-Za-z0-9+/]{22,}={0,2}")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
+_HEADERS = re.compile(r"\s*((?:[A-Za-z-]+: [^\r\n]*\r?\n)+)\s*\n")
+_CIPHER = re.compile(r"^DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]+\r?$", re.M)
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC)[A-Za-z0-9+/_-]{22,}={0,2}")
+_NEXT_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
 _HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70656[Ee]73)[0-9A-Fa-f]{46,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-# Bytes of a signature; None stands for at least 128.
+# Bytes of a signature; none stands for at least 128.
 _SIGNATURE = {
-    "HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64,
-    "RS256": None, "RS384": None, "RS512": None, "PS256": None, "PS384": None, "PS512": None,
+    "HS256": [32], "HS384": [48], "HS512": [64], "ES256": [64], "ES384": [96], "ES512": [132], "ES256K": [64],
+    "EdDSA": [64, 114], "Ed25519": [64], "Ed448": [114], "ML-DSA-44": [2420], "ML-DSA-65": [3309], "ML-DSA-87": [4627],
+    "RS256": [], "RS384": [], "RS512": [], "PS256": [], "PS384": [], "PS512": [],
 }
 _INTEGER, _BITS, _OCTETS, _OID, _SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
 _SSH_MAGIC = b"openssh-key-v1\0"
@@ -67,18 +73,56 @@ def base_spans(text: str) -> list[Span]:
 def confirmed_spans(text: str) -> list[Span]:
     """Candidates whose decoded bytes have the structure of a key or token."""
     spans: list[Span] = []
-    blocks = [m for m in _PEM.finditer(text) if _key_kind(_base64(re.sub(r"\s|\\[nr]", "", m[2])))]
+    blocks = [m for m in _PEM.finditer(text) if _is_block(m[2])]
     spans += [("pem", *m.span()) for m in blocks]
-    bare = [(m, _base64(m[0])) for m in _BASE64.finditer(text)]
-    bare += [(m, _hex(m[0])) for m in _HEX_BYTES.finditer(text)]
-    for match, data in bare:
-        kind = _key_kind(data)
-        if kind and not any(b.start() <= match.start() < b.end() for b in blocks):
-            spans.append((kind, *match.span()))
+    bare = [(m.start(), m.end(), _key_kind(_hex(m[0]))) for m in _HEX_BYTES.finditer(text)]
+    bare += [_bare_key(text, m) for m in _BASE64.finditer(text)]
+    for start, end, kind in bare:
+        if kind and not any(b.start() <= start < b.end() for b in blocks):
+            spans.append((kind, start, end))
     spans += [("jwt", *m.span()) for m in _TOKEN.finditer(text) if _is_token(*m.groups())]
     return spans
 
 
+def _is_block(body: str) -> bool:
+    headers = _HEADERS.match(body)
+    data = _base64(re.sub(r"\s|\\[nr]", "", body[headers.end() :] if headers else body))
+    if headers and "ENCRYPTED" in headers[1] and _CIPHER.search(headers[1]):
+        return len(data) >= 16 and len(data) % 8 == 0  # whole blocks of a cipher
+    return _key_kind(data) is not None
+
+
+def _bare_key(text: str, match: re.Match) -> tuple[int, int, str | None]:
+    """Start, end and kind of the key that a run of base64 begins; it may go on in the next lines.
+
+    The lengths inside say how many letters a key has: it ends with a line, or with its
+    own padding.
+    """
+    kind = _key_kind(_base64(match[0]))
+    if kind:
+        return match.start(), match.end(), kind
+    size = _told_size(_base64(match[0][:24]))
+    run, end = match[0], match.end()
+    while run[-1] != "=" and (size is None or len(run) * 3 // 4 < size):
+        line = _NEXT_LINE.match(text, end)
+        if line is None:
+            break
+        run, end = run + line[1], line.end()
+        if size is None and _key_kind(_base64(run)):
+            break
+    return match.start(), end, _key_kind(_base64(run)) if end > match.end() else None
+
+
+def _told_size(data: bytes) -> int | None:
+    """The size of a DER sequence as its first bytes tell it."""
+    if len(data) < 6 or data[0] != _SEQUENCE:
+        return None
+    width = data[1] & 0x7F if data[1] & 0x80 else 0
+    if width > 4:
+        return None
+    return 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans``: one row per input row.
 
@@ -143,6 +187,8 @@ def _is_private_key(data: bytes) -> bool:
     tags = [tag for tag, _, _ in members]
     if len(tags) >= 9 and all(tag == _INTEGER for tag in tags[:9]):
         return True  # PKCS#1
+    if tags == [_INTEGER] * 6:
+        return data[members[0][1] : members[0][2]] == b"\0" and members[1][2] - members[1][1] >= 64  # DSA
     if tags[:3] == [_INTEGER, _SEQUENCE, _OCTETS]:
         return _names_algorithm(data, members[1])  # PKCS#8
     if tags[:2] == [_INTEGER, _OCTETS] and set(tags[2:]) <= {0xA0, 0xA1}:
@@ -212,4 +258,4 @@ def _is_token(header: str, payload: str, signature: str) -> bool:
     if not isinstance(algorithm, str) or algorithm not in _SIGNATURE:
         return False
     wanted = _SIGNATURE[algorithm]
-    return size >= 128 if wanted is None else size == wanted
+    return size in wanted if wanted else size >= 128
