@@ -19,6 +19,24 @@ def make_docs(spark):
     return make
 
 
+@pytest.fixture
+def small_partitions(spark):
+    """Adaptive execution with thresholds that a few thousand rows of one key exceed."""
+    skewed = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key) for key in skewed}
+    for key, value in skewed.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
 @pytest.fixture
 def odd_rows():
     """Nulls, empties, white space, repeats, a long text and texts of other scripts."""

@@ -60,3 +60,12 @@ def test_columns_of_documents_stay(make_docs):
     docs = make_docs([(1, "a b", "s"), (2, "a  b", "t"), (3, "x", "t")])
     left = exact_dedup.drop_duplicates(docs)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [2, 3]
+
+
+def test_a_hot_group_is_split(make_docs, small_partitions):
+    """Most rows are copies of one text: the last join deals them to several tasks."""
+    rows = [(i, "the same text" if i % 5 else f"text {i}", "s") for i in range(4000)]
+    found = exact_dedup.exact_dedup(make_docs(rows, 8)).repartition("doc_id")
+    assert found.filter("keep_id = 1").count() == 3200
+    found.collect()
+    assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()

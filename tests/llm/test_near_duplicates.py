@@ -149,3 +149,11 @@ def test_a_cluster_linked_with_its_leader_is_not_compared_again(make_docs, monke
     assert all(r["component_id"] == r["doc_id"] // 20 * 20 for r in found)
     changes = [df for df in kept if "changes" in df.columns]
     assert len(changes) == 1 and changes[0].count() == 0
+
+
+def test_a_hot_component_is_split(make_docs, small_partitions):
+    rows = [(i, "one text of some words" if i % 5 else f"text number {i} alone", "s") for i in range(4000)]
+    found = minhash.near_duplicates(make_docs(rows, 8)).repartition("doc_id")
+    assert found.filter("component_id = 1").count() == 3200
+    found.collect()
+    assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()

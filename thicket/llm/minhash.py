@@ -83,13 +83,18 @@ def by_component(sketched: DataFrame, classes: DataFrame, roots: DataFrame) -> D
     first = placed.groupBy("group").agg(F.min(order).alias("m")).select(
         "group", F.col("m.doc_id").alias("component_id"), F.col(f"m.{ROW}").alias("keep")
     )
-    return placed.join(first, "group").select(
+    # Written first: Spark splits a hot group only where both sides come from a shuffle as they are.
+    return placed.join(durable(first), "group").select(
         ROW, "doc_id", "n_shingles", "component_id", (F.col("keep") == F.col(ROW)).alias("kept")
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component."""
+    """``docs`` with one row of each component.
+
+    Rows without words are near nothing and stay; of rows that are the same, one stays; an
+    empty table gives no rows. All columns stay.
+    """
     keyed = with_row_ids(docs)
     kept = near_duplicates(keyed).filter("kept")
     return keyed.join(kept.select(ROW), ROW, "left_semi").select(*docs.columns)
