@@ -9,7 +9,12 @@ from thicket.llm import alignment, bpe
 
 
 def encoded_digests(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
-    """``bpe.round_trip`` with a rank file of that package, which every node has installed."""
+    """``bpe.round_trip`` with a rank file of that package, which every node has installed.
+
+    ``doc_id, n_tokens, ids_sha256, decoded_sha256``, one row per input row. Null and empty texts
+    have no tokens and the digests of nothing; repeated rows are encoded each for itself;
+    other columns are ignored; an empty table gives no rows.
+    """
     return bpe.round_trip(docs, public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 

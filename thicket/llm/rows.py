@@ -18,7 +18,8 @@ def with_row_ids(docs: DataFrame, *columns: str) -> DataFrame:
     """``docs`` (only ``columns`` if given) with a unique ``_thicket_row``, stored.
 
     ``doc_id`` may be null or repeated, so it cannot name a row. The number is
-    given while the copy is written and read from it ever after.
+    given while the copy is written and read from it ever after. A column of that
+    name in ``docs`` is taken to be such a number, unique and without nulls.
     """
     if ROW in docs.columns:
         return docs.select(ROW, *columns) if columns else docs
