@@ -38,7 +38,7 @@ from thicket.durable import durable, release, stored
 from thicket.llm.components import components
 from thicket.llm.minhash import by_component, confirm, connecting_links, texts_of
 from thicket.llm.rows import ROW, with_row_ids
-from thicket.llm.shingles import Shingler, portions, words_of
+from thicket.llm.shingles import Shingler, distinct, portions, words_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -188,7 +188,7 @@ def _prefixes(keyed: DataFrame, order: np.ndarray, width: int, percent: int) ->
 def first_tokens(size: int, tokens: np.ndarray, steps: np.ndarray, percent: int) -> np.ndarray:
     """The prefix of a set of ``size``; its order is the same for all sets: by step, then by hash."""
     rank = (steps[(tokens & _U64(len(steps) - 1)).astype(np.int64)].astype(np.uint64) << _U64(56)) | (tokens >> _U64(8))
-    rank = np.unique(rank)
+    rank = distinct(rank)
     # Different shingles of one rank would leave fewer common ranks than common shingles.
     count = min(len(rank), prefix_size(size, percent) + size - len(rank))
     return rank[:count].view(np.int64)
