@@ -8,7 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scratch: dict[str, str] = {}  # by application: where stored tables go, below the session's folder
+# By application: where stored tables go, below the session's folder, and the shared folder itself.
+_scratch: dict[str, str] = {}
+_base: dict[str, str] = {}
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def new_folder(spark: SparkSession, keep: bool = False) -> str:
 
 
 def fresh_scratch(spark: SparkSession) -> None:
-    """Remove what was stored since the last call, and store in a new place from now on.
+    """Remove what was stored or checkpointed since the last call, and use a new place from now on.
 
     For steps that follow one another: a step's result has to be written before the next
     step begins. What was stored before the first call stays.
@@ -57,6 +59,8 @@ def fresh_scratch(spark: SparkSession) -> None:
     if application in _scratch:
         _remove(spark, f"{_session_folder(spark)}/{_scratch[application]}")
     _scratch[application] = f"scratch-{uuid.uuid4().hex}"
+    folder = f"{_session_folder(spark)}/{_scratch[application]}"
+    spark.sparkContext.setCheckpointDir(f"{folder}/checkpoints")
     release(spark)
 
 
@@ -86,6 +90,9 @@ def _session_folder(spark: SparkSession) -> str:
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> str:
+    application = spark.sparkContext.applicationId
+    if application in _base:
+        return _base[application]
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if not named and not current:
@@ -94,4 +101,5 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="thicket-")
     if not current:
         spark.sparkContext.setCheckpointDir(named)
-    return named or current
+    _base[application] = named or current
+    return _base[application]
