@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.durable import durable
+from thicket.durable import durable, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     seen = _fingerprint(edges)
     while True:
         edges = durable(_small_star(_large_star(edges)))
+        release(edges.sparkSession)  # each turn shuffles anew; the last one's shuffles are done with
         before, seen = seen, _fingerprint(edges)
         if before == seen:
             break

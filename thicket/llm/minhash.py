@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.durable import durable, stored
+from thicket.durable import durable, release, stored
 from thicket.llm.components import components
 from thicket.llm.rows import ROW, with_row_ids
 from thicket.llm.shingles import Shingler, mixed, portions, words_of
@@ -125,6 +125,7 @@ def connecting_links(
     groups = durable(led.select("lead", "node", "n").distinct())
     first = groups.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     links = durable(confirm(first, texts, shingle, percent))
+    release(banded.sparkSession)
     # The same once more among those that are not in its component.
     state = labelled(links, led)
     heads = _heads(state, "lead")
@@ -132,6 +133,7 @@ def connecting_links(
     next_ = strays.join(_leaders(strays, "key"), "key").filter("node <> lead")
     second = durable(next_.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     links = durable(links.union(confirm(second, texts, shingle, percent)))
+    release(banded.sparkSession)
     rest = _pairs_that_share_changes(labelled(links, groups), texts, shingle, percent)
     rest = rest.join(_ordered(first.union(second)), ["a", "b"], "left_anti")
     return links.union(durable(confirm(rest, texts, shingle, percent)))
