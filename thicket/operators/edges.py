@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from thicket.config import Config
 from thicket.durable import durable
 from thicket.functions import paths, text
-from thicket.functions.folds import collect
 from thicket.functions.once import computed, evaluate_once
-from thicket.functions.ranges import cover, empty_spans, is_covered, overlaps_any, protected_ranges, span
-from thicket.operators.clutter import unprotected_notes
+from thicket.functions.ranges import empty_spans, protected_ranges, span
+from thicket.operators.clutter import protection, unprotected_notes
 from thicket.operators.links import link_target, link_tokens
-from thicket.operators.mentions import titles_in_notes
+from thicket.operators.mentions import exploded, found_texts, titles_among
+from thicket.operators.metadata import with_metadata
 from thicket.operators.targets import build_dictionary, link_targets
 
 EDITS = "array<struct<start:int,end:int,target:string>>"
@@ -37,10 +37,10 @@ def suggest_links(
 def plan_edits(notes: DataFrame, targets: DataFrame, cfg: Config) -> DataFrame:
     """(path, content, edits): the links each note should get, in text order.
 
-    Notes are hash-partitioned by path once. Finding, grouping and choosing then
-    stay in that partitioning, and the text comes back by a join in place.
+    Texts are searched for titles where they lie, then notes are hash-partitioned by path
+    once, with what was found. Grouping and choosing stay in that partitioning.
     """
-    return _plan(notes.select("path", "content").repartition("path"), targets, cfg)
+    return _plan(notes.select("path", "content"), targets, cfg)[1].filter(F.size("edits") > 0)
 
 
 def apply_links(
@@ -54,9 +54,15 @@ def apply_links(
     The plan is made again on the current notes with all targets; then only the
     accepted (path, target) pairs are written. Without ``accepted``, all are.
     """
-    placed = notes.select("path", "content").repartition("path")
-    edits = _accepted_edits(placed, notes, cfg, accepted, targets)
-    return placed.join(edits, "path").select(
+    given = notes.select("path", "content")
+    targets = link_targets(notes, cfg) if targets is None else targets
+    if accepted is not None:
+        accepted = _accepted_pairs(accepted)
+        given = given.join(accepted.select("path").distinct(), "path", "left_semi")
+    placed, planned = _plan(given, targets, cfg)
+    if accepted is not None:
+        planned = placed.join(_kept(planned, accepted), "path")
+    return planned.filter(F.size("edits") > 0).select(
         "path", _linked(F.col("content"), F.col("edits")).alias("content"), _count(F.col("edits"))
     )
 
@@ -69,41 +75,31 @@ def linked_corpus(
 ) -> DataFrame:
     """All notes with the accepted links written, and n_applied, 0 where there are none.
 
-    The edits are joined back to the texts where these lie, so those are shuffled once.
+    The texts are shuffled once.
     """
-    # The inner joins of the plan leave out rows without a path. Only if those are
-    # apart from the start do all joins read the same shuffle.
-    placed = notes.filter("path IS NOT NULL").repartition("path")
-    edits = _accepted_edits(placed.select("path", "content"), notes, cfg, accepted, targets)
+    targets = link_targets(notes, cfg) if targets is None else targets
+    placed, planned = _plan(notes, targets, cfg)
+    if accepted is not None:
+        planned = placed.join(_kept(planned, _accepted_pairs(accepted)), "path", "left")
     content, made = F.col("content"), F.col("edits")
-    columns = {"content": F.when(made.isNull(), content).otherwise(_linked(content, made))}
-    linked = placed.join(edits, "path", "left").select(
-        *(columns.get(c, F.col(c)).alias(c) for c in notes.columns), _count(made)
-    )
+    columns = {"content": F.when(F.size(made) > 0, _linked(content, made)).otherwise(content)}
+    linked = planned.select(*(columns.get(c, F.col(c)).alias(c) for c in notes.columns), _count(made))
     return linked.unionByName(
         notes.filter("path IS NULL").withColumn("n_applied", F.lit(0).cast("bigint"))
     )
 
 
-def _accepted_edits(
-    placed: DataFrame,
-    notes: DataFrame,
-    cfg: Config,
-    accepted: DataFrame | None,
-    targets: DataFrame | None,
-) -> DataFrame:
-    """(path, edits) of every note that changes. Accepted rows are matched one by
-    one, never gathered, so a long or repetitive list of them does no harm."""
-    targets = link_targets(notes, cfg) if targets is None else targets
-    if accepted is None:
-        return _plan(placed, targets, cfg).select("path", "edits")
+def _accepted_pairs(accepted: DataFrame) -> DataFrame:
     # Often the result of a scan, and read several times here.
     path = paths.normalize_path(F.col("path")).alias("path")
-    accepted = durable(accepted.select(path, "target").distinct())
-    reviewed = placed.join(accepted.select("path").distinct(), "path", "left_semi")
+    return durable(accepted.select(path, "target").distinct())
+
+
+def _kept(planned: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(path, edits) with only the accepted edits. Accepted rows are matched one by
+    one, never gathered, so a long or repetitive list of them does no harm."""
     return (
-        _plan(reviewed, targets, cfg)
-        .select("path", F.explode("edits").alias("edit"))
+        planned.select("path", F.explode("edits").alias("edit"))
         .withColumn("target", F.col("edit.target"))
         .join(accepted, ["path", "target"], "left_semi")
         .groupBy("path")
@@ -111,87 +107,136 @@ def _accepted_edits(
     )
 
 
-def _plan(placed: DataFrame, targets: DataFrame, cfg: Config) -> DataFrame:
-    """(path, content, edits) of notes that lie partitioned by path."""
-    texts = placed
+def _plan(notes: DataFrame, targets: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
+    """``notes`` (path, content and others), partitioned by path; and these with the ``edits`` of each.
+    Rows without a path are left out."""
+    # Joins leave such rows out as well. Only if they are apart from the start do all read the same shuffle.
+    notes = notes.filter("path IS NOT NULL")
+    others, content = [c for c in notes.columns if c != "path"], F.col("content")
+    nothing = F.array().cast(EDITS)
+    searched, given = notes, notes
     if cfg.respect_protection:
-        texts = unprotected_notes(placed, cfg)
-    dictionary = build_dictionary(targets, cfg, texts)
+        searched, described = unprotected_notes(notes, cfg), with_metadata(notes)
+        given = described.select(*notes.columns, protection(described, cfg).alias("_protected"))
+        content = F.when(~F.col("_protected"), content)
+    dictionary = build_dictionary(targets, cfg, searched)
     if dictionary is None:
-        return texts.select("path", "content", F.array().cast(EDITS).alias("edits")).limit(0)
+        return notes, notes.select("*", nothing.alias("edits"))
+    # All readers of this shuffle take all of its columns, or Spark would make it twice.
+    placed = (
+        given.select("path", *others, found_texts(content, dictionary).alias("_texts"))
+        .repartition("path")
+        .select("path", computed(**{c: F.col(c) for c in (*others, "_texts")}))
+    )
     by_note = (
-        titles_in_notes(texts, dictionary, cfg)
+        titles_among(placed.select("path", exploded(F.col("_texts"))), dictionary)
         .groupBy("path")
-        .agg(F.collect_list(F.struct("match_len", "width", "entries", "starts")).alias("found"))
+        .agg(F.collect_list(F.struct("match_len", "width", "entries", "starts")).alias("_found"))
     )
-    found = texts.join(by_note, "path").select(
-        "path", "content", "found", computed(linked=_linked_already(F.col("content"), cfg))
+    text_with_titles = F.when(F.col("_found").isNotNull(), F.col("content"))
+    barred = computed(_kept=_off_limits(text_with_titles, cfg), _linked=_linked_already(text_with_titles, cfg))
+    chosen = _choice(cfg)(F.col("_found"), F.col("_kept"), paths.base_name(F.col("path")), F.col("_linked"))
+    planned = (
+        placed.join(by_note, "path", "left")
+        .select("path", *others, "_found", barred)
+        .select("path", *others, chosen.alias("_edits"))
+        .select("path", *others, computed(edits=F.coalesce("_edits", nothing)))
     )
-    choose = _capped_choice if cfg.link_max_per_note else _uncapped_choice
-    return choose(found, cfg).filter(F.size("edits") > 0)
+    return placed.drop("_texts"), planned
 
 
-def _capped_choice(found: DataFrame, cfg: Config) -> DataFrame:
-    """Few links a note: each choice is compared with the ones made before."""
-    choices = evaluate_once(
-        _off_limits(F.col("content"), cfg),
-        lambda ranges: evaluate_once(cover(ranges), lambda kept: _choices(F.col("found"), kept)),
-    )
-    return found.select("path", "content", computed(edits=F.sort_array(_claim(choices, cfg))))
+def _choice(cfg: Config) -> Callable[..., Column]:
+    cap = cfg.link_max_per_note
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("target", pa.string())]))
 
+    @F.arrow_udf(EDITS)
+    def chosen(found: pa.Array, kept: pa.Array, own_name: pa.Array, linked: pa.Array) -> pa.Array:
+        return pa.array(_choose_all(found, kept, own_name, linked, cap), kind)
 
-def _uncapped_choice(found: DataFrame, cfg: Config) -> DataFrame:
-    """As many links as a note has mentions: what is taken is marked character by character."""
-    kept = _off_limits(F.col("content"), cfg)
-    own_name = paths.base_name(F.col("path"))
-    rows = found.select("path", "content", computed(kept=kept), own_name.alias("own_name"), "linked", "found")
-    return rows.mapInArrow(_choose_all, f"path string, content string, edits {EDITS}")
+    return chosen
 
 
-def _choose_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    edit = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("target", pa.string())])
-    for batch in batches:
-        chosen = [
-            free_choice(*(batch.column(name)[i].as_py() for name in ("found", "kept", "own_name", "linked")))
-            for i in range(batch.num_rows)
+def _choose_all(found: pa.Array, kept: pa.Array, own_name: pa.Array, linked: pa.Array, cap: int) -> Iterator[list[dict]]:
+    """``free_choice`` of each row, from whole columns: nested values taken one by one cost far more."""
+    titles, spans, names = found.values, kept.values, own_name.to_pylist()
+    of_note, of_spans, of_links = (column.offsets.to_pylist() for column in (found, kept, linked))
+    entries, starts = titles.field("entries"), titles.field("starts")
+    of_title, of_starts = entries.offsets.to_pylist(), starts.offsets.to_pylist()
+    widths, orders = _plain(titles.field("width")), (-titles.field("match_len").to_numpy(zero_copy_only=False)).tolist()
+    places, linked_names = _plain(starts.values), _plain(linked.values)
+    paths_, ords, targets = (
+        _plain(entries.values.field(name)) for name in ("path", "ord", "target")
+    )
+    span_starts, span_ends = _plain(spans.field("start")), _plain(spans.field("end"))
+    for row, name in enumerate(names):
+        numbers = range(of_note[row], of_note[row + 1])
+        choices = [
+            (orders[i], paths_[e].encode(), ords[e], targets[e], i - of_note[row])
+            for i in numbers
+            for e in range(of_title[i], of_title[i + 1])
         ]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("path"), batch.column("content"), pa.array(chosen, pa.list_(edit))],
-            ["path", "content", "edits"],
+        held = [(widths[i], places[of_starts[i] : of_starts[i + 1]]) for i in numbers]
+        barred = range(of_spans[row], of_spans[row + 1])
+        yield _greedy(
+            held,
+            choices,
+            [(span_starts[k], span_ends[k]) for k in barred],
+            {name, *linked_names[of_links[row] : of_links[row + 1]]},
+            cap,
         )
 
 
-def free_choice(found: list[dict], kept: list[dict], own_name: str, linked: list[str]) -> list[dict]:
-    """The links of one note without a cap, in text order.
+def _plain(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def free_choice(found: list[dict], kept: list[dict], own_name: str, linked: list[str], cap: int = 0) -> list[dict]:
+    """The links of one note, in text order; at most ``cap``, if that is not 0.
 
     Titles are taken longest first, then by the path of their note. Each gets its first
     mention that is neither covered nor taken; a mention that the one before it
     overlaps is passed over, as a search would have moved past it. A place that is
     taken stays taken, so each title's mentions are looked at once.
     """
-    size = max((t["starts"][-1] + t["width"] for t in found), default=0)
-    taken = bytearray(size)
-    for span in kept:
-        start, end = span["start"], min(span["end"], size)
-        if start < end:
-            taken[start:end] = b"\1" * (end - start)
-    done, edits = {own_name, *linked}, []
-    next_places = [_apart(title["starts"], title["width"]) for title in found]
     choices = [
-        (-title["match_len"], entry["path"], entry["ord"], entry["target"], i)
+        (-title["match_len"], entry["path"].encode(), entry["ord"], entry["target"], i)
         for i, title in enumerate(found)
         for entry in title["entries"]
     ]
-    for *_, target, i in sorted(choices, key=lambda c: (c[0], c[1].encode(), c[2])):
-        width = found[i]["width"]
+    titles = [(title["width"], title["starts"]) for title in found]
+    return _greedy(titles, choices, [(span["start"], span["end"]) for span in kept], {own_name, *linked}, cap)
+
+
+def _greedy(
+    titles: list[tuple[int, list[int]]],
+    choices: list[tuple[int, bytes, int, str, int]],
+    kept: list[tuple[int, int]],
+    done: set[str],
+    cap: int,
+) -> list[dict]:
+    """``titles`` are (width, starts), ``choices`` end with the number of a title; ``done`` is changed."""
+    if not choices:
+        return []
+    size = max(starts[-1] + width for width, starts in titles)
+    taken = bytearray(size)
+    for start, end in kept:
+        end = min(end, size)
+        if start < end:
+            taken[start:end] = b"\1" * (end - start)
+    edits = []
+    next_places = [_apart(starts, width) for width, starts in titles]
+    for *_, target, i in sorted(choices):
         if target in done:
             continue
+        width = titles[i][0]
         for start in next_places[i]:
             if taken.find(1, start, start + width) < 0:
                 taken[start : start + width] = b"\1" * width
                 done.add(target)
                 edits.append({"start": start, "end": start + width, "target": target})
                 break
+        if cap and len(edits) == cap:
+            break
     return sorted(edits, key=lambda e: e["start"])
 
 
@@ -264,74 +309,3 @@ def _linked_already(content: Column, cfg: Config) -> Column:
         return F.array().cast("array<string>")
     return F.array_distinct(F.transform(link_tokens(content), lambda t: paths.note_name(link_target(t))))
 
-
-def _choices(found: Column, kept: Column) -> Column:
-    """One element per (title text, note it stands for), longest text first, then
-    by path; each with the places it may go."""
-    placed = F.transform(
-        found,
-        lambda title: F.struct(
-            title["entries"].alias("entries"),
-            title["match_len"].alias("match_len"),
-            title["width"].alias("width"),
-            _free_places(title["starts"], title["width"], kept).alias("places"),
-        ),
-    )
-
-    def of_title(title: Column) -> Column:
-        return F.transform(
-            title["entries"],
-            lambda entry: F.struct(
-                (-title["match_len"]).alias("order"),
-                entry["path"].alias("path"),
-                entry["ord"].alias("ord"),
-                entry["target"].alias("target"),
-                title["width"].alias("width"),
-                title["places"].alias("places"),
-            ),
-        )
-
-    return F.sort_array(F.flatten(F.transform(placed, of_title)))
-
-
-def _free_places(starts: Column, width: Column, kept: Column) -> Column:
-    """Mentions in text order, without those that overlap the mention before them
-    or a protected range (``kept``, a cover). An overlapped mention is gone even if the
-    one before it is protected, as a search for the title would have moved past it."""
-
-    def follow(end: Column, start: Column) -> tuple[Column, Column]:
-        fits = start >= end
-        nothing = F.array().cast("array<int>")
-        return F.when(fits, start + width).otherwise(end), F.when(fits, F.array(start)).otherwise(nothing)
-
-    collide = F.exists(
-        F.sequence(F.lit(1), F.size(starts)),
-        lambda i: F.get(starts, i) < F.get(starts, i - 1) + width,
-    )
-    apart = F.when(collide, collect(starts, F.lit(0), follow, "array<int>")).otherwise(starts)
-    return F.filter(apart, lambda s: ~is_covered(s, s + width, kept))
-
-
-def _claim(choices: Column, cfg: Config) -> Column:
-    """Give each target its first place that no earlier choice has taken; with a cap only."""
-    cap = cfg.link_max_per_note
-    own_name = paths.base_name(F.col("path"))
-
-    def take(edits: Column, choice: Column) -> Column:
-        width, target = choice["width"], choice["target"]
-        free = F.filter(
-            choice["places"], lambda s: ~overlaps_any(s, s + width, edits)
-        )
-        edit = F.transform(
-            F.slice(free, 1, 1),
-            lambda s: F.struct(
-                s.alias("start"), (s + width).alias("end"), target.alias("target")
-            ),
-        )
-        open_choice = (target != own_name) & ~F.exists(edits, lambda e: e["target"] == target)
-        if cfg.skip_already_linked:
-            open_choice = ~F.array_contains(F.col("linked"), target) & open_choice
-        open_choice = (F.size(edits) < cap) & open_choice
-        return F.when(open_choice, F.concat(edits, edit)).otherwise(edits)
-
-    return F.aggregate(choices, F.array().cast(EDITS), take)

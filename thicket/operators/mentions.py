@@ -3,31 +3,30 @@
 The naive form is a join of every note with every title on "text contains
 title". Here both sides are cut into units and joined on equal text instead:
 
-1. a text is cut into units and into blocks of bounded size,
-2. each unit position looks up, by a hash of the units a title starts with,
-   which title sizes can start there at all (a small table, always broadcast),
-3. only those texts are joined with the titles, on equality; where they have to be
-   shuffled for that, a Bloom filter of whole titles lets few others through.
+1. a text is cut into units; long ones into blocks of bounded size first,
+2. each unit looks up, by a hash of the units a title starts with, which title
+   sizes can start there at all, and a Bloom filter of whole titles lets few texts
+   through that are none; both are small tables that every task has,
+3. only those texts are joined with the titles, on equality.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.config import Config
-from thicket.functions.once import evaluate_once
-from thicket.operators.targets import (
-    Dictionary,
-    filter_bits,
-    filter_word,
-    gram,
-    lead_bucket,
-    text_units,
-)
+from thicket.functions.grams import TitleFilter
+from thicket.functions.once import computed
+from thicket.operators.targets import Dictionary
 
-# Units per block: a long note becomes many rows, none of which is large.
-BLOCK_UNITS = 512
+# Characters searched at once, of short notes or of a part of a long one: this bounds the arrays.
+BLOCK_UNITS = 1 << 17
+_FOUND = "struct<starts:array<int>,keys:array<string>>"
 
 
 def find_mentions(notes: DataFrame, dictionary: Dictionary, cfg: Config) -> DataFrame:
@@ -38,24 +37,27 @@ def find_mentions(notes: DataFrame, dictionary: Dictionary, cfg: Config) -> Data
     bytes or so each, are shuffled by title; a title that is mentioned everywhere is
     one row on its side, which AQE's skew join can replicate.
     """
-    keys = dictionary.titles.select("key", "id")
-    texts = title_sized_texts(notes, dictionary, cfg)
-    return texts.join(F.broadcast(keys) if dictionary.is_small else keys, "key")
+    return _matched(_title_texts(notes, dictionary), dictionary)
 
 
 def titles_in_notes(notes: DataFrame, dictionary: Dictionary, cfg: Config) -> DataFrame:
-    """(path, match_len, width, entries, starts): the titles each note mentions, and where.
+    """(path, match_len, width, entries, starts): the titles each note mentions, and where."""
+    return titles_among(_title_texts(notes, dictionary), dictionary)
 
-    ``notes`` lie partitioned by path. Mentions are grouped there, as ids and places; what a
+
+def titles_among(texts: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """(path, match_len, width, entries, starts): the titles among (path, start, key).
+
+    ``texts`` lie partitioned by path. Mentions are grouped there, as ids and places; what a
     title stands for is joined once a note and title. Above the broadcast limit the texts
     that can be a title are grouped before they are shuffled.
     """
     starts = F.sort_array(F.collect_list("start")).alias("starts")
     if dictionary.is_small:
-        grouped = find_mentions(notes, dictionary, cfg).groupBy("path", "id").agg(starts)
+        grouped = _matched(texts, dictionary).groupBy("path", "id").agg(starts)
         found = grouped.join(F.broadcast(dictionary.titles.select("id", "width", "match_len", "entries")), "id")
     else:
-        grouped = title_sized_texts(notes, dictionary, cfg).groupBy("path", "key").agg(starts)
+        grouped = texts.groupBy("path", "key").agg(starts)
         found = grouped.join(dictionary.titles.select("key", "width", "match_len", "entries"), "key")
     return found.select("path", "match_len", "width", "entries", "starts")
 
@@ -65,68 +67,72 @@ def title_sized_texts(notes: DataFrame, dictionary: Dictionary, cfg: Config) ->
 
     Where those would be shuffled, they also pass a filter of whole titles first.
     """
-    buckets = dictionary.lead_buckets()
-    block, units, at = F.col("block"), F.col("units"), F.col("at")
-    positions = (
-        text_blocks(notes, dictionary.longest, cfg)
-        .select(
-            "path",
-            block["base"].alias("base"),
-            block["units"].alias("units"),
-            F.explode(F.sequence(F.lit(0), block["count"] - 1)).alias("at"),
-        )
-        .withColumn(
-            "bucket",
-            lead_bucket(gram(units, at, F.lit(dictionary.shortest), cfg), buckets),
-        )
-    )
-    sized = (
-        positions.join(F.broadcast(dictionary.leads()), "bucket")
-        .select("path", "base", "units", "at", F.explode("sizes").alias("size"))
-        .filter(at + F.col("size") <= F.size("units"))
-        .select(
-            "path",
-            (F.col("base") + F.length(F.array_join(F.slice("units", 1, at), ""))).alias(
-                "start"
-            ),
-            gram(units, at, F.col("size"), cfg).alias("key"),
-        )
-    )
-    if dictionary.is_small:
-        return sized
-    tested = sized.select(
-        "path",
-        "start",
-        "key",
-        filter_word(F.col("key"), dictionary.filter_words()).alias("word"),
-        filter_bits(F.col("key")).alias("bits"),
-    ).join(F.broadcast(dictionary.whole_filter()), "word")
-    return tested.filter(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits")).select("path", "start", "key")
-
-
-def text_blocks(notes: DataFrame, longest: int, cfg: Config) -> DataFrame:
-    """(path, block): runs of units, each with enough of the next run to complete
-    a title that starts in it. ``base`` is the offset of the block's first unit."""
-    units = F.col("units")
-    firsts = F.sequence(F.lit(1), F.greatest(F.size(units), F.lit(1)), F.lit(BLOCK_UNITS))
-    lengths = F.transform(
-        firsts, lambda first: F.length(F.array_join(F.slice(units, first, BLOCK_UNITS), ""))
-    )
+    return _title_texts(notes, dictionary, whole=not dictionary.is_small)
+
+
+def exploded(found: Column) -> Column:
+    """Rows (start, key) of ``found_texts``."""
+    return F.inline(F.arrays_zip(found["starts"].alias("start"), found["keys"].alias("key")))
 
-    def blocks(lengths: Column) -> Column:
-        return F.transform(
-            firsts,
-            lambda first, i: F.struct(
-                F.slice(units, first, BLOCK_UNITS + longest - 1).alias("units"),
-                F.least(F.lit(BLOCK_UNITS), F.size(units) - first + 1).alias("count"),
-                F.aggregate(
-                    F.slice(lengths, F.lit(1), i), F.lit(0), lambda total, n: total + n
-                ).alias("base"),
-            ),
-        )
-
-    return (
-        notes.select("path", text_units(F.col("content"), cfg).alias("units"))
-        .select("path", F.explode(evaluate_once(lengths, blocks)).alias("block"))
-        .filter(F.col("block.count") > 0)
+
+def found_texts(content: Column, dictionary: Dictionary, whole: bool = True) -> Column:
+    """Texts of ``content`` that pass the filter of titles' beginnings, and with ``whole`` that of
+    whole titles, in order: places, and the texts as titles are written."""
+    known = dictionary.titles.sparkSession.sparkContext.broadcast(dictionary.title_filter(whole))
+    block = BLOCK_UNITS
+
+    @F.arrow_udf(_FOUND)
+    def found(texts: pa.Array) -> pa.Array:
+        return _found(texts, block, known.value)
+
+    return found(F.make_valid_utf8(content))
+
+
+def _matched(texts: DataFrame, dictionary: Dictionary) -> DataFrame:
+    keys = dictionary.titles.select("key", "id")
+    return texts.join(F.broadcast(keys) if dictionary.is_small else keys, "key")
+
+
+def _title_texts(notes: DataFrame, dictionary: Dictionary, whole: bool = True) -> DataFrame:
+    found = notes.select("path", found_texts(F.col("content"), dictionary, whole).alias("found"))
+    return found.select("path", computed(found=F.col("found"))).select("path", exploded(F.col("found")))
+
+
+def _found(texts: pa.Array, block: int, known: TitleFilter) -> pa.Array:
+    """By text the places and the texts found there."""
+    counts = np.zeros(len(texts) + 1, np.int64)
+    places, keys = [np.zeros(0, np.int64)], []
+    for rows, bases, parts in _grouped(texts, block, known.widest):
+        which, place, start, end, joined = known.search(parts)
+        base = bases[which]
+        # A part after the first begins one character before its own.
+        place = place + np.maximum(base - 1, 0)
+        own = (place >= base) & (place < base + block)
+        keys += [joined[s:e] for s, e in zip(start[own].tolist(), end[own].tolist(), strict=True)]
+        places.append(place[own])
+        np.add.at(counts, rows[which[own]] + 1, 1)
+    offsets = pa.array(np.cumsum(counts), pa.int32())
+    starts = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places), pa.int32()))
+    return pa.StructArray.from_arrays(
+        [starts, pa.ListArray.from_arrays(offsets, pa.array(keys, pa.string()))], ["starts", "keys"]
     )
+
+
+def _grouped(texts: pa.Array, block: int, widest: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """Texts in groups of about ``block`` characters: (row, base, part). A longer text is cut into parts
+    that stand for ``block`` characters from ``base`` on, each with the character before it and
+    enough of what follows to complete a title."""
+    rows, bases, parts, size = [], [], [], 0
+    for row, value in enumerate(texts):
+        held = value.as_py() or ""
+        for base in range(0, max(len(held), 1), block):
+            if parts and size + min(len(held), block) > block:
+                yield np.array(rows), np.array(bases), parts
+                rows, bases, parts, size = [], [], [], 0
+            part = held if len(held) <= block else held[max(base - 1, 0) : base + block + widest]
+            rows.append(row)
+            bases.append(base)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield np.array(rows), np.array(bases), parts
