@@ -124,7 +124,8 @@ def _plan(notes: DataFrame, targets: DataFrame, cfg: Config) -> tuple[DataFrame,
         return notes, notes.select("*", nothing.alias("edits"))
     # All readers of this shuffle take all of its columns, or Spark would make it twice.
     placed = (
-        given.select("path", *others, found_texts(content, dictionary).alias("_texts"))
+        given.select("path", *others, computed(_text=content))
+        .select("path", *others, found_texts(F.col("_text"), dictionary).alias("_texts"))
         .repartition("path")
         .select("path", computed(**{c: F.col(c) for c in (*others, "_texts")}))
     )

@@ -94,7 +94,9 @@ def _matched(texts: DataFrame, dictionary: Dictionary) -> DataFrame:
 
 
 def _title_texts(notes: DataFrame, dictionary: Dictionary, whole: bool = True) -> DataFrame:
-    found = notes.select("path", found_texts(F.col("content"), dictionary, whole).alias("found"))
+    # Spark cannot run a helper on a text that is itself made with lambdas, so that is made first.
+    given = notes.select("path", computed(content=F.col("content")))
+    found = given.select("path", found_texts(F.col("content"), dictionary, whole).alias("found"))
     return found.select("path", computed(found=F.col("found"))).select("path", exploded(F.col("found")))
 
 
