@@ -42,8 +42,8 @@ class TitleFilter:
     word_chars: np.ndarray | None
     folded: np.ndarray | None
 
-    def search(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]:
-        """(which, place, start, end) of each stretch that may be a title, in order, and the joined
+    def search(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]:
+        """(which, place, start, end, hash) of each stretch that may be a title, in order, and the joined
         texts: ``place`` counts in the text ``which``, ``start`` and ``end`` in the joined ones."""
         joined = "\n".join(texts) + "\n"
         points = _code_points(joined)
@@ -73,16 +73,34 @@ class TitleFilter:
         within = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count)
         size = self.sizes[np.repeat(first, count) + within]
         start, end = starts[unit], end_of(unit, size)
+        hashed = _hashes(sums, start, end)
         if self.masks is not None:
-            hashed = _hashes(sums, start, end)
             bits = _bits(hashed)
             kept = (self.masks[(hashed & np.uint64(len(self.masks) - 1)).astype(np.int64)] & bits) == bits
-            unit, size, start, end = unit[kept], size[kept], start[kept], end[kept]
+            unit, size, start, end, hashed = unit[kept], size[kept], start[kept], end[kept], hashed[kept]
         which = np.searchsorted(closes, start)
         whole = unit + size <= len(ends) if ends is not None else start + size <= len(points)
         kept = whole & (end <= closes[which])
         which, start, end = which[kept], start[kept], end[kept]
-        return which, start - (closes - lengths)[which], start, end, joined
+        return which, start - (closes - lengths)[which], start, end, hashed[kept], joined
+
+
+@dataclass(frozen=True)
+class TitleOrder:
+    """In what order titles are taken. ``hashes`` of the titles ascend; what the title ``i`` stands for
+    lies from ``offsets[i]`` on: its rank among all entries, its number within the title and a hash
+    of its target."""
+
+    hashes: np.ndarray
+    offsets: np.ndarray
+    ranks: np.ndarray
+    numbers: np.ndarray
+    targets: np.ndarray
+
+    def find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(title, known): the number of the title with each hash, and whether there is one."""
+        title = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
+        return title, self.hashes[title] == hashed
 
 
 def character_tables(spark: SparkSession) -> tuple[np.ndarray, np.ndarray]:

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from thicket.config import Config
 from thicket.durable import durable
 from thicket.functions import paths, text
+from thicket.functions.grams import TitleOrder
 from thicket.functions.once import computed, evaluate_once
 from thicket.functions.ranges import empty_spans, protected_ranges, span
+from thicket.operators.choice import chosen_texts, greedy
 from thicket.operators.clutter import protection, unprotected_notes
 from thicket.operators.links import link_target, link_tokens
 from thicket.operators.mentions import exploded, found_texts, titles_among
 from thicket.operators.metadata import with_metadata
-from thicket.operators.targets import build_dictionary, link_targets
+from thicket.operators.targets import Dictionary, build_dictionary, link_targets, target_hash
 
 EDITS = "array<struct<start:int,end:int,target:string>>"
 
@@ -37,8 +39,10 @@ def suggest_links(
 def plan_edits(notes: DataFrame, targets: DataFrame, cfg: Config) -> DataFrame:
     """(path, content, edits): the links each note should get, in text order.
 
-    Texts are searched for titles where they lie, then notes are hash-partitioned by path
-    once, with what was found. Grouping and choosing stay in that partitioning.
+    Texts are searched for titles where they lie, and their links chosen there, then notes are
+    hash-partitioned by path once, with what was chosen; titles are looked up for that alone.
+    Where the order of titles is too large for every task, notes take along what was found,
+    and it is chosen after the titles were looked up.
     """
     return _plan(notes.select("path", "content"), targets, cfg)[1].filter(F.size("edits") > 0)
 
@@ -122,6 +126,9 @@ def _plan(notes: DataFrame, targets: DataFrame, cfg: Config) -> tuple[DataFrame,
     dictionary = build_dictionary(targets, cfg, searched)
     if dictionary is None:
         return notes, notes.select("*", nothing.alias("edits"))
+    order = dictionary.title_order()
+    if order is not None:
+        return _chosen_in_place(given, content, dictionary, order, cfg)
     # All readers of this shuffle take all of its columns, or Spark would make it twice.
     placed = (
         given.select("path", *others, computed(_text=content))
@@ -146,6 +153,40 @@ def _plan(notes: DataFrame, targets: DataFrame, cfg: Config) -> tuple[DataFrame,
     return placed.drop("_texts"), planned
 
 
+def _chosen_in_place(
+    given: DataFrame, content: Column, dictionary: Dictionary, order: TitleOrder, cfg: Config
+) -> tuple[DataFrame, DataFrame]:
+    """The results of ``_plan``, with links chosen where the texts lie."""
+    others = [c for c in given.columns if c not in ("path", "_protected")]
+    made = given.select("path", *others, computed(_text=F.make_valid_utf8(content), _own=paths.base_name(F.col("path"))))
+    names = F.concat(F.array("_own"), F.coalesce(_linked_already(F.col("_text"), cfg), F.array().cast("array<string>")))
+    barred = computed(
+        _kept=F.coalesce(_off_limits(F.col("_text"), cfg), empty_spans()),
+        _names=F.transform(names, target_hash),
+    )
+    chosen = chosen_texts(dictionary, order, cfg.link_max_per_note)("_text", "_kept", "_names")
+    placed = (
+        made.select("path", *others, "_text", barred)
+        .select("path", *others, chosen.alias("_chosen"))
+        .repartition("path")
+        .select("path", computed(**{c: F.col(c) for c in (*others, "_chosen")}))
+    )
+    titles = dictionary.titles.select("key", "width", "entries")
+    links = placed.select("path", F.inline("_chosen")).join(
+        F.broadcast(titles) if dictionary.is_small else titles, "key"
+    )
+    edit = F.struct(
+        "start",
+        (F.col("start") + F.col("width")).cast("int").alias("end"),
+        F.get("entries", F.col("number"))["target"].alias("target"),
+    )
+    by_note = links.select("path", edit.alias("edit")).groupBy("path").agg(F.sort_array(F.collect_list("edit")).alias("_edits"))
+    planned = placed.join(by_note, "path", "left").select(
+        "path", *others, computed(edits=F.coalesce("_edits", F.array().cast(EDITS)))
+    )
+    return placed.drop("_chosen"), planned
+
+
 def _choice(cfg: Config) -> Callable[..., Column]:
     cap = cfg.link_max_per_note
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("target", pa.string())]))
@@ -178,7 +219,7 @@ def _choose_all(found: pa.Array, kept: pa.Array, own_name: pa.Array, linked: pa.
         ]
         held = [(widths[i], places[of_starts[i] : of_starts[i + 1]]) for i in numbers]
         barred = range(of_spans[row], of_spans[row + 1])
-        yield _greedy(
+        yield _edits(
             held,
             choices,
             [(span_starts[k], span_ends[k]) for k in barred],
@@ -205,48 +246,23 @@ def free_choice(found: list[dict], kept: list[dict], own_name: str, linked: list
         for entry in title["entries"]
     ]
     titles = [(title["width"], title["starts"]) for title in found]
-    return _greedy(titles, choices, [(span["start"], span["end"]) for span in kept], {own_name, *linked}, cap)
+    return _edits(titles, choices, [(span["start"], span["end"]) for span in kept], {own_name, *linked}, cap)
 
 
-def _greedy(
+def _edits(
     titles: list[tuple[int, list[int]]],
     choices: list[tuple[int, bytes, int, str, int]],
     kept: list[tuple[int, int]],
     done: set[str],
     cap: int,
 ) -> list[dict]:
-    """``titles`` are (width, starts), ``choices`` end with the number of a title; ``done`` is changed."""
+    """``titles`` are (width, starts), ``choices`` end with target and number of a title."""
     if not choices:
         return []
     size = max(starts[-1] + width for width, starts in titles)
-    taken = bytearray(size)
-    for start, end in kept:
-        end = min(end, size)
-        if start < end:
-            taken[start:end] = b"\1" * (end - start)
-    edits = []
-    next_places = [_apart(starts, width) for width, starts in titles]
-    for *_, target, i in sorted(choices):
-        if target in done:
-            continue
-        width = titles[i][0]
-        for start in next_places[i]:
-            if taken.find(1, start, start + width) < 0:
-                taken[start : start + width] = b"\1" * width
-                done.add(target)
-                edits.append({"start": start, "end": start + width, "target": target})
-                break
-        if cap and len(edits) == cap:
-            break
-    return sorted(edits, key=lambda e: e["start"])
-
-
-def _apart(starts: list[int], width: int) -> Iterator[int]:
-    end = 0
-    for start in starts:
-        if start >= end:
-            end = start + width
-            yield start
+    ordered = ((target, target, i) for *_, target, i in sorted(choices))
+    taken = greedy(lambda i: titles[i], ordered, size, kept, done, cap)
+    return [{"start": start, "end": start + width, "target": target} for start, width, target in taken]
 
 
 def _described(content: Column, edits: Column) -> Column:

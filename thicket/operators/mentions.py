@@ -104,15 +104,10 @@ def _found(texts: pa.Array, block: int, known: TitleFilter) -> pa.Array:
     """By text the places and the texts found there."""
     counts = np.zeros(len(texts) + 1, np.int64)
     places, keys = [np.zeros(0, np.int64)], []
-    for rows, bases, parts in _grouped(texts, block, known.widest):
-        which, place, start, end, joined = known.search(parts)
-        base = bases[which]
-        # A part after the first begins one character before its own.
-        place = place + np.maximum(base - 1, 0)
-        own = (place >= base) & (place < base + block)
-        keys += [joined[s:e] for s, e in zip(start[own].tolist(), end[own].tolist(), strict=True)]
-        places.append(place[own])
-        np.add.at(counts, rows[which[own]] + 1, 1)
+    for row, place, start, end, _, joined in searched(texts, block, known):
+        keys += [joined[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        places.append(place)
+        np.add.at(counts, row + 1, 1)
     offsets = pa.array(np.cumsum(counts), pa.int32())
     starts = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places), pa.int32()))
     return pa.StructArray.from_arrays(
@@ -120,6 +115,19 @@ def _found(texts: pa.Array, block: int, known: TitleFilter) -> pa.Array:
     )
 
 
+def searched(
+    texts: pa.Array, block: int, known: TitleFilter
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]]:
+    """(row, place, start, end, hash) of what is found, and the joined texts in which ``start`` and ``end`` count."""
+    for rows, bases, parts in _grouped(texts, block, known.widest):
+        which, place, start, end, hashed, joined = known.search(parts)
+        base = bases[which]
+        # A part after the first begins one character before its own.
+        place = place + np.maximum(base - 1, 0)
+        own = (place >= base) & (place < base + block)
+        yield rows[which[own]], place[own], start[own], end[own], hashed[own], joined
+
+
 def _grouped(texts: pa.Array, block: int, widest: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
     """Texts in groups of about ``block`` characters: (row, base, part). A longer text is cut into parts
     that stand for ``block`` characters from ``base`` on, each with the character before it and
