@@ -16,22 +16,46 @@ FENCE = "```"
 
 
 def notes_from_documents(documents: DataFrame) -> DataFrame:
-    """(path, content) of (doc_id, text, source)."""
+    """(path, content) of (doc_id, text, source).
+
+    Only notes that link to the next document are joined with its title; the texts of all others
+    stay where they are. With repeated ids every text is joined, as each copy of the next document
+    gives a note of its own.
+    """
     d = F.col("doc_id")
     title = _title(F.col("text"), d)
     titled = documents.select("doc_id", "text", "source", title.alias("title"))
     following = documents.select((d - 1).alias("doc_id"), title.alias("next_title"))
+    if _ids_repeat(documents):
+        joined = titled.join(following, "doc_id", "left")
+    else:
+        linking = _links_to_next(d)
+        alone = titled.filter(~F.coalesce(linking, F.lit(False))).withColumn("next_title", F.lit(None).cast("string"))
+        joined = titled.filter(linking).join(following.filter(linking), "doc_id", "left").unionByName(alone)
     folder = (
         F.when(d % 23 == 0, F.lit("_trash"))
         .when(d % 29 == 0, F.lit("Templates"))
         .otherwise(F.col("source"))
     )
-    return titled.join(following, "doc_id", "left").select(
+    return joined.select(
         F.concat(folder, F.lit("/"), d, F.lit("/"), F.col("title"), F.lit(".md")).alias("path"),
         computed(content=_content(d)),
     )
 
 
+def _ids_repeat(documents: DataFrame) -> bool:
+    ids = documents.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return not ids.filter("n > 1").isEmpty()
+
+
+def _links_to_next(d: Column) -> Column:
+    """Whether ``_content`` reads the next title: by five, and by none of the numbers that come first."""
+    linking = d % 5 == 0
+    for number in (7, 11, 13, 17, 19):
+        linking = linking & (d % number != 0)
+    return linking
+
+
 def _title(text: Column, number: Column) -> Column:
     words = F.regexp_extract(text, r"^[\p{L}\p{N}]+ [\p{L}\p{N}]+", 0)
     return F.when(words == "", F.concat(F.lit("note"), number)).otherwise(words)

@@ -16,9 +16,9 @@ def read_notes(spark: SparkSession, location: str) -> DataFrame:
 
 def spread(table: DataFrame, key: str) -> DataFrame:
     """Use every core on a table stored in few splits, such as one row group (of
-    whose splits all but one are empty). A table of many splits is left as it is."""
+    whose splits all but one are empty). A table of many splits or files is left as it is."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    few = table.rdd.getNumPartitions() < 2 * cores
+    few = table.rdd.getNumPartitions() < 2 * cores and len(table.inputFiles()) < 2 * cores
     return table.repartition(cores, key) if few else table
 
 
