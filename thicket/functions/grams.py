@@ -103,6 +103,19 @@ class TitleOrder:
         return title, self.hashes[title] == hashed
 
 
+@dataclass(frozen=True)
+class TitleNames:
+    """The texts behind a ``TitleOrder``. ``targets`` lie like its entries; ``keys`` like its titles, null where
+    a key is its first target, of ASCII alone, in lower case."""
+
+    keys: pa.Array
+    targets: pa.Array
+
+    def key(self, title: int, first_entry: int) -> str:
+        key = self.keys[title].as_py()
+        return self.targets[first_entry].as_py().lower() if key is None else key
+
+
 def character_tables(spark: SparkSession) -> tuple[np.ndarray, np.ndarray]:
     """By code point, whether it continues a word and what it folds to, by the JVM's tables."""
     application = spark.sparkContext.applicationId

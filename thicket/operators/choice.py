@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from thicket.functions.grams import TitleFilter, TitleOrder
+from thicket.functions.grams import TitleFilter, TitleNames, TitleOrder
 from thicket.operators.mentions import BLOCK_UNITS, searched
 from thicket.operators.targets import Dictionary
 
+EDITS = "array<struct<start:int,end:int,target:string>>"
 # Entries of titles that are sorted at once, of one note at least: this bounds the arrays.
 SLAB = 1 << 20
 
@@ -36,6 +38,31 @@ def chosen_texts(dictionary: Dictionary, order: TitleOrder, cap: int) -> Callabl
     return chosen
 
 
+def edited_texts(
+    dictionary: Dictionary,
+    tables: tuple[TitleOrder, TitleNames],
+    cap: int,
+    kind: DataType | str = EDITS,
+    made: Callable[[pa.Array, pa.Array], pa.Array] | None = None,
+) -> Callable[..., Column]:
+    """A function of what ``chosen_texts`` takes: the links of each text with the names of their targets, or what
+    ``made`` makes of the texts and these links.
+
+    Texts are compared with the titles themselves.
+    """
+    context = dictionary.titles.sparkSession.sparkContext
+    held = context.broadcast((dictionary.title_filter(whole=True), *tables))
+    block, slab = BLOCK_UNITS, SLAB
+
+    @F.arrow_udf(kind)
+    def described(texts: pa.Array, kept: pa.Array, names: pa.Array) -> pa.Array:
+        known, order, titles = held.value
+        edits = _edited(texts, kept, names, known, order, titles, cap, block, slab)
+        return made(texts, edits) if made else edits
+
+    return described
+
+
 def greedy(
     places: Callable[[int], tuple[int, Iterable[int]]],
     ordered: Iterable[tuple[object, object, int]],
@@ -83,6 +110,56 @@ def _apart(starts: Iterable[int], width: int) -> Iterator[int]:
 def _chosen(
     texts: pa.Array, kept: pa.Array, names: pa.Array, known: TitleFilter, order: TitleOrder, cap: int, block: int, slab: int
 ) -> pa.Array:
+    counts, starts, keys, numbers = np.zeros(len(texts) + 1, np.int64), [], [], []
+    for n, at, key, entry in _taken(texts, kept, names, known, order, None, cap, block, slab):
+        counts[n + 1] += 1
+        starts.append(at)
+        keys.append(key)
+        numbers.append(order.numbers[entry])
+    return _listed(
+        counts, start=pa.array(starts, pa.int32()), key=pa.array(keys, pa.string()), number=pa.array(numbers, pa.int32())
+    )
+
+
+def _edited(
+    texts: pa.Array,
+    kept: pa.Array,
+    names: pa.Array,
+    known: TitleFilter,
+    order: TitleOrder,
+    titles: TitleNames,
+    cap: int,
+    block: int,
+    slab: int,
+) -> pa.Array:
+    counts, starts, ends, entries = np.zeros(len(texts) + 1, np.int64), [], [], []
+    for n, at, key, entry in _taken(texts, kept, names, known, order, titles, cap, block, slab):
+        counts[n + 1] += 1
+        starts.append(at)
+        ends.append(at + len(key))
+        entries.append(entry)
+    targets = titles.targets.take(pa.array(entries, pa.int32()))
+    return _listed(counts, start=pa.array(starts, pa.int32()), end=pa.array(ends, pa.int32()), target=targets)
+
+
+def _listed(counts: np.ndarray, **columns: pa.Array) -> pa.Array:
+    links = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), links)
+
+
+def _taken(
+    texts: pa.Array,
+    kept: pa.Array,
+    names: pa.Array,
+    known: TitleFilter,
+    order: TitleOrder,
+    titles: TitleNames | None,
+    cap: int,
+    block: int,
+    slab: int,
+) -> Iterator[tuple[int, int, str, int]]:
+    """(text, start, key, entry) of each link, in order. With ``titles``, a stretch that only shares a title's hash is
+    passed over."""
     groups, joined = [], []
     for row, place, start, end, hashed, text in searched(texts, block, known):
         title, is_title = order.find(hashed)
@@ -97,13 +174,17 @@ def _chosen(
     first = np.concatenate(([0], changes)).astype(np.int64)[: len(row)]
     last = np.append(first[1:], len(row))
     widths = end - start
-    counts, starts, keys, numbers = np.zeros(len(texts) + 1, np.int64), [], [], []
     spans, span_offsets = [kept.values.field(c).to_numpy() for c in ("start", "end")], kept.offsets.to_numpy()
     hashes, name_offsets = names.values.to_numpy(), names.offsets.to_numpy()
     for n, found, entry, target in _in_order(row[first], title[first], order, len(texts), slab):
 
         def places(i: int) -> tuple[int, list[int]]:
-            return int(widths[first[i]]), place[first[i] : last[i]].tolist()
+            a, b = first[i], last[i]
+            if titles is None:
+                return int(widths[a]), place[a:b].tolist()
+            key = titles.key(title[a], order.offsets[title[a]])
+            cuts = zip(place[a:b].tolist(), part[a:b].tolist(), start[a:b].tolist(), end[a:b].tolist(), strict=True)
+            return len(key), [at for at, p, s, e in cuts if joined[p][s:e] == key]
 
         own = slice(first[found.min()], last[found.max()])
         size = int((place[own] + widths[own]).max())
@@ -116,18 +197,9 @@ def _chosen(
             set(hashes[name_offsets[n] : name_offsets[n + 1]].tolist()),
             cap,
         )
-        counts[n + 1] = len(taken)
         for at, _, (e, i) in taken:
             k = first[i]
-            starts.append(at)
-            keys.append(joined[part[k]][start[k] : end[k]])
-            numbers.append(order.numbers[e])
-    offsets = pa.array(np.cumsum(counts), pa.int32())
-    links = pa.StructArray.from_arrays(
-        [pa.array(starts, pa.int32()), pa.array(keys, pa.string()), pa.array(numbers, pa.int32())],
-        ["start", "key", "number"],
-    )
-    return pa.ListArray.from_arrays(offsets, links)
+            yield n, at, joined[part[k]][start[k] : end[k]], e
 
 
 def _in_order(

@@ -12,17 +12,17 @@ from thicket.config import Config
 from thicket.durable import durable
 from thicket.functions import edits as batches
 from thicket.functions import paths, text
-from thicket.functions.grams import TitleOrder
+from thicket.functions.grams import TitleNames, TitleOrder
 from thicket.functions.once import computed
 from thicket.functions.ranges import empty_spans, protected_ranges, span
-from thicket.operators.choice import chosen_texts, greedy
+from thicket.operators.choice import EDITS, chosen_texts, edited_texts, greedy
 from thicket.operators.clutter import protection, unprotected_notes
 from thicket.operators.links import link_target, link_tokens
 from thicket.operators.mentions import exploded, found_texts, titles_among
 from thicket.operators.metadata import with_metadata
 from thicket.operators.targets import Dictionary, build_dictionary, link_targets, target_hash
 
-EDITS = "array<struct<start:int,end:int,target:string>>"
+_TEXT = ("_text", "_kept", "_names")
 
 
 def suggest_links(
@@ -32,10 +32,29 @@ def suggest_links(
 
     ``targets`` default to the titles and aliases of ``notes`` themselves.
     """
+    return stored_suggestions(notes, cfg, targets)[0]
+
+
+def stored_suggestions(
+    notes: DataFrame, cfg: Config, targets: DataFrame | None = None
+) -> tuple[DataFrame, bool]:
+    """``suggest_links``, and whether its rows lie behind a shuffle, so that they may be read twice.
+
+    Where every task can have the names of all targets, links are shown where the texts lie
+    and then shuffled by path; texts are not.
+    """
     targets = link_targets(notes, cfg) if targets is None else targets
-    planned = plan_edits(notes, targets, cfg)
+    given, content, dictionary = _searched(notes.select("path", "content"), targets, cfg)
+    tables = _named(dictionary)
+    if tables:
+        texts = _texts(given, content, cfg)
+        shown = edited_texts(dictionary, tables, cfg.link_max_per_note, batches.SHOWN, batches.show)(*_TEXT)
+        made = texts.select("path", shown.alias("_chosen")).select("path", computed(_chosen=F.col("_chosen")))
+        placed = made.filter(F.size("_chosen") > 0).repartition("path")
+        return placed.select("path", F.inline("_chosen")), True
+    planned = _planned(given, content, dictionary, cfg)[1].filter(F.size("edits") > 0)
     shown = planned.select("path", _described(F.col("content"), F.col("edits")).alias("_shown"))
-    return shown.select("path", F.inline("_shown"))
+    return shown.select("path", F.inline("_shown")), False
 
 
 def plan_edits(notes: DataFrame, targets: DataFrame, cfg: Config) -> DataFrame:
@@ -65,9 +84,19 @@ def apply_links(
     if accepted is not None:
         accepted = _accepted_pairs(accepted)
         given = given.join(accepted.select("path").distinct(), "path", "left_semi")
-    placed, planned = _plan(given, targets, cfg)
-    if accepted is not None:
-        planned = placed.join(_kept(planned, accepted), "path")
+    given, content, dictionary = _searched(given, targets, cfg)
+    tables = _named(dictionary)
+    if tables and accepted is None:
+        written = _written_in_place(given, content, dictionary, tables, cfg)
+        changed = written.filter("_made.n_applied > 0")
+        return changed.select("path", "_made.content", "_made.n_applied")
+    if tables:
+        edits = _edits_in_place(given, content, dictionary, tables, cfg)
+        planned = given.select("path", "content").join(_kept(edits, accepted), "path")
+    else:
+        placed, planned = _planned(given, content, dictionary, cfg)
+        if accepted is not None:
+            planned = placed.join(_kept(planned, accepted), "path")
     return planned.filter(F.size("edits") > 0).select(
         "path", _linked(F.col("content"), F.col("edits")).alias("content"), _count(F.col("edits"))
     )
@@ -81,15 +110,29 @@ def linked_corpus(
 ) -> DataFrame:
     """All notes with the accepted links written, and n_applied, 0 where there are none.
 
-    The texts are shuffled once.
+    The texts are shuffled once, so that the rows lie by path whichever way links were chosen.
     """
     targets = link_targets(notes, cfg) if targets is None else targets
-    placed, planned = _plan(notes, targets, cfg)
-    if accepted is not None:
-        planned = placed.join(_kept(planned, _accepted_pairs(accepted)), "path", "left")
+    given, text, dictionary = _searched(notes, targets, cfg)
+    tables = _named(dictionary)
     content, made = F.col("content"), F.col("edits")
-    columns = {"content": F.when(F.size(made) > 0, _linked(content, made)).otherwise(content)}
-    linked = planned.select(*(columns.get(c, F.col(c)).alias(c) for c in notes.columns), _count(made))
+    if tables and accepted is None:
+        planned = _written_in_place(given, text, dictionary, tables, cfg)
+        columns = {"content": F.coalesce("_made.content", "content")}
+        count = F.coalesce("_made.n_applied", F.lit(0).cast("bigint")).alias("n_applied")
+    else:
+        if tables:
+            edits = _edits_in_place(given, text, dictionary, tables, cfg)
+            planned = given.select(*notes.columns).join(_kept(edits, _accepted_pairs(accepted)), "path", "left")
+        else:
+            placed, planned = _planned(given, text, dictionary, cfg)
+            if accepted is not None:
+                planned = placed.join(_kept(planned, _accepted_pairs(accepted)), "path", "left")
+        columns = {"content": F.when(F.size(made) > 0, _linked(content, made)).otherwise(content)}
+        count = _count(made)
+    linked = planned.select(*(columns.get(c, F.col(c)).alias(c) for c in notes.columns), count)
+    if tables and accepted is None:
+        linked = linked.repartition("path")
     return linked.unionByName(
         notes.filter("path IS NULL").withColumn("n_applied", F.lit(0).cast("bigint"))
     )
@@ -116,17 +159,29 @@ def _kept(planned: DataFrame, accepted: DataFrame) -> DataFrame:
 def _plan(notes: DataFrame, targets: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
     """``notes`` (path, content and others), partitioned by path; and these with the ``edits`` of each.
     Rows without a path are left out."""
+    return _planned(*_searched(notes, targets, cfg), cfg)
+
+
+def _searched(notes: DataFrame, targets: DataFrame, cfg: Config) -> tuple[DataFrame, Column, Dictionary | None]:
+    """``notes`` that have a path, which of their texts are searched, and the titles to search for."""
     # Joins leave such rows out as well. Only if they are apart from the start do all read the same shuffle.
-    notes = notes.filter("path IS NOT NULL")
-    others, content = [c for c in notes.columns if c != "path"], F.col("content")
-    nothing = F.array().cast(EDITS)
+    notes, content = notes.filter("path IS NOT NULL"), F.col("content")
     searched, given = notes, notes
     if cfg.respect_protection:
         searched, described = unprotected_notes(notes, cfg), with_metadata(notes)
         given = described.select(*notes.columns, protection(described, cfg).alias("_protected"))
         content = F.when(~F.col("_protected"), content)
-    dictionary = build_dictionary(targets, cfg, searched)
+    return given, content, build_dictionary(targets, cfg, searched)
+
+
+def _planned(
+    given: DataFrame, content: Column, dictionary: Dictionary | None, cfg: Config
+) -> tuple[DataFrame, DataFrame]:
+    """The results of ``_plan``, of those of ``_searched``."""
+    others = [c for c in given.columns if c not in ("path", "_protected")]
+    nothing = F.array().cast(EDITS)
     if dictionary is None:
+        notes = given.select("path", *others)
         return notes, notes.select("*", nothing.alias("edits"))
     order = dictionary.title_order()
     if order is not None:
@@ -155,10 +210,32 @@ def _plan(notes: DataFrame, targets: DataFrame, cfg: Config) -> tuple[DataFrame,
     return placed.drop("_texts"), planned
 
 
-def _chosen_in_place(
-    given: DataFrame, content: Column, dictionary: Dictionary, order: TitleOrder, cfg: Config
-) -> tuple[DataFrame, DataFrame]:
-    """The results of ``_plan``, with links chosen where the texts lie."""
+def _named(dictionary: Dictionary | None) -> tuple[TitleOrder, TitleNames] | None:
+    """The order and the names of titles, if every task can have both."""
+    order, names = dictionary.named_order() if dictionary else (None, None)
+    return (order, names) if names else None
+
+
+def _edits_in_place(
+    given: DataFrame, content: Column, dictionary: Dictionary, tables: tuple[TitleOrder, TitleNames], cfg: Config
+) -> DataFrame:
+    """(path, edits), chosen where the texts lie."""
+    edits = edited_texts(dictionary, tables, cfg.link_max_per_note)(*_TEXT)
+    return _texts(given, content, cfg).select("path", edits.alias("_edits")).select("path", computed(edits=F.col("_edits")))
+
+
+def _written_in_place(
+    given: DataFrame, content: Column, dictionary: Dictionary, tables: tuple[TitleOrder, TitleNames], cfg: Config
+) -> DataFrame:
+    """``given`` and ``_made``: (content, n_applied) with all links written where the texts lie, null and 0 without."""
+    others = [c for c in given.columns if c not in ("path", "_protected")]
+    made = edited_texts(dictionary, tables, cfg.link_max_per_note, batches.WRITTEN, batches.write)(*_TEXT)
+    texts = _texts(given, content, cfg).select("path", *others, made.alias("_written"))
+    return texts.select("path", *others, computed(_made=F.col("_written")))
+
+
+def _texts(given: DataFrame, content: Column, cfg: Config) -> DataFrame:
+    """``given`` and, in ``_TEXT``, what choosing links in a text takes."""
     others = [c for c in given.columns if c not in ("path", "_protected")]
     made = given.select("path", *others, computed(_text=F.make_valid_utf8(content), _own=paths.base_name(F.col("path"))))
     names = F.concat(F.array("_own"), F.coalesce(_linked_already(F.col("_text"), cfg), F.array().cast("array<string>")))
@@ -166,9 +243,17 @@ def _chosen_in_place(
         _kept=F.coalesce(_off_limits(F.col("_text"), cfg), empty_spans()),
         _names=F.transform(names, target_hash),
     )
-    chosen = chosen_texts(dictionary, order, cfg.link_max_per_note)("_text", "_kept", "_names")
+    return made.select("path", *others, "_text", barred)
+
+
+def _chosen_in_place(
+    given: DataFrame, content: Column, dictionary: Dictionary, order: TitleOrder, cfg: Config
+) -> tuple[DataFrame, DataFrame]:
+    """The results of ``_plan``, with links chosen where the texts lie."""
+    others = [c for c in given.columns if c not in ("path", "_protected")]
+    chosen = chosen_texts(dictionary, order, cfg.link_max_per_note)(*_TEXT)
     placed = (
-        made.select("path", *others, "_text", barred)
+        _texts(given, content, cfg)
         .select("path", *others, chosen.alias("_chosen"))
         .repartition("path")
         .select("path", computed(**{c: F.col(c) for c in (*others, "_chosen")}))

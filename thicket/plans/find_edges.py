@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thicket.config import Config
 from thicket.durable import durable
-from thicket.operators.edges import apply_links, linked_corpus, suggest_links
+from thicket.operators.edges import apply_links, linked_corpus, stored_suggestions
 from thicket.operators.ranking import shuffled_once
 from thicket.sources import snapshots
 
@@ -22,8 +22,10 @@ class LinkResult:
 
 def scan(notes: DataFrame, cfg: Config) -> DataFrame:
     """Suggested links by note and place."""
-    # By path alone they lie together already, and no shuffle would be made.
-    found = shuffled_once(suggest_links(notes, cfg), F.col("path"), F.col("start"))
+    found, is_shuffled = stored_suggestions(notes, cfg)
+    if not is_shuffled:
+        # By path alone they lie together already, and no shuffle would be made.
+        found = shuffled_once(found, F.col("path"), F.col("start"))
     return found.orderBy("path", "start")
 
 
