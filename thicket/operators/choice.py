@@ -178,15 +178,21 @@ def _taken(
     hashes, name_offsets = names.values.to_numpy(), names.offsets.to_numpy()
     for n, found, entry, target in _in_order(row[first], title[first], order, len(texts), slab):
 
+        # One conversion a note: those by title cost more than the choice.
+        least, most = int(found.min()), int(found.max())
+        own = slice(first[least], last[most])
+        bounds = (np.append(first[least : most + 1], last[most]) - first[least]).tolist()
+        spots, cuts = place[own].tolist(), (part[own].tolist(), start[own].tolist(), end[own].tolist())
+
         def places(i: int) -> tuple[int, list[int]]:
-            a, b = first[i], last[i]
+            a, b = bounds[i - least], bounds[i - least + 1]
+            width = cuts[2][a] - cuts[1][a]
             if titles is None:
-                return int(widths[a]), place[a:b].tolist()
-            key = titles.key(title[a], order.offsets[title[a]])
-            cuts = zip(place[a:b].tolist(), part[a:b].tolist(), start[a:b].tolist(), end[a:b].tolist(), strict=True)
-            return len(key), [at for at, p, s, e in cuts if joined[p][s:e] == key]
+                return width, spots[a:b]
+            number = title[first[i]]
+            key = titles.key(number, order.offsets[number])
+            return width, [spots[k] for k in range(a, b) if joined[cuts[0][k]][cuts[1][k] : cuts[2][k]] == key]
 
-        own = slice(first[found.min()], last[found.max()])
         size = int((place[own] + widths[own]).max())
         barred = slice(span_offsets[n], span_offsets[n + 1])
         taken = greedy(
@@ -198,8 +204,8 @@ def _taken(
             cap,
         )
         for at, _, (e, i) in taken:
-            k = first[i]
-            yield n, at, joined[part[k]][start[k] : end[k]], e
+            k = bounds[i - least]
+            yield n, at, joined[cuts[0][k]][cuts[1][k] : cuts[2][k]], e
 
 
 def _in_order(
