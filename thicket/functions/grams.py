@@ -6,6 +6,7 @@ character, so each costs the same whatever its length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 # Three of 64 bits, from places of a hash that number no word of a filter.
 _BIT_SHIFTS = (44, 50, 56)
 _POINTS = 0x110000
+# Stretches that are tested at once, all of one place at least: this bounds the arrays.
+_SLAB = 1 << 17
 
 # By application: tables of all code points.
 _tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -66,18 +69,25 @@ class TitleFilter:
             return ends[np.minimum(unit + size - 1, len(ends) - 1)]
 
         sums = _running_sums(points)
-        units = np.arange(len(starts))
-        bucket = (_hashes(sums, starts, end_of(units, self.shortest)) & np.uint64(len(self.offsets) - 2)).astype(np.int64)
-        first, count = self.offsets[bucket], self.offsets[bucket + 1] - self.offsets[bucket]
-        unit = np.repeat(units, count)
-        within = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count)
-        size = self.sizes[np.repeat(first, count) + within]
-        start, end = starts[unit], end_of(unit, size)
-        hashed = _hashes(sums, start, end)
-        if self.masks is not None:
+        lead = _hashes(sums, starts, end_of(np.arange(len(starts)), self.shortest))
+        bucket = (lead & np.uint64(len(self.offsets) - 2)).astype(np.int64)
+        first = self.offsets[bucket].astype(np.int64)
+        before = np.concatenate(([0], np.cumsum(self.offsets[bucket + 1] - first)))
+
+        def tested(a: int, b: int) -> tuple[np.ndarray, ...]:
+            """(unit, size, start, end, hash) of what may be a title and begins at units from ``a`` to ``b``."""
+            unit = np.repeat(np.arange(a, b), np.diff(before[a : b + 1]))
+            size = self.sizes[np.arange(before[a], before[b]) + (first - before[:-1])[unit]]
+            start, end = starts[unit], end_of(unit, size)
+            hashed = _hashes(sums, start, end)
+            if self.masks is None:
+                return unit, size, start, end, hashed
             bits = _bits(hashed)
             kept = (self.masks[(hashed & np.uint64(len(self.masks) - 1)).astype(np.int64)] & bits) == bits
-            unit, size, start, end, hashed = unit[kept], size[kept], start[kept], end[kept], hashed[kept]
+            return unit[kept], size[kept], start[kept], end[kept], hashed[kept]
+
+        found = [tested(a, b) for a, b in slabs(before, _SLAB)]
+        unit, size, start, end, hashed = (np.concatenate(column) for column in zip(*found, strict=True))
         which = np.searchsorted(closes, start)
         whole = unit + size <= len(ends) if ends is not None else start + size <= len(points)
         kept = whole & (end <= closes[which])
@@ -152,6 +162,16 @@ def filter_bits(hashed: Column) -> Column:
     return first.bitwiseOR(second).bitwiseOR(third)
 
 
+def slabs(before: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of items, of which the first ``i`` hold ``before[i]``: each holds ``most``, or is one item."""
+    a, stop = 0, len(before) - 1
+    while a < stop:
+        fits = int(np.searchsorted(before, before[a] + most, side="right")) - 1
+        b = min(max(fits, a + 1), stop)
+        yield a, b
+        a = b
+
+
 def _bits(hashed: np.ndarray) -> np.ndarray:
     one, low = np.uint64(1), np.uint64(63)
     first, second, third = (one << ((hashed >> np.uint64(shift)) & low) for shift in _BIT_SHIFTS)

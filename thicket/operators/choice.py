@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from thicket.functions.grams import TitleFilter, TitleNames, TitleOrder
-from thicket.operators.mentions import BLOCK_UNITS, searched
+from thicket.functions.grams import TitleFilter, TitleNames, TitleOrder, slabs
+from thicket.operators.mentions import BLOCK_UNITS, in_runs, searched
 from thicket.operators.targets import Dictionary
 
 EDITS = "array<struct<start:int,end:int,target:string>>"
@@ -31,9 +31,10 @@ def chosen_texts(dictionary: Dictionary, order: TitleOrder, cap: int) -> Callabl
     block, slab = BLOCK_UNITS, SLAB
 
     @F.arrow_udf("array<struct<start:int,key:string,number:int>>")
-    def chosen(texts: pa.Array, kept: pa.Array, names: pa.Array) -> pa.Array:
+    def chosen(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known, order = tables.value
-        return _chosen(texts, kept, names, known, order, cap, block, slab)
+        for texts, kept, names in in_runs(batches, block):
+            yield _chosen(texts, kept, names, known, order, cap, block, slab)
 
     return chosen
 
@@ -55,10 +56,11 @@ def edited_texts(
     block, slab = BLOCK_UNITS, SLAB
 
     @F.arrow_udf(kind)
-    def described(texts: pa.Array, kept: pa.Array, names: pa.Array) -> pa.Array:
+    def described(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known, order, titles = held.value
-        edits = _edited(texts, kept, names, known, order, titles, cap, block, slab)
-        return made(texts, edits) if made else edits
+        for texts, kept, names in in_runs(batches, block):
+            edits = _edited(texts, kept, names, known, order, titles, cap, block, slab)
+            yield made(texts, edits) if made else edits
 
     return described
 
@@ -216,11 +218,7 @@ def _in_order(
     entries = (order.offsets[title + 1] - order.offsets[title]).astype(np.int64)
     before = np.concatenate(([0], np.cumsum(entries)))
     of_row = np.searchsorted(row, np.arange(rows + 1))
-    n = 0
-    while n < rows:
-        # As many notes as fit, one at least.
-        fits = int(np.searchsorted(before[of_row], before[of_row[n]] + slab, side="right")) - 1
-        stop = min(max(fits, n + 1), rows)
+    for n, stop in slabs(before[of_row], slab):
         a, b = of_row[n], of_row[stop]
         found = np.repeat(np.arange(a, b), entries[a:b])
         entry = np.arange(before[a], before[b]) - before[found] + order.offsets[title[found]]
@@ -231,4 +229,3 @@ def _in_order(
             if bounds[k] < bounds[k + 1]:
                 own = slice(bounds[k], bounds[k + 1])
                 yield n + k, found[own], entry[own], order.targets[entry[own]]
-        n = stop

@@ -12,15 +12,16 @@ title". Here both sides are cut into units and joined on equal text instead:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.config import Config
-from thicket.functions.grams import TitleFilter
+from thicket.functions.grams import TitleFilter, slabs
 from thicket.functions.once import computed
 from thicket.operators.targets import Dictionary
 
@@ -82,8 +83,9 @@ def found_texts(content: Column, dictionary: Dictionary, whole: bool = True) ->
     block = BLOCK_UNITS
 
     @F.arrow_udf(_FOUND)
-    def found(texts: pa.Array) -> pa.Array:
-        return _found(texts, block, known.value)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for (texts,) in in_runs(zip(batches), block):
+            yield _found(texts, block, known.value)
 
     return found(F.make_valid_utf8(content))
 
@@ -100,18 +102,27 @@ def _title_texts(notes: DataFrame, dictionary: Dictionary, whole: bool = True) -
     return found.select("path", computed(found=F.col("found"))).select("path", exploded(F.col("found")))
 
 
+def in_runs(batches: Iterable[tuple[pa.Array, ...]], block: int) -> Iterator[list[pa.Array]]:
+    """Batches of columns, the first one of texts, in runs of at most ``block`` characters or one text: what a batch
+    mentions may be far larger than the batch, so it is never held at once."""
+    for columns in batches:
+        lengths = pc.fill_null(pc.utf8_length(columns[0]), 0).to_numpy(zero_copy_only=False)
+        for a, b in slabs(np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))), block):
+            yield [column.slice(a, b - a) for column in columns]
+
+
 def _found(texts: pa.Array, block: int, known: TitleFilter) -> pa.Array:
     """By text the places and the texts found there."""
     counts = np.zeros(len(texts) + 1, np.int64)
-    places, keys = [np.zeros(0, np.int64)], []
+    places, keys = [np.zeros(0, np.int64)], [pa.array([], pa.string())]
     for row, place, start, end, _, joined in searched(texts, block, known):
-        keys += [joined[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        keys.append(pa.array([joined[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)], pa.string()))
         places.append(place)
         np.add.at(counts, row + 1, 1)
     offsets = pa.array(np.cumsum(counts), pa.int32())
     starts = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places), pa.int32()))
     return pa.StructArray.from_arrays(
-        [starts, pa.ListArray.from_arrays(offsets, pa.array(keys, pa.string()))], ["starts", "keys"]
+        [starts, pa.ListArray.from_arrays(offsets, pa.concat_arrays(keys))], ["starts", "keys"]
     )
 
 
